@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
 
 def lcs_length(first: Sequence, second: Sequence) -> int:
@@ -70,7 +71,7 @@ def _best_window(short: str, long: str) -> float:
     return best
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def partial_similarity(target: pd.Series, generated: pd.Series) -> pd.Series:
     return pd.Series([partial_ratio(t, g) for t, g in zip(target, generated)])
 
@@ -81,7 +82,7 @@ def score_words(text: Column) -> Column:
     return F.filter(F.split(clean, " "), lambda w: w != "")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def lcs_recall(reference: pd.Series, generated: pd.Series) -> pd.Series:
     """Share of the reference words found in order in the generated words; 0 if either is empty."""
     return pd.Series(

@@ -69,7 +69,7 @@ def map_read_nested(t: Tables) -> DataFrame:
 @query("map_indices", reindex_sql("select distinct index, count(distinct index) over () n from (select distinct index from imap)"))
 def map_indices(t: Tables) -> DataFrame:
     held = stored_map(t).indices()
-    return held.withColumn("n", F.lit(held.count()))
+    return held.withColumn("n", F.lit(held.count()).cast("bigint"))
 
 
 PROBES = "probes as (select distinct l_orderkey*64//{c} as index from lineitem)".format(c=CHUNK)
