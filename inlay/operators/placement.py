@@ -7,9 +7,9 @@ of each chain in ``(exp_id, copy_no, seq_id)`` order.
 
 With many candidates waiting a round makes one draw each, and equal intervals of
 one slot are merged before the shuffle: a slot never holds more rows than it has
-distinct intervals, whatever the number of candidates.  Once at most ``FEW``
-candidates wait, a round makes ``DRAWS`` draws each and keeps the first free one,
-which ends the tail in a few rounds.
+distinct intervals, whatever the number of candidates.  Once few candidates wait,
+a round makes several draws each (``DRAW_BUDGET`` in all) and keeps the first free
+one of each, which ends the tail in a few rounds.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from inlay.staging import materialize, new_path
 
 KEY = ["exp_id", "copy_no", "seq_id"]
 MAX_ROUNDS = 32
-FEW = 100_000  # waiting candidates up to which a round makes several draws each
-DRAWS = 8
+DRAW_BUDGET = 200_000  # draws of a round with several draws per candidate
+MAX_DRAWS = 64
 ROUND_SCHEMA = (
     "exp_id int, copy_no int, seq_id bigint, n int, start bigint, end_excl bigint, slot bigint, lo bigint, hi bigint"
 )
@@ -88,6 +88,7 @@ def range_violations(candidates: DataFrame, length: int) -> DataFrame:
         return F.count_if(condition).alias(name)
 
     return candidates.agg(
+        F.count(F.lit(1)).alias("n_rows"),
         count(F.col("start") % step != 0, "start_unaligned"),
         count(F.col("end_excl") % step != 0, "end_unaligned"),
         count(int_div(F.col("end_excl") - F.col("start"), step) <= 0, "no_sequence"),
@@ -121,8 +122,10 @@ def by_slot(intervals: DataFrame, length: int) -> DataFrame:
     )
 
 
-def free_of(drawn: DataFrame, held: DataFrame) -> DataFrame:
+def free_of(drawn: DataFrame, held: DataFrame | None) -> DataFrame:
     """Rows ``(slot, lo, hi, ..., key)`` of ``drawn`` that meet no row of the disjoint ``held(slot, lo, hi)``."""
+    if held is None:
+        return drawn
     both = drawn.unionByName(held.select("slot", "lo", "hi"), allowMissingColumns=True)
     taken = F.col("key").isNull()
     slots = Window.partitionBy("slot")
@@ -148,11 +151,18 @@ def accept(free: DataFrame) -> DataFrame:
     return first.select("_won.key.*", "slot", "_won.lo", "_won.hi")
 
 
-def play_round(waiting: DataFrame, held: DataFrame, length: int, seed: int, round_no: int, few: bool) -> DataFrame:
-    """Accepted rows ``(KEY, slot, lo, hi)`` of one round."""
-    drawn = draw_positions(waiting, length, seed, round_no, DRAWS if few else 1)
+def draws_for(left: int) -> int:
+    """Draws per candidate in a round with ``left`` candidates waiting."""
+    return max(1, min(MAX_DRAWS, DRAW_BUDGET // max(1, left)))
+
+
+def play_round(
+    waiting: DataFrame, held: DataFrame | None, length: int, seed: int, round_no: int, draws: int
+) -> DataFrame:
+    """Accepted rows ``(KEY, slot, lo, hi)`` of one round; ``held`` is None while nothing is occupied."""
+    drawn = draw_positions(waiting, length, seed, round_no, draws)
     key = F.struct(*KEY)
-    if not few:
+    if draws == 1:
         merged = drawn.groupBy("slot", "lo", "hi").agg(F.min(key).alias("key"))
         return accept(free_of(merged, held))
     free = free_of(drawn.select("slot", "lo", "hi", "draw_no", key.alias("key")), held)
@@ -173,17 +183,16 @@ def place_random(
     both the growing occupied set and the input of the next round.
     """
     spark = candidates.sparkSession
-    faults = range_violations(candidates, length).first().asDict()
+    narrow = candidates.select(*KEY, F.col("n").cast("int").alias("n"), "start", "end_excl")
+    waiting = materialize(narrow.repartition(*KEY), "candidates")  # ids and sizes only
+    faults = range_violations(waiting, length).first().asDict()
+    left = faults.pop("n_rows")
     if any(faults.values()):
         raise PlacementError(f"candidates break the placement rules: {faults}")
-    waiting = candidates.select(*KEY, F.col("n").cast("int").alias("n"), "start", "end_excl")
-    left = waiting.count()
-    held = spark.createDataFrame([], "slot bigint, lo bigint, hi bigint")
-    n_held = 0
+    initial, n_held = None, 0
     if occupied is not None:
-        held = materialize(by_slot(occupied, length), "occupied")
-        n_held = held.count()
-    n_initial, initial = n_held, held
+        initial = materialize(by_slot(occupied, length), "occupied")
+        n_held = initial.count()
     base = new_path(spark, "rounds")
     paths: list[str] = []
 
@@ -194,14 +203,16 @@ def place_random(
         return log.parquet(*paths).where("slot is not null")
 
     while left and len(paths) < max_rounds:
-        round_no, few = len(paths), left <= FEW
+        round_no, draws = len(paths), draws_for(left)
+        held = initial if n_held else None
         if paths:
-            held = placed().select("slot", "lo", "hi")
-            held = held.unionByName(initial) if n_initial else held
+            earlier = placed().select("slot", "lo", "hi")
+            held = earlier if initial is None else earlier.unionByName(initial)
         if n_held > PRUNE_ABOVE:
-            slots = draw_positions(waiting, length, seed, round_no, DRAWS if few else 1).select("slot").distinct()
-            held = held.join(F.broadcast(slots) if few else slots, "slot", "left_semi")
-        won = play_round(waiting, held, length, seed, round_no, few)
+            slots = draw_positions(waiting, length, seed, round_no, draws).select("slot").distinct()
+            small = left * draws <= DRAW_BUDGET
+            held = held.join(F.broadcast(slots) if small else slots, "slot", "left_semi")
+        won = play_round(waiting, held, length, seed, round_no, draws)
         path = f"{base}/round={round_no}"
         waiting.join(won, KEY, "left").select(*[c.split()[0] for c in ROUND_SCHEMA.split(", ")]).write.parquet(path)
         paths.append(path)

@@ -166,7 +166,7 @@ def build_plan(
         held = taken if held is None else held.unionByName(taken)
     loose = random_rows(experiments, geometry, start, end_excl, seed, eos)
     if loose is not None:
-        loose = materialize(loose, "random")
+        loose = materialize(loose.withColumn("n", F.size("tokens")), "random")
         result = place_sequences(loose, geometry.sequence_length, seed, held)
         found = result.placed.select(*KEY, F.col("lo").alias("position"))
         plan = plan.unionByName(
@@ -179,8 +179,9 @@ def build_plan(
 def place_sequences(
     rows: DataFrame, length: int, seed: int, occupied: DataFrame | None = None
 ) -> Placement:
-    """Random placement of ``rows(KEY, tokens, start, end_excl)``; tokens stay out of the rounds."""
-    narrow = rows.select(*KEY, F.size("tokens").alias("n"), "start", "end_excl")
+    """Random placement of ``rows(KEY, tokens | n, start, end_excl)``; tokens stay out of the rounds."""
+    size = F.col("n") if "n" in rows.columns else F.size("tokens")
+    narrow = rows.select(*KEY, size.alias("n"), "start", "end_excl")
     return place_random(narrow, length, seed, occupied)
 
 

@@ -48,7 +48,8 @@ def rounds_sql(candidates: str, occupied: str | None, seed: int = SEED) -> str:
     slot = f"st//{LENGTH} + {draw_sql(seed, *names, 's', 'd')} % ((en-st)//{LENGTH})"
     offset = f"{draw_sql(seed, *names, 'o', 'd')} % ({LENGTH}-n+1)"
     order = f"partition by slot order by lo, hi, {key}"
-    draws = f"if((select count(*) from w0) <= {placement.FEW}, {placement.DRAWS}, 1)"
+    budget = f"{placement.DRAW_BUDGET} // greatest(1, (select count(*) from w0))"
+    draws = f"greatest(1, least({placement.MAX_DRAWS}, {budget}))"
     last = placement.MAX_ROUNDS - 1
     return (
         f"{head}rounds as (select -1 r, exp_id, copy_no, seq_id, n::BIGINT n, st::BIGINT st, en::BIGINT en,"
@@ -78,7 +79,7 @@ def rounds_sql(candidates: str, occupied: str | None, seed: int = SEED) -> str:
 
 @query("tokenize_words", with_views("select doc_id, array_to_string(tokens, ',') tokens from v_doc_tokens", "v_doc_tokens"))
 def tokenize_words(t: Tables) -> DataFrame:
-    docs = t.table("documents")
+    docs = t.documents
     return docs.select("doc_id", joined(word_tokens(F.col("text"))).alias("tokens"))
 
 
@@ -88,7 +89,7 @@ def tokenize_words(t: Tables) -> DataFrame:
     " from documents",
 )
 def tokenize_codepoints(t: Tables) -> DataFrame:
-    return t.table("documents").select("doc_id", joined(codepoint_tokens(F.col("text"))).alias("tokens"))
+    return t.documents.select("doc_id", joined(codepoint_tokens(F.col("text"))).alias("tokens"))
 
 
 _SPLIT = "list_filter(regexp_split_to_array(text,'[ \\n\\t\\r]+'), lambda x: x != '')"
@@ -108,8 +109,7 @@ def tokenize_vocabulary(t: Tables) -> DataFrame:
     known = t.table("benchmark").select(F.explode(words(F.col("text"))).alias("word")).distinct()
     ranked = ordered_scan(known, ["word"], ordinal="n")
     vocabulary = ranked.select("word", (F.col("n") + 1).cast("int").alias("token"))
-    docs = t.table("documents").select("doc_id", "text")
-    return vocabulary_tokens(docs, vocabulary, "doc_id", 0).select("doc_id", joined("tokens").alias("tokens"))
+    return vocabulary_tokens(t.documents, vocabulary, "doc_id", 0).select("doc_id", joined("tokens").alias("tokens"))
 
 
 @query(
@@ -412,7 +412,7 @@ def place_checks(t: Tables) -> DataFrame:
     rows = t.table("lineitem").selectExpr(
         "l_orderkey*64 start", "l_orderkey*64+l_partkey end_excl", "l_suppkey*10 n"
     )
-    return placement.range_violations(rows, LENGTH)
+    return placement.range_violations(rows, LENGTH).drop("n_rows")
 
 
 def two_phase(t: Tables) -> experiments.Plan:

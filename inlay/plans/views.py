@@ -12,6 +12,15 @@ EOS = 0
 SEED = 42
 
 
+def balanced(scan: DataFrame, key: str) -> DataFrame:
+    """Spread a scan that has fewer splits than the cluster has slots, ahead of CPU-heavy work per row.
+
+    A table of many files already has more splits than slots and stays as it is.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(slots, key) if scan.rdd.getNumPartitions() < slots else scan
+
+
 class Tables:
     """The tables of one data folder and the views built on them."""
 
@@ -21,9 +30,13 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @property
+    def documents(self) -> DataFrame:
+        return balanced(self.table("documents").select("doc_id", "text"), "doc_id")
+
     @property
     def doc_tokens(self) -> DataFrame:
-        return self.table("documents").select("doc_id", word_tokens(F.col("text")).alias("tokens"))
+        return self.documents.select("doc_id", word_tokens(F.col("text")).alias("tokens"))
 
     @property
     def insert_tokens(self) -> DataFrame:

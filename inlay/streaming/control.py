@@ -143,7 +143,8 @@ def place_period_texts(
         first.alias("start"),
         (first + (last - first)).alias("end_excl"),
     )
-    rows = materialize(gate_and_wrap(rows, geometry.sequence_length, eos), "period")
+    wrapped = gate_and_wrap(rows, geometry.sequence_length, eos)
+    rows = materialize(wrapped.withColumn("n", F.size("tokens")), "period")
     result = place_sequences(rows, geometry.sequence_length, seed, occupied)
     placed = result.placed.select(*KEY, F.col("lo").alias("position"))
     return rows.select(*KEY, "tokens").join(placed, KEY).select(
