@@ -25,6 +25,7 @@ from inlay.staging import materialize, new_path
 
 KEY = ["exp_id", "copy_no", "seq_id"]
 MAX_ROUNDS = 32
+MAX_TRIES = 256  # draws per candidate after which it counts as unplaced
 DRAW_BUDGET = 200_000  # draws of a round with several draws per candidate
 MAX_DRAWS = 64
 ROUND_SCHEMA = (
@@ -176,9 +177,11 @@ def place_random(
     seed: int,
     occupied: DataFrame | None = None,
     max_rounds: int = MAX_ROUNDS,
+    max_tries: int = MAX_TRIES,
 ) -> Placement:
     """Place ``candidates(exp_id, copy_no, seq_id, n, start, end_excl)`` without overlap.
 
+    A candidate still waiting after ``max_rounds`` rounds or ``max_tries`` draws is unplaced.
     Only counts reach the driver.  Every round is one folder of a stage table; it is
     both the growing occupied set and the input of the next round.
     """
@@ -195,6 +198,7 @@ def place_random(
         n_held = initial.count()
     base = new_path(spark, "rounds")
     paths: list[str] = []
+    tries = 0
 
     def placed() -> DataFrame:
         if not paths:
@@ -202,8 +206,9 @@ def place_random(
         log = spark.read.schema(ROUND_SCHEMA + ", round int").option("basePath", base)
         return log.parquet(*paths).where("slot is not null")
 
-    while left and len(paths) < max_rounds:
+    while left and len(paths) < max_rounds and tries < max_tries:
         round_no, draws = len(paths), draws_for(left)
+        tries += draws
         held = initial if n_held else None
         if paths:
             earlier = placed().select("slot", "lo", "hi")
