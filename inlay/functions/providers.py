@@ -64,14 +64,18 @@ class BigramModel:
 
     @classmethod
     def train(cls, docs: DataFrame) -> BigramModel:
-        """Counts over ``docs(tokens)``; all merging is in partial aggregates."""
-        size = docs.select(F.explode("tokens").alias("t")).agg(F.count_distinct("t").alias("v")).first()["v"]
-        steps = F.arrays_zip(
-            F.slice("tokens", F.lit(1), F.greatest(F.size("tokens") - 1, F.lit(0))).alias("prev"),
-            F.slice("tokens", F.lit(2), F.size("tokens")).alias("next"),
+        """Counts over ``docs(tokens)``; all merging is in partial aggregates.
+
+        The first token of a document counts as the successor of nothing, so the
+        successors alone are the whole vocabulary.
+        """
+        before = F.concat(F.array(F.lit(None).cast("int")), F.slice("tokens", F.lit(1), F.size("tokens") - 1))
+        spots = docs.where(F.size("tokens") > 0).select(
+            F.inline(F.arrays_zip(before.alias("prev"), F.col("tokens").alias("next"))).alias("prev", "next")
         )
-        spots = docs.select(F.inline(steps).alias("prev", "next"))
-        pairs = materialize(spots.groupBy("prev", "next").agg(F.count(F.lit(1)).alias("n")), "bigram")
+        counted = materialize(spots.groupBy("prev", "next").agg(F.count(F.lit(1)).alias("n")), "bigram")
+        size = counted.select("next").distinct().count()
+        pairs = counted.where("prev is not null")
         heads = pairs.groupBy("prev").agg(F.sum("n").alias("total"))
         return cls(pairs, heads, size)
 

@@ -10,6 +10,7 @@ from inlay.functions.tokens import int_div
 from inlay.operators.reindex import PAGE, nest
 from inlay.operators.scan import grouped_ordinal, ordered_scan
 from inlay.operators.skew import spread_join
+from inlay.staging import materialize
 
 SCHEMA = "index bigint, ordinal bigint, pos int, tokens array<int>"
 STORED = SCHEMA + ", write_id string"
@@ -142,13 +143,14 @@ def to_offset_arrays(index_map: DataFrame) -> OffsetArrays:
         ordinal="t_ord",
         sum_before={"k_ord": heads, "tok_start": F.size("tokens").cast("bigint")},
     )
+    scanned = materialize(scanned, "offsets")  # read by all five tables
     if scanned.isEmpty():
         raise ValueError("no data in the index map")
     first = scanned.where("ordinal = 0")
-    ends = index_map.agg(
+    ends = scanned.agg(
         F.count_if(F.col("ordinal") == 0).alias("n_keys"),
         F.count(F.lit(1)).alias("n_tuples"),
-        F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("n_tokens"),
+        F.max(F.col("tok_start") + F.size("tokens")).alias("n_tokens"),
     )
     tuple_offsets = first.select("k_ord", F.col("t_ord").alias("off")).unionByName(
         ends.select(F.col("n_keys").alias("k_ord"), F.col("n_tuples").alias("off"))

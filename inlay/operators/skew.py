@@ -19,19 +19,24 @@ def spread_join(
 ) -> DataFrame:
     """Join ``facts`` to ``dims`` (one row per key), salting only the hot keys.
 
-    A key is hot when it has more than ``rows_per_task`` fact rows, so there are at
-    most ``rows / rows_per_task`` of them: that bounds the broadcast list.  Hot
-    fact rows are spread by a hash of ``spread_by`` (columns that tell the rows of
-    one key apart); the matching dimension rows are repeated once per salt.
+    One aggregate looks for keys with more than ``rows_per_task`` fact rows.  There
+    are at most ``rows / rows_per_task`` of them, which bounds the list that comes to
+    the driver and is broadcast; without any the join is a plain one.  Hot fact rows
+    are spread by a hash of ``spread_by`` (columns that tell the rows of one key
+    apart); the matching dimension rows are repeated once per salt.
     """
     keys = list(on)
-    hot = (
+    rows = F.count(F.lit(1))
+    fans = (
         facts.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
+        .agg(rows.alias("_rows"))
         .where(F.col("_rows") > rows_per_task)
         .select(*keys, F.ceil(F.col("_rows") / F.lit(rows_per_task)).cast("int").alias("_fan"))
     )
-    hot = F.broadcast(hot)
+    found = fans.collect()
+    if not found:
+        return facts.join(dims, keys, how)
+    hot = F.broadcast(facts.sparkSession.createDataFrame(found, fans.schema))
     fan = F.coalesce("_fan", F.lit(1))
     salted_facts = (
         facts.join(hot, keys, "left")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from inlay.functions.tokenizers import word_tokens
+from inlay.operators.scan import grouped_ordinal
+from inlay.operators.skew import spread_join
 
 LENGTH = 256  # tokens per sequence
 BATCH = 8  # sequences per batch
@@ -56,10 +60,14 @@ class Tables:
     def occupied(self) -> DataFrame:
         return self.plan.selectExpr("position lo", "position+size(tokens)-1 hi")
 
-    @property
+    @cached_property
     def numbered_lines(self) -> DataFrame:
-        order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-        return self.table("lineitem").withColumn("rn", F.row_number().over(order))
+        """Line items with their number inside the order, also when one order holds most lines."""
+        lines = self.table("lineitem").select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"
+        )
+        order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+        return grouped_ordinal(lines, ["l_orderkey"], order, "_n").withColumn("rn", F.col("_n") + 1)
 
     @property
     def candidates(self) -> DataFrame:
@@ -69,10 +77,11 @@ class Tables:
             "l_orderkey*64+l_partkey%64+cast(l_quantity as bigint)%16 hi",
         )
 
-    @property
+    @cached_property
     def choices(self) -> DataFrame:
         parts = self.table("part").select("p_partkey", "p_name")
-        lines = self.numbered_lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        parts = parts.withColumnRenamed("p_partkey", "l_partkey")
+        lines = spread_join(self.numbered_lines, parts, ["l_partkey"], ["l_orderkey", "rn"])
         return lines.selectExpr(
             "l_orderkey doc_id",
             "cast(rn-1 as int) idx",
@@ -140,15 +149,14 @@ class Tables:
         """
         turns = self.table("conversations")
         first = turns.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt"))
-        replies = turns.where("role = 'assistant'").select(
-            "conv_id",
-            F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("gen"),
-            F.col("text").alias("reply"),
+        told = turns.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("reply"))
+        replies = grouped_ordinal(told, ["conv_id"], ["turn"], "_n").select(
+            "conv_id", (F.col("_n") + 1).cast("int").alias("gen"), "reply"
         )
         copied = F.when(
             (F.col("conv_id") % 3 == 0) & (F.col("gen") == 1 + F.col("conv_id") % 2), F.concat(F.lit("well, "), "prompt")
         ).otherwise(F.col("reply"))
-        return replies.join(first, "conv_id").select(
+        return spread_join(replies, first, ["conv_id"], ["gen"]).select(
             F.col("conv_id").alias("prompt_id"), "gen", "prompt", copied.alias("generation")
         )
 
