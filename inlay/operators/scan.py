@@ -21,10 +21,13 @@ LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number in the low 3
 
 
 def range_stage(df: DataFrame, order_by: Sequence[str], label: str = "range") -> DataFrame:
-    """Stage ``df`` in global ``order_by`` order with its part and its place in the part."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Stage ``df`` in global ``order_by`` order with its part and its place in the part.
+
+    There are at most ``spark.sql.shuffle.partitions`` parts; adaptive execution joins
+    small neighbours, which keeps parts contiguous and numbered in order.
+    """
     ranged = (
-        df.repartitionByRange(parts, *order_by)
+        df.repartitionByRange(*order_by)
         .sortWithinPartitions(*order_by)
         .withColumn(PART, F.spark_partition_id())
         .withColumn(POS, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << LOCAL_BITS) - 1)))

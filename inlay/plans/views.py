@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from inlay.functions.tokenizers import word_tokens
 from inlay.operators.scan import grouped_ordinal
 from inlay.operators.skew import spread_join
+from inlay.staging import materialize
 
 LENGTH = 256  # tokens per sequence
 BATCH = 8  # sequences per batch
@@ -38,9 +39,10 @@ class Tables:
     def documents(self) -> DataFrame:
         return balanced(self.table("documents").select("doc_id", "text"), "doc_id")
 
-    @property
+    @cached_property
     def doc_tokens(self) -> DataFrame:
-        return self.documents.select("doc_id", word_tokens(F.col("text")).alias("tokens"))
+        """The tokenised documents, stored once: a filter on token counts would otherwise tokenise again below it."""
+        return materialize(self.documents.select("doc_id", word_tokens(F.col("text")).alias("tokens")), "tokens")
 
     @property
     def insert_tokens(self) -> DataFrame:
