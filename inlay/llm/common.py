@@ -27,15 +27,18 @@ def partitions(spark: SparkSession) -> int:
 def ranked(df: DataFrame, group: list[str], order: list[str], rank: str, parts: int) -> DataFrame:
     """Number the rows of each group from 0 in ``rank``, without one task for a group.
 
-    Rows are dealt by a hash of ``order`` into ``parts`` parts per group, the parts of a
-    group are summed up, and a row's rank is the sum before its part plus its place in
-    it.  Rows that agree in ``group`` and ``order`` must be interchangeable.
+    The order is that of ``crc32(order as text joined by spaces), *order``.  The checksum
+    cuts each group into ``parts`` parts; a row's rank is the number of rows in the parts
+    before its own plus its place in it, so ``parts`` does not change the result.  Rows
+    that agree in ``group`` and ``order`` must be interchangeable.
     """
-    part = F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int")
-    dealt = df.withColumn("_part", part)
+    text = F.concat_ws(" ", *[F.col(c).cast("string") for c in order])
+    dealt = df.withColumn("_crc", F.crc32(text.cast("binary")))
+    dealt = dealt.withColumn("_part", F.shiftright(F.col("_crc") * parts, 32).cast("int"))
     sizes = dealt.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = Window.partitionBy(*group, "_part").orderBy(*order)
+    within = Window.partitionBy(*group, "_part").orderBy("_crc", *order)
     placed = dealt.withColumn("_at", F.row_number().over(within)).join(offsets, [*group, "_part"])
-    return placed.withColumn(rank, (F.col("_before") + F.col("_at") - 1).cast("bigint")).drop("_part", "_before", "_at")
+    counted = placed.withColumn(rank, (F.col("_before") + F.col("_at") - 1).cast("bigint"))
+    return counted.drop("_part", "_before", "_at", "_crc")
