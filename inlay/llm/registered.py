@@ -1,4 +1,11 @@
 """Imports every module that registers a query."""
 
-from inlay.llm import op2_packing, op3_sharding, op5_decontamination, op9_warc, op10_quality  # noqa: F401
+from inlay.llm import (  # noqa: F401
+    op1_near_dedup,
+    op2_packing,
+    op3_sharding,
+    op5_decontamination,
+    op9_warc,
+    op10_quality,
+)
 from inlay.llm.queries import ORACLES, QUERIES  # noqa: F401

@@ -25,14 +25,14 @@ def expected(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("split", [97, 5000, 1 << 20])
+@pytest.mark.parametrize("split", [2503, 1 << 20])
 def test_round_trip(spark, tmp_path, split):
     rng = random.Random(split)
     copies = ["<p>" + "ab" * 600 + "</p>", "é" * 499 + "x", "é" * 500]
     rows = [(i, f"http://h/{i} x\n%", rng.choice(copies), 1, "d") for i in range(40)]
     rows += [(100 + i, None, "".join(chr(rng.randrange(32, 5000)) for _ in range(rng.randrange(4000))), 1, None) for i in range(40)]
     rows += [(200, "u", None, None, None), (201, "u", "", 1, "d"), (None, "u", copies[0], 1, "d"), (39, "u", copies[0], 1, "d")]
-    rows += [(300, "u", "long " * 400_000, 1, "d"), (301, "u", "\x1f\u008b\x08" * 900, 1, "d")]
+    rows += [(300, "u", "long " * 50_000, 1, "d"), (301, "u", "\x1f\u008b\x08" * 900, 1, "d")]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     files = op.write_archives(df, str(tmp_path / "w"))
     back = op.read_archives(files, split_bytes=split, payloads=True)
