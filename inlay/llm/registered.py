@@ -4,6 +4,7 @@ from inlay.llm import (  # noqa: F401
     op1_near_dedup,
     op2_packing,
     op3_sharding,
+    op4_line_dedup,
     op5_decontamination,
     op9_warc,
     op10_quality,
