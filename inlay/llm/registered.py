@@ -6,6 +6,7 @@ from inlay.llm import (  # noqa: F401
     op3_sharding,
     op4_line_dedup,
     op5_decontamination,
+    op6_hmm,
     op9_warc,
     op10_quality,
 )
