@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from inlay.staging import materialize, new_path  # noqa: F401
@@ -42,3 +44,13 @@ def ranked(df: DataFrame, group: list[str], order: list[str], rank: str, parts:
     placed = dealt.withColumn("_at", F.row_number().over(within)).join(offsets, [*group, "_part"])
     counted = placed.withColumn(rank, (F.col("_before") + F.col("_at") - 1).cast("bigint"))
     return counted.drop("_part", "_before", "_at", "_crc")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps.
+
+    They go once the driver has collected the plans that made them, which a driver with
+    little to do puts off for up to half an hour while the disks of the executors fill up.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
