@@ -7,6 +7,7 @@ from inlay.llm import (  # noqa: F401
     op4_line_dedup,
     op5_decontamination,
     op6_hmm,
+    op7_suffix,
     op8_secrets,
     op9_warc,
     op10_quality,
