@@ -5,11 +5,15 @@ for every waiting candidate, drops draws that meet the occupied set, groups the
 rest of a slot into chains of touching intervals, and accepts the first candidate
 of each chain in ``(exp_id, copy_no, seq_id)`` order.
 
-With many candidates waiting a round makes one draw each, and equal intervals of
-one slot are merged before the shuffle: a slot never holds more rows than it has
-distinct intervals, whatever the number of candidates.  Once few candidates wait,
-a round makes several draws each (``DRAW_BUDGET`` in all) and keeps the first free
-one of each, which ends the tail in a few rounds.
+A round makes one draw per candidate at first, and equal intervals of one slot are
+merged before the shuffle: a slot never holds more rows than it has distinct
+intervals, whatever the number of candidates.  Later rounds make more draws each and
+keep the first free one; how many depends on the round alone.
+
+What still waits after the rounds is put into the gaps that are left: all gaps of a
+range are cut into cells of the largest waiting size that fits, and the candidates
+take the cells in order, largest first.  Only a candidate that is longer than every gap of
+its range stays unplaced.
 """
 
 from __future__ import annotations
@@ -21,13 +25,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from inlay.functions.draws import draw
 from inlay.functions.tokens import int_div
 from inlay.operators.intervals import conflicting, self_conflicts
+from inlay.operators.scan import grouped_ordinal
 from inlay.staging import materialize, new_path
 
 KEY = ["exp_id", "copy_no", "seq_id"]
-MAX_ROUNDS = 32
-MAX_TRIES = 256  # draws per candidate after which it counts as unplaced
-DRAW_BUDGET = 200_000  # draws of a round with several draws per candidate
-MAX_DRAWS = 64
+ROUNDS = 16  # rounds of draws before gaps are filled; changes the speed and the places, not what is placed
+SINGLE_ROUNDS = 5  # rounds of one draw per candidate
+MAX_DRAWS = 32
 ROUND_SCHEMA = (
     "exp_id int, copy_no int, seq_id bigint, n int, start bigint, end_excl bigint, slot bigint, lo bigint, hi bigint"
 )
@@ -40,10 +44,12 @@ class PlacementError(ValueError):
 
 @dataclass
 class Placement:
-    """Placed rows (key, n, lo, hi, round) and rows for which no room was found (key, n)."""
+    """Placed rows (key, n, lo, hi, round), rows longer than every gap of their range (key, n),
+    and per experiment how often a candidate went through a round without being placed."""
 
     placed: DataFrame
     unplaced: DataFrame
+    waits: DataFrame  # exp_id, n_waits
     rounds: int
 
 
@@ -152,9 +158,9 @@ def accept(free: DataFrame) -> DataFrame:
     return first.select("_won.key.*", "slot", "_won.lo", "_won.hi")
 
 
-def draws_for(left: int) -> int:
-    """Draws per candidate in a round with ``left`` candidates waiting."""
-    return max(1, min(MAX_DRAWS, DRAW_BUDGET // max(1, left)))
+def draws_in(round_no: int) -> int:
+    """Draws per candidate in a round."""
+    return min(MAX_DRAWS, 1 << max(0, round_no - SINGLE_ROUNDS))
 
 
 def play_round(
@@ -171,17 +177,55 @@ def play_round(
     return accept(first.select("_pick.*", "key"))
 
 
+RANGE = ["start", "end_excl"]
+
+
+def free_gaps(ranges: DataFrame, held: DataFrame | None, length: int) -> DataFrame:
+    """Free intervals ``(start, end_excl, lo, hi)`` inside the slots of ``ranges(start, end_excl)``."""
+    step = F.lit(length).cast("bigint")
+    slots = ranges.withColumn(
+        "slot", F.explode(F.sequence(int_div(F.col("start"), step), int_div(F.col("end_excl"), step) - 1))
+    )
+    end = (F.col("slot") + 1) * step
+    edges = slots.select("slot").distinct().select("slot", end.alias("lo"), end.alias("hi"))
+    if held is not None:
+        edges = edges.unionByName(held.select("slot", "lo", "hi").join(slots.select("slot"), "slot", "left_semi"))
+    before = Window.partitionBy("slot").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.coalesce(F.max("hi").over(before), F.col("slot") * step - 1)
+    gaps = edges.select("slot", (reach + 1).alias("lo"), (F.col("lo") - 1).alias("hi")).where("lo <= hi")
+    return slots.join(gaps, "slot").select(*RANGE, "lo", "hi")
+
+
+def play_gaps(waiting: DataFrame, held: DataFrame | None, length: int) -> DataFrame:
+    """Rows ``(KEY, slot, lo, hi)`` for waiting candidates put into gaps; none if no candidate fits."""
+    gaps = materialize(free_gaps(waiting.select(*RANGE).distinct(), held, length), "gaps")
+    size = F.col("hi") - F.col("lo") + 1
+    widest = gaps.groupBy(*RANGE).agg(F.max(size).alias("widest"))
+    fits = waiting.join(widest, RANGE).where(F.col("n") <= F.col("widest"))
+    cell = fits.groupBy(*RANGE).agg(F.max("n").cast("bigint").alias("cell"))
+    cut = F.explode(F.sequence(F.col("lo"), F.col("hi") - F.col("cell") + 1, F.col("cell"))).alias("at")
+    cells = gaps.join(cell, RANGE).where(size >= F.col("cell")).select(*RANGE, cut)
+    cells = grouped_ordinal(cells, RANGE, ["at"], "_rank")
+    ranked = grouped_ordinal(fits.withColumn("_size", -F.col("n")), RANGE, ["_size", *KEY], "_rank")
+    met = ranked.join(cells, [*RANGE, "_rank"]).select(
+        int_div(F.col("at"), F.lit(length).cast("bigint")).alias("slot"),
+        F.col("at").alias("lo"),
+        (F.col("at") + F.col("n") - 1).alias("hi"),
+        F.struct(*KEY).alias("key"),
+    )
+    return accept(met)  # ranges that overlap may have met in a gap
+
+
 def place_random(
     candidates: DataFrame,
     length: int,
     seed: int,
     occupied: DataFrame | None = None,
-    max_rounds: int = MAX_ROUNDS,
-    max_tries: int = MAX_TRIES,
+    max_rounds: int = ROUNDS,
 ) -> Placement:
     """Place ``candidates(exp_id, copy_no, seq_id, n, start, end_excl)`` without overlap.
 
-    A candidate still waiting after ``max_rounds`` rounds or ``max_tries`` draws is unplaced.
+    Every candidate is placed unless it is longer than every gap that is left in its range.
     Only counts reach the driver.  Every round is one folder of a stage table; it is
     both the growing occupied set and the input of the next round.
     """
@@ -198,33 +242,39 @@ def place_random(
         n_held = initial.count()
     base = new_path(spark, "rounds")
     paths: list[str] = []
-    tries = 0
 
-    def placed() -> DataFrame:
+    def log() -> DataFrame:
         if not paths:
             return spark.createDataFrame([], ROUND_SCHEMA + ", round int")
-        log = spark.read.schema(ROUND_SCHEMA + ", round int").option("basePath", base)
-        return log.parquet(*paths).where("slot is not null")
+        return spark.read.schema(ROUND_SCHEMA + ", round int").option("basePath", base).parquet(*paths)
+
+    def placed() -> DataFrame:
+        return log().where("slot is not null")
 
-    while left and len(paths) < max_rounds and tries < max_tries:
-        round_no, draws = len(paths), draws_for(left)
-        tries += draws
+    moved = True
+    while left and (len(paths) < max_rounds or moved):
+        round_no = len(paths)
         held = initial if n_held else None
         if paths:
             earlier = placed().select("slot", "lo", "hi")
             held = earlier if initial is None else earlier.unionByName(initial)
-        if n_held > PRUNE_ABOVE:
-            slots = draw_positions(waiting, length, seed, round_no, draws).select("slot").distinct()
-            small = left * draws <= DRAW_BUDGET
-            held = held.join(F.broadcast(slots) if small else slots, "slot", "left_semi")
-        won = play_round(waiting, held, length, seed, round_no, draws)
+        if round_no < max_rounds:
+            draws = draws_in(round_no)
+            if n_held > PRUNE_ABOVE:
+                slots = draw_positions(waiting, length, seed, round_no, draws).select("slot").distinct()
+                held = held.join(slots, "slot", "left_semi")
+            won = play_round(waiting, held, length, seed, round_no, draws)
+        else:
+            won = play_gaps(waiting, held, length)
         path = f"{base}/round={round_no}"
         waiting.join(won, KEY, "left").select(*[c.split()[0] for c in ROUND_SCHEMA.split(", ")]).write.parquet(path)
         paths.append(path)
         waiting = spark.read.schema(ROUND_SCHEMA).parquet(path).where("slot is null").select(*waiting.columns)
         before, left = left, waiting.count()
+        moved = before > left or round_no < max_rounds
         n_held += before - left
-    return Placement(placed().select(*KEY, "n", "lo", "hi", "round"), waiting.select(*KEY, "n"), len(paths))
+    waits = log().where("slot is null").groupBy("exp_id").agg(F.count(F.lit(1)).alias("n_waits"))
+    return Placement(placed().select(*KEY, "n", "lo", "hi", "round"), waiting.select(*KEY, "n"), waits, len(paths))
 
 
 def merge_plans(writes: DataFrame, order_col: str = "write_seq") -> DataFrame:

@@ -48,13 +48,12 @@ def rounds_sql(candidates: str, occupied: str | None, seed: int = SEED) -> str:
     slot = f"st//{LENGTH} + {draw_sql(seed, *names, 's', 'd')} % ((en-st)//{LENGTH})"
     offset = f"{draw_sql(seed, *names, 'o', 'd')} % ({LENGTH}-n+1)"
     order = f"partition by slot order by lo, hi, {key}"
-    budget = f"{placement.DRAW_BUDGET} // greatest(1, (select count(*) from w0))"
-    draws = f"greatest(1, least({placement.MAX_DRAWS}, {budget}))"
-    last = placement.MAX_ROUNDS - 1
+    # one draw in each of the rounds 0 to 5, then twice as many each round, 32 at most
+    draws = "least(32, 1 << greatest(0, r + 1 - 5))"
     return (
-        f"{head}rounds as (select -1 r, 0::BIGINT tries, exp_id, copy_no, seq_id, n::BIGINT n, st::BIGINT st, en::BIGINT en,"
+        f"{head}rounds as (select -1 r, exp_id, copy_no, seq_id, n::BIGINT n, st::BIGINT st, en::BIGINT en,"
         f" null::BIGINT slot, null::BIGINT lo, null::BIGINT hi, false placed from ({candidates}) union all ("
-        f" with w0 as (select * from rounds where not placed and r < {last} and tries < {placement.MAX_TRIES}),"
+        f" with w0 as (select * from rounds where not placed and r < 15),"
         f" d0 as (select r, {key}, n, st, en, unnest(range({draws})) d from w0),"
         f" d1 as (select *, {slot} slot, {offset} off from d0),"
         f" d2 as (select r, {key}, d, slot, slot*{LENGTH}+off lo, slot*{LENGTH}+off+n-1 hi from d1),"
@@ -67,8 +66,8 @@ def rounds_sql(candidates: str, occupied: str | None, seed: int = SEED) -> str:
         " and current row) chain from c1),"
         f" won as (select {key}, slot, lo, hi from (select *, row_number() over (partition by slot, chain order by"
         f" {key}) w from c2) where w=1)"
-        f" select r+1, tries+{draws}, {key}, n, st, en, won.slot, won.lo, won.hi, won.slot is not null from w0 left join"
-        f" won using ({key}) union all select r+1, tries+{draws}, {key}, n, st, en, slot, lo, hi, placed from rounds where placed and exists"
+        f" select r+1, {key}, n, st, en, won.slot, won.lo, won.hi, won.slot is not null from w0 left join"
+        f" won using ({key}) union all select r+1, {key}, n, st, en, slot, lo, hi, placed from rounds where placed and exists"
         " (select 1 from w0))),"
         " placed as (select * from rounds where placed and r = (select max(r) from rounds))"
     )

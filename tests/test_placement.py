@@ -87,18 +87,54 @@ def test_full_range_reports_leftovers(spark):
     sizes = [8] * 30
     result = placement.place_random(candidates(spark, sizes, 0, 64), 16, 5, max_rounds=6)
     rows, left = check(result, sizes, 16, 0, 64)
-    assert len(rows) <= 8 and left
+    assert len(left) >= 30 - 8 and widest_gap(rows, [], 16, 64) < 8
 
 
-def test_many_candidates_for_one_sequence(spark, monkeypatch):
-    """With one draw per round equal intervals are merged; nothing is lost."""
-    monkeypatch.setattr(placement, "DRAW_BUDGET", 1)
+def widest_gap(rows, held, length, end):
+    used = set()
+    for lo, hi in [(r.lo, r.hi) for r in rows] + held:
+        used |= set(range(lo, hi + 1))
+    widest = run = 0
+    for at in range(end):
+        run = 0 if at in used else (1 if at % length == 0 else run + 1)
+        widest = max(widest, run)
+    return widest
+
+
+def test_every_candidate_that_fits_is_placed(spark):
+    sizes = [8] * 1000  # as many slots as candidates
+    result = placement.place_random(candidates(spark, sizes, 0, 8000), 8, 3)
+    rows, left = check(result, sizes, 8, 0, 8000)
+    assert len(rows) == 1000 and not left
+
+
+@pytest.mark.parametrize("max_rounds", [0, 4, 16])
+def test_dense_mixed_sizes_leave_only_what_has_no_gap(spark, max_rounds):
+    sizes = [1 + i * 5 % 13 for i in range(150)]
+    held = [(i * 16, i * 16 + i % 7) for i in range(0, 60, 2)]
+    taken = spark.createDataFrame(held, "lo bigint, hi bigint")
+    result = placement.place_random(candidates(spark, sizes, 0, 960), 16, 5, taken, max_rounds=max_rounds)
+    rows, left = check(result, sizes, 16, 0, 960, held)
+    assert left and min(r.n for r in left) > widest_gap(rows, held, 16, 960)
+    assert {r.exp_id: r.n_waits for r in result.waits.collect()}.get(0, 0) >= len(left)
+
+
+def test_many_candidates_for_one_sequence(spark):
     sizes = [2] * 400
     result = placement.place_random(candidates(spark, sizes, 0, 64), 64, 5, max_rounds=5)
     rows, left = check(result, sizes, 64, 0, 64)
     assert rows and len(rows) + len(left) == 400
 
 
+def test_ranges_that_overlap(spark):
+    parts = [candidates(spark, [4] * 20, 0, 64), candidates(spark, [4] * 20, 32, 96)]
+    both = parts[0].unionByName(parts[1].withColumn("exp_id", F.lit(7)))
+    result = placement.place_random(both, 16, 5, max_rounds=1)
+    rows = sorted((r.lo, r.hi) for r in result.placed.collect())
+    assert all(a[1] < b[0] for a, b in zip(rows, rows[1:]))
+    assert len(rows) + result.unplaced.count() == 40 and len(rows) >= 18
+
+
 def test_pruned_occupied_set_changes_nothing(spark, monkeypatch):
     sizes = [4] * 50
     held = [(i * 64, i * 64 + 30) for i in range(40)]
