@@ -54,12 +54,40 @@ def patches(index_map: DataFrame) -> DataFrame:
     return listed.select("index", F.flatten(filled).alias("patch"))
 
 
+def _with_reason(sequences: DataFrame, index_map: DataFrame) -> DataFrame:
+    sizes = sequences.select("index", F.size("tokens").alias("_held"))
+    reason = F.when(F.col("_held").isNull(), F.lit("no sequence")).when(
+        F.col("pos") + F.size("tokens") > F.col("_held"), F.lit("behind the end")
+    )
+    return index_map.join(sizes, "index", "left").withColumn("reason", reason).drop("_held")
+
+
+def beyond_corpus(sequences: DataFrame, index_map: DataFrame) -> DataFrame:
+    """Map rows that cannot be written: no such sequence, or tokens behind its end (``reason``)."""
+    return _with_reason(sequences, index_map).where("reason is not null")
+
+
+def within_corpus(sequences: DataFrame, index_map: DataFrame) -> DataFrame:
+    """Map rows that can be written; together with :func:`beyond_corpus` all of them."""
+    return _with_reason(sequences, index_map).where("reason is null").drop("reason")
+
+
 def overlay(sequences: DataFrame, index_map: DataFrame) -> DataFrame:
-    """``sequences(index, tokens)`` with the plan's tokens written over them, lengths unchanged."""
-    joined = sequences.join(patches(index_map), "index", "left")
-    fitted = F.slice("patch", F.lit(1), F.size("tokens"))
-    merged = F.zip_with(F.col("tokens"), fitted, lambda t, p: F.coalesce(p, t))
-    return joined.withColumn("tokens", F.when(F.col("patch").isNull(), F.col("tokens")).otherwise(merged)).drop("patch")
+    """``sequences(index, tokens)`` with the plan's tokens written over them, lengths unchanged.
+
+    Sequences without insertions pass through where they are; only the others move.  A
+    map row that cannot be written fails the job; :func:`beyond_corpus` lists such rows.
+    """
+    plan = patches(index_map)
+    touched = plan.select("index")
+    untouched = sequences.join(touched, "index", "left_anti")
+    joined = sequences.join(touched, "index", "left_semi").join(plan, "index", "right")
+    message = F.concat(F.lit("the plan goes beyond the corpus at sequence "), F.col("index"))
+    unfit = F.col("tokens").isNull() | (F.size("patch") > F.size("tokens"))
+    merged = F.zip_with("tokens", F.slice("patch", F.lit(1), F.size("tokens")), lambda t, p: F.coalesce(p, t))
+    tokens = F.when(unfit, F.raise_error(message).cast("array<int>")).otherwise(merged)
+    written = joined.withColumn("tokens", tokens).select(*sequences.columns)
+    return untouched.unionByName(written)
 
 
 def read_back(sequences: DataFrame, index_map: DataFrame) -> DataFrame:

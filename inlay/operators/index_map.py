@@ -100,13 +100,12 @@ class IndexMap:
 
     def overlaps(self) -> DataFrame:
         """Stored rows that meet an earlier row of their index (appends may cause this)."""
-        reach = F.col("pos") + F.size("tokens") - 1
         rows = self.rows().where(F.size("tokens") > 0)
-        # positions of different indices are kept apart by packing the index into the high bits
-        base = F.shiftleft(F.col("index"), 31)
-        keyed = rows.select("index", "ordinal", "pos", (base + F.col("pos")).alias("lo"), (base + reach).alias("hi"))
-        scanned = ordered_scan(keyed, ["lo", "hi", "ordinal"], max_before={"_reach": F.col("hi")})
-        return scanned.where("_reach >= lo").select("index", "ordinal", "pos")
+        reach = F.struct("index", (F.col("pos") + F.size("tokens") - 1).alias("hi"))
+        keyed = rows.select("index", "ordinal", "pos", reach.alias("reach"))
+        scanned = ordered_scan(keyed, ["index", "pos", "reach", "ordinal"], max_before={"_reach": F.col("reach")})
+        met = (F.col("_reach.index") == F.col("index")) & (F.col("_reach.hi") >= F.col("pos"))
+        return scanned.where(met).select("index", "ordinal", "pos")
 
 
 @dataclass

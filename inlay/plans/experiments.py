@@ -92,14 +92,11 @@ def length_gate_counts(rows: DataFrame, length: int) -> DataFrame:
 
 
 def length_profile(rows: DataFrame) -> DataFrame:
-    """Shortest, longest and second-longest distinct length (null when all are equal).
-
-    The set of distinct lengths has at most as many members as the longest sequence has tokens.
-    """
-    lengths = rows.select(F.size("tokens").alias("len")).distinct()
-    top = lengths.agg(F.sort_array(F.collect_set("len"), asc=False).alias("l"), F.min("len").alias("min_len"))
-    second = F.when(F.get("l", F.lit(0)) != F.col("min_len"), F.get("l", F.lit(1)))
-    return top.select("min_len", F.get("l", F.lit(0)).alias("max_len"), second.alias("second_max_len"))
+    """Shortest, longest and second-longest distinct length (null when all are equal)."""
+    size = F.size("tokens")
+    longest = rows.agg(F.max(size)).first()[0]  # one number
+    second = F.max(F.when(size < F.lit(longest).cast("int"), size))
+    return rows.agg(F.min(size).alias("min_len"), F.max(size).alias("max_len"), second.alias("second_max_len"))
 
 
 def explicit_rows(experiments: Sequence[Experiment], geometry: Geometry, eos: int) -> DataFrame | None:

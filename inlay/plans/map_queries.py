@@ -224,17 +224,34 @@ def pack_sequences(t: Tables) -> DataFrame:
     with_views(
         "select p.index, string_agg(coalesce(c.token, p.token)::VARCHAR, ',' order by p.off) tokens from (select index,"
         " unnest(tokens) token, generate_subscripts(tokens, 1) - 1 off from packed) p left join (select index,"
-        " pos + generate_subscripts(tokens, 1) - 1 off, unnest(tokens) token from imap) c on c.index=p.index and"
-        " c.off=p.off group by p.index",
+        " pos + generate_subscripts(tokens, 1) - 1 off, unnest(tokens) token from imap join (select index, len(tokens) held from"
+        " packed) using (index) where pos + len(tokens) <= held) c on c.index=p.index and c.off=p.off group by p.index",
         "v_doc_tokens",
         "v_plan",
         extra=PACKED + ", " + REINDEX.format(c=LENGTH, src="v_plan"),
     ),
 )
 def overlay_sequences(t: Tables) -> DataFrame:
-    """The whole plan written over the packed documents."""
-    changed = corpus.overlay(packed(t), reindex.reindex(t.plan, LENGTH))
-    return changed.select("index", joined("tokens").alias("tokens"))
+    """The plan written over the packed documents; ``overlay_beyond`` has its rows behind their end."""
+    sequences = materialize(packed(t), "packed")
+    rows = corpus.within_corpus(sequences, reindex.reindex(t.plan, LENGTH))
+    return corpus.overlay(sequences, rows).select("index", joined("tokens").alias("tokens"))
+
+
+@query(
+    "overlay_beyond",
+    with_views(
+        "select index, ordinal, pos, len(tokens) n, if(held is null, 'no sequence', 'behind the end') reason from imap left"
+        " join (select index, len(tokens) held from packed) using (index) where held is null or pos + len(tokens) > held",
+        "v_doc_tokens",
+        "v_plan",
+        extra=PACKED + ", " + REINDEX.format(c=LENGTH, src="v_plan"),
+    ),
+)
+def overlay_beyond(t: Tables) -> DataFrame:
+    """Rows of the plan that the packed documents have no place for, and why."""
+    rows = corpus.beyond_corpus(packed(t), reindex.reindex(t.plan, LENGTH))
+    return rows.select("index", "ordinal", "pos", F.size("tokens").cast("bigint").alias("n"), "reason")
 
 
 ORDERED = (

@@ -9,6 +9,7 @@ from inlay.operators import index_map
 from inlay.plans.catalog import joined, query, rounded
 from inlay.plans.placement_queries import CHUNK, FLAT, GEOMETRY, reindex_sql, rounds_sql, wrapped_sql
 from inlay.plans.views import BATCH, EOS, LENGTH, SEED, Tables, with_views
+from inlay.session import DEFAULTS
 from inlay.sources.records import control_prompts
 from inlay.staging import new_path
 from inlay.streaming import append, control
@@ -64,8 +65,10 @@ def control_periods(t: Tables) -> DataFrame:
 
 
 STATES = (
-    "p as (select event_type experiment, event_id//100//10*10 step, count(*) n, sum(round(value*100)::BIGINT) amount from"
-    " events group by all), s as (select experiment, step, sum(n) over w n, sum(amount) over w level, amount latest from p"
+    "seen as (select event_type experiment, event_id//100//10*10 step, count(*) n, sum(round(value*100)::BIGINT) amount from"
+    " events group by all), every as (select experiment, unnest(range(0, max(step)+1, 10)) step from seen group by experiment),"
+    " p as (select experiment, step, coalesce(n, 0) n, coalesce(amount, 0) amount from every left join seen using (experiment,"
+    " step)), s as (select experiment, step, sum(n) over w n, sum(amount) over w level, amount latest from p"
     " window w as (partition by experiment order by step))"
 )
 
@@ -81,6 +84,8 @@ def running_totals(state: dict, step: int, total: int, seen: dict) -> dict:
 
 def states(t: Tables) -> DataFrame:
     """The control stream run to its end, its output read back."""
+    # the driver may start its session without the package's defaults
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", DEFAULTS["spark.sql.streaming.stateStore.providerClass"])
     end = t.table("events").agg(F.max(F.expr("event_id div 100"))).first()[0] + 1
     out = control.control_state(control_events(t), running_totals, {"n": 0.0, "level": 0.0}, 0, end, EVERY)
     path = new_path(t.spark, "states")
@@ -92,7 +97,7 @@ def states(t: Tables) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return t.spark.read.schema(control.STATE_SCHEMA).parquet(path)
+    return control.latest_states(t.spark.read.schema(control.STATE_SCHEMA).parquet(path))
 
 
 @query(

@@ -16,11 +16,10 @@ from inlay.operators.placement import KEY, spans
 from inlay.plans.experiments import gate_and_wrap, place_sequences
 from inlay.staging import materialize
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE_SCHEMA = "experiment string, step bigint, state map<string,double>"
+STATE_SCHEMA = "experiment string, step bigint, state map<string,double>, texts array<string>, revision bigint, ignored bigint"
 
-# (state, step since start, total steps, observed totals) -> new state
-ControlProgram = Callable[[dict, int, int, dict], dict]
+# (state, step since start, total steps, observed totals) -> new state, or new state and texts
+ControlProgram = Callable[[dict, int, int, dict], dict | tuple[dict, list[str]]]
 
 
 def periods(steps: DataFrame, start: int, end: int, every: int) -> DataFrame:
@@ -32,20 +31,24 @@ def periods(steps: DataFrame, start: int, end: int, every: int) -> DataFrame:
     )
 
 
-def period_of(step: Column, every: int) -> Column:
-    return int_div(step, every)
+def period_of(step: Column, every: int, start: int = 0) -> Column:
+    """Number of the period, counted from ``start``."""
+    return int_div(step - start, every)
 
 
-def merge_observations(rows: DataFrame, every: int) -> DataFrame:
+def merge_observations(rows: DataFrame, start: int, end: int, every: int) -> DataFrame:
     """Totals per experiment and period, merged inside each Arrow batch before any shuffle.
 
-    ``rows`` holds ``experiment, step, amount`` with whole-number amounts.
+    ``rows`` holds ``experiment, step, amount`` with whole-number amounts.  Steps outside
+    ``[start, end)`` are counted under a null period.
     """
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["step"] = batch["step"] // every * every
-            grouped = batch.groupby(["experiment", "step"], as_index=False)
+            inside = batch["step"].between(start, end - 1)
+            first = start + (batch["step"] - start) // every * every
+            batch["step"] = first.where(inside).astype("Int64")
+            grouped = batch.groupby(["experiment", "step"], as_index=False, dropna=False)
             yield grouped.agg(n=("amount", "size"), amount=("amount", "sum"))
 
     return rows.select("experiment", "step", "amount").mapInPandas(
@@ -54,11 +57,12 @@ def merge_observations(rows: DataFrame, every: int) -> DataFrame:
 
 
 class ControlState(StatefulProcessor):
-    """Runs the control program once per experiment and period, in step order.
+    """Runs the control program over the periods of each experiment, in step order.
 
-    A period takes the state its predecessor left; the first one takes the initial
-    state.  When the predecessor left none, the period is skipped.  A micro-batch
-    brings whole periods.
+    The totals of every period are kept, so a period may be spread over any number of
+    micro-batches and rows may come late: the program runs again from the first period
+    that changed up to the last one seen, periods without rows included.  Each row that comes out
+    carries the number of rows seen so far; of several for one period the largest holds.
     """
 
     def __init__(self, program: ControlProgram, initial: dict, start: int, end: int, every: int):
@@ -66,34 +70,40 @@ class ControlState(StatefulProcessor):
         self.start, self.end, self.every = start, end, every
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("control", "step bigint, names array<string>, numbers array<double>")
+        self.totals = handle.getMapState("totals", "step bigint", "n bigint, amount bigint")
+        self.counts = handle.getValueState("counts", "seen bigint, ignored bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seen: dict[int, list[int]] = {}
+        fresh: dict[int, list[int]] = {}
+        seen, ignored = self.counts.get() if self.counts.exists() else (0, 0)
         for chunk in rows:
             for step, n, amount in zip(chunk["step"], chunk["n"], chunk["amount"]):
-                total = seen.setdefault(int(step), [0, 0])
+                seen += int(n)
+                if pd.isna(step):
+                    ignored += int(n)
+                    continue
+                total = fresh.setdefault(int(step), [0, 0])
                 total[0] += int(n)
                 total[1] += int(amount)
-        last, state = None, None
-        if self.kept.exists():
-            step, names, numbers = self.kept.get()
-            last, state = step, dict(zip(names, numbers))
+        self.counts.update((seen, ignored))
+        done = max((k[0] for k, _ in self.totals.iterator()), default=self.start - 1)
+        for step, (n, amount) in fresh.items():
+            if self.totals.containsKey((step,)):
+                before = self.totals.getValue((step,))
+                n, amount = n + before[0], amount + before[1]
+            self.totals.updateValue((step,), (n, amount))
         out = []
-        for step in sorted(seen):
-            if step == self.start:
-                current = dict(self.initial)
-            elif state is not None and last == step - self.every:
-                current = state
-            else:
-                continue
-            n, amount = seen[step]
-            state = self.program(current, step - self.start, self.end - self.start, {"n": n, "amount": amount})
-            last = step
-            out.append((key[0], step, {k: float(v) for k, v in state.items()}))
-        if state is not None:
-            self.kept.update((last, list(state), [float(v) for v in state.values()]))
-        yield pd.DataFrame(out, columns=["experiment", "step", "state"])
+        if fresh:
+            known = {k[0]: tuple(v) for k, v in self.totals.iterator()}
+            state = dict(self.initial)
+            for step in range(self.start, max(known) + 1, self.every):
+                n, amount = known.get(step, (0, 0))
+                result = self.program(state, step - self.start, self.end - self.start, {"n": n, "amount": amount})
+                state, texts = result if isinstance(result, tuple) else (result, [])
+                if step >= min(fresh) or step > done:
+                    values = {k: float(v) for k, v in state.items()}
+                    out.append((key[0], step, values, list(texts), seen, ignored))
+        yield pd.DataFrame(out, columns=["experiment", "step", "state", "texts", "revision", "ignored"])
 
     def close(self) -> None:
         pass
@@ -102,9 +112,8 @@ class ControlState(StatefulProcessor):
 def control_state(
     rows: DataFrame, program: ControlProgram, initial: dict, start: int, end: int, every: int
 ) -> DataFrame:
-    """Streaming ``rows(experiment, step, amount)`` to ``(experiment, step, state)``."""
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    merged = merge_observations(rows, every)
+    """Streaming ``rows(experiment, step, amount)`` to rows of :data:`STATE_SCHEMA`."""
+    merged = merge_observations(rows, start, end, every)
     return merged.groupBy("experiment").transformWithStateInPandas(
         statefulProcessor=ControlState(program, initial, start, end, every),
         outputStructType=STATE_SCHEMA,
@@ -113,6 +122,19 @@ def control_state(
     )
 
 
+def latest_states(states: DataFrame) -> DataFrame:
+    """The row that holds for each experiment and period, of all that a stream gave out."""
+    rest = F.struct("state", "texts", "revision", "ignored")
+    return states.groupBy("experiment", "step").agg(F.max_by(rest, "revision").alias("_r")).select("experiment", "step", "_r.*")
+
+
+def control_texts(states: DataFrame) -> DataFrame:
+    """Texts of the control program as ``(step, prompt_id, text)``, numbered by experiment, period and place."""
+    each = states.select("step", "experiment", F.posexplode("texts").alias("at", "text"))
+    prompt = F.xxhash64("experiment", "step", "at").bitwiseAND(F.lit((1 << 62) - 1))
+    return each.select("step", prompt.alias("prompt_id"), "text")
+
+
 def control_metrics(states: DataFrame) -> DataFrame:
     """State entries as metric rows ``(step, metric, value)``."""
     entries = states.select("step", "experiment", F.explode("state").alias("key", "value"))
@@ -131,7 +153,8 @@ def place_period_texts(
     """Texts ``batch(step, prompt_id, text)`` placed at random inside their period.
 
     All periods of a batch share the placement rounds; each has its own token
-    range, and the period takes part in the draws.
+    range, and the period takes part in the draws.  Texts without room come back with a
+    null position.
     """
     period = period_of(F.col("step"), every)
     first, last = geometry.token_range_columns(period * every, F.lit(every))
@@ -147,21 +170,21 @@ def place_period_texts(
     rows = materialize(wrapped.withColumn("n", F.size("tokens")), "period")
     result = place_sequences(rows, geometry.sequence_length, seed, occupied)
     placed = result.placed.select(*KEY, F.col("lo").alias("position"))
-    return rows.select(*KEY, "tokens").join(placed, KEY).select(
+    return rows.select(*KEY, "tokens").join(placed, KEY, "left").select(
         F.col("exp_id").cast("bigint").alias("period"), "seq_id", "position", "tokens"
     )
 
 
-PLAN_SCHEMA = "seq_id bigint, position bigint, tokens array<int>, period bigint"
+PLAN_SCHEMA = "seq_id bigint, position bigint, tokens array<int>, batch_id bigint, period bigint"
 
 
-def save_periods(plan: DataFrame, path: str) -> None:
-    """Store period plans; a period that is planned again replaces itself."""
-    out = plan.select("seq_id", "position", "tokens", "period")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(path)
+def save_periods(plan: DataFrame, path: str, batch_id: int) -> None:
+    """Store the rows one micro-batch placed; a batch that runs again replaces its own rows only."""
+    out = plan.select("seq_id", "position", "tokens", F.lit(batch_id).cast("bigint").alias("batch_id"), "period")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "period").parquet(path)
 
 
-def read_periods(spark, path: str) -> DataFrame:
+def stored_periods(spark, path: str) -> DataFrame:
     try:
         return spark.read.schema(PLAN_SCHEMA).parquet(path)
     except Exception as error:  # nothing planned yet
@@ -170,6 +193,16 @@ def read_periods(spark, path: str) -> DataFrame:
         raise
 
 
+def read_periods(spark, path: str) -> DataFrame:
+    """Everything that was placed, by all micro-batches."""
+    return stored_periods(spark, path).where("position is not null").drop("batch_id")
+
+
+def read_unplaced(spark, path: str) -> DataFrame:
+    """``period, seq_id, n`` of the texts their period had no room for."""
+    return stored_periods(spark, path).where("position is null").select("period", "seq_id", F.size("tokens").alias("n"))
+
+
 def period_plan_stream(
     texts: DataFrame,
     tokens: Column,
@@ -184,20 +217,19 @@ def period_plan_stream(
 ) -> StreamingQuery:
     """Plan every control period of a stream of ``texts(step, prompt_id, text)`` into ``path``.
 
-    New texts avoid what other periods placed and, unless ``share_occupied`` is
-    off, the static plan.
+    New texts avoid what other periods and other micro-batches placed and, unless
+    ``share_occupied`` is off, the static plan.  A period may be spread over any number of batches.
     """
 
     def plan(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = materialize(batch, "texts")
-        touched = batch.select(period_of(F.col("step"), every).alias("period")).distinct()
-        others = read_periods(spark, path).join(touched, "period", "left_anti")
+        others = stored_periods(spark, path).where(F.col("position").isNotNull() & (F.col("batch_id") != batch_id))
         held = spans(others)
         if static is not None and share_occupied:
             held = held.unionByName(spans(static))
         held = materialize(held, "held")
-        save_periods(place_period_texts(batch, tokens, geometry, every, seed, eos, held), path)
+        save_periods(place_period_texts(batch, tokens, geometry, every, seed, eos, held), path, batch_id)
 
     return (
         texts.writeStream.foreachBatch(plan)

@@ -90,3 +90,10 @@ def test_one_index_with_a_third_of_the_rows(store, spark, map_of):
     got = nested(store.rows())
     assert got[0] == [(7, [7])] + rows[0]
     assert len(got) == 6001
+
+
+def test_overlaps_of_large_indices(spark, tmp_path):
+    store = IndexMap(spark, str(tmp_path / "large"))
+    rows = [(0, 0, 1, [1, 2]), (1 << 33, 0, 2, [3]), (1 << 33, 1, 2, [4, 5]), ((1 << 33) + 1, 0, 0, [1] * 9)]
+    store.overwrite(spark.createDataFrame(rows, "index bigint, ordinal bigint, pos int, tokens array<int>"))
+    assert [(r["index"], r["ordinal"]) for r in store.overlaps().collect()] == [(1 << 33, 1)]

@@ -80,9 +80,15 @@ def test_pack_and_overlay(spark, map_of):
     assert [list(r.tokens) for r in packed.orderBy("index").collect()] == [[1, 2, 3, 4], [5, 6, 7, 8], [9, 10, 11, 12], [13, 14]]
     with_eos = corpus.pack_sequences(docs, 4, eos=0).orderBy("index").collect()
     assert sum((list(r.tokens) for r in with_eos), []) == [1, 2, 3, 0, 0, *range(4, 15), 0]
-    plan = map_of({0: [(1, [91, 92]), (2, [93])], 2: [(3, [94])], 3: [(1, [95, 96])]})
+    plan = map_of({0: [(1, [91, 92]), (2, [93])], 2: [(3, [94])], 3: [(1, [95])]})
     changed = corpus.overlay(packed, plan).orderBy("index").collect()
     assert [list(r.tokens) for r in changed] == [[1, 91, 93, 4], [5, 6, 7, 8], [9, 10, 11, 94], [13, 95]]
+    for beyond, reason in (({3: [(1, [95, 96])]}, "behind the end"), ({4: [(0, [1])]}, "no sequence")):
+        rows = map_of(beyond)
+        with pytest.raises(Exception, match="beyond the corpus at sequence"):
+            corpus.overlay(packed, rows).collect()
+        assert [r.reason for r in corpus.beyond_corpus(packed, rows).collect()] == [reason]
+        assert corpus.within_corpus(packed, rows.unionByName(plan)).count() == 4
 
 
 def test_missing_instance_fails(spark, map_of):
@@ -177,22 +183,50 @@ def count_up(state, step, total, seen):
     return {"n": state["n"] + seen["n"], "step": step}
 
 
-def test_control_state_is_handed_over_and_skips_gaps(spark, tmp_path):
-    source = str(tmp_path / "in")
-    out, progress = new_path(spark, "states"), new_path(spark, "progress")
+def control_run(spark, files, start, end, every, program=count_up, per_trigger=None):
+    """The states of a stream over ``files``, each a list of rows, and all rows it gave out."""
+    source, out, progress = (new_path(spark, n) for n in ("in", "states", "progress"))
     schema = "experiment string, step bigint, amount bigint"
-
-    def feed(rows):
+    for rows in files:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(schema).parquet(source)
-        states = control.control_state(stream, count_up, {"n": 100.0}, 0, 100, 10)
-        writer = states.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress)
-        writer.trigger(availableNow=True).start().awaitTermination()
-
-    feed([("a", 3, 1), ("a", 12, 1), ("a", 15, 1), ("b", 11, 1)])
-    feed([("a", 22, 1), ("a", 41, 1)])
-    rows = spark.read.schema(control.STATE_SCHEMA).parquet(out).orderBy("step").collect()
-    assert [(r.experiment, r.step, r.state["n"]) for r in rows] == [("a", 0, 101), ("a", 10, 103), ("a", 20, 104)]
+    reader = spark.readStream.schema(schema)
+    if per_trigger:
+        reader = reader.option("maxFilesPerTrigger", per_trigger)
+    states = control.control_state(reader.parquet(source), program, {"n": 100.0}, start, end, every)
+    writer = states.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    every_row = spark.read.schema(control.STATE_SCHEMA).parquet(out)
+    return control.latest_states(every_row).orderBy("experiment", "step").collect()
+
+
+@pytest.mark.parametrize("per_trigger", [None, 1])
+def test_control_state_does_not_depend_on_batches(spark, per_trigger):
+    files = [
+        [("a", 3, 1), ("a", 12, 1)],
+        [("a", 15, 1), ("b", 11, 1), ("a", 4, 1)],  # the rest of two periods
+        [("a", 41, 1), ("a", 500, 1), ("a", -1, 1)],  # two periods without rows, two steps outside
+    ]
+    rows = control_run(spark, files, 0, 100, 10, per_trigger=per_trigger)
+    got = {(r.experiment, r.step): r.state["n"] for r in rows}
+    want = {("a", 0): 102, ("a", 10): 104, ("a", 20): 104, ("a", 30): 104, ("a", 40): 105, ("b", 0): 100, ("b", 10): 101}
+    assert got == want
+    assert [r.ignored for r in rows if (r.experiment, r.step) == ("a", 40)] == [2]
+
+
+def test_control_periods_count_from_the_start(spark):
+    rows = control_run(spark, [[("a", 7, 1), ("a", 16, 1), ("a", 17, 1)]], 7, 100, 10)
+    assert [(r.step, r.state["n"], r.state["step"]) for r in rows] == [(7, 102, 0), (17, 103, 10)]
+
+
+def test_control_program_may_give_texts(spark):
+    def speak(state, step, total, seen):
+        return {"n": state["n"] + seen["n"]}, [f"step {step}"] * int(seen["n"])
+
+    rows = control_run(spark, [[("a", 1, 1), ("a", 2, 1), ("a", 25, 1)]], 0, 100, 10, program=speak)
+    assert [r.texts for r in rows] == [["step 0", "step 0"], [], ["step 20"]]
+    texts = control.control_texts(spark.createDataFrame(rows, control.STATE_SCHEMA)).collect()
+    assert sorted((r.step, r.text) for r in texts) == [(0, "step 0"), (0, "step 0"), (20, "step 20")]
+    assert len({r.prompt_id for r in texts}) == 3
 
 
 def test_period_plans_avoid_each_other_and_replace_themselves(spark, tmp_path):
@@ -215,8 +249,34 @@ def test_period_plans_avoid_each_other_and_replace_themselves(spark, tmp_path):
     spans = sorted([(r.position, r.position + len(r.tokens) - 1) for r in rows] + [(0, 7), (100, 103)])
     assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
     assert all(r.position // 64 == r.period for r in rows)
-    control.save_periods(control.read_periods(spark, path).where("period = 2 and seq_id = 5"), path + "-copy")
-    assert control.read_periods(spark, path + "-copy").count() == 1
+    replay = control.read_periods(spark, path).where("period = 2 and seq_id = 5")
+    for batch_id, n in ((0, 1), (0, 1), (1, 2)):  # a batch that runs again replaces itself only
+        control.save_periods(replay, path + "-copy", batch_id)
+        assert control.read_periods(spark, path + "-copy").count() == n
+
+
+def test_a_period_may_be_spread_over_batches(spark):
+    geometry = Geometry(16, 2)
+    source, path, progress = (new_path(spark, n) for n in ("in", "plan", "progress"))
+    schema = "step bigint, prompt_id bigint, text string"
+    for part in range(2):
+        rows = [(n % 2, part * 5 + n, "abc") for n in range(5)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    control.period_plan_stream(stream, codepoint_tokens(F.col("text")), path, geometry, 2, 1, 0, progress).awaitTermination()
+    rows = control.read_periods(spark, path).collect()
+    assert sorted(r.seq_id for r in rows) + sorted(r.seq_id for r in control.read_unplaced(spark, path).collect()) == list(range(10))
+    spans = sorted((r.position, r.position + len(r.tokens) - 1) for r in rows)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_texts_without_room_are_reported(spark):
+    source, path, progress = (new_path(spark, n) for n in ("in", "plan", "progress"))
+    schema = "step bigint, prompt_id bigint, text string"
+    spark.createDataFrame([(0, n, "abcdefghij") for n in range(4)], schema).write.parquet(source)
+    stream = spark.readStream.schema(schema).parquet(source)
+    control.period_plan_stream(stream, codepoint_tokens(F.col("text")), path, Geometry(16, 1), 2, 1, 0, progress).awaitTermination()
+    assert (control.read_periods(spark, path).count(), control.read_unplaced(spark, path).count()) == (2, 2)
 
 
 def test_shared_root_is_the_configured_folder(spark):
