@@ -33,7 +33,9 @@ BASE, RATE, TOP = 1.001, 20.0, 65535
 BAND, BANDS = 4, 32
 REGISTERS = BAND * BANDS
 SIMILAR = 80  # percent
-ROUNDS = 3  # leader rounds before the rest of a bucket is tested
+ROUNDS = 2  # leader rounds before the rest of a bucket is tested
+BUCKET_ROWS = 50_000  # larger buckets are tested in several tasks
+HOME_ROWS = 256  # documents that are compared as one block
 DOUBT = 18.0  # log-likelihood by which a pair must miss the threshold to be discarded
 SKETCHES = "doc_id bigint, n_shingles bigint, digest binary, sketch binary"
 
@@ -164,48 +166,174 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, similar: int) -> D
     return met.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
+def likely_in_buckets(rows: DataFrame, similar: int) -> DataFrame:
+    """``(x, y)``: homes of bucket members in different components that may be similar.
+
+    ``rows(band, part, home, label, n, asks, offers, sketch)``: members that ask are compared
+    with those that offer.  The pairs are looked at inside the task; what leaves it are the
+    homes (blocks of some hundred documents) of those whose registers agree enough.
+    """
+    draws = np.arange(REGISTERS + 1) / REGISTERS
+    share = similar / 100
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gap = np.nan_to_num(draws * np.log(draws / share)) + np.nan_to_num((1 - draws) * np.log((1 - draws) / (1 - share)))
+    # equal registers are at least as likely as the similarity: a Chernoff bound excludes fewer than this
+    fewest = int(np.flatnonzero((draws >= share) | (REGISTERS * gap <= DOUBT))[0])
+
+    def pairs_of(x: dict) -> Iterator[pa.RecordBatch]:
+        seen: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+        starts = np.concatenate([[0], np.flatnonzero((x["band"][1:] != x["band"][:-1]) | (x["part"][1:] != x["part"][:-1])) + 1])
+        for first, last in zip(starts, np.append(starts[1:], len(x["band"]))):
+            asking = first + np.flatnonzero(x["asks"][first:last])
+            offered = first + np.flatnonzero(x["offers"][first:last])
+            step = max(1, (1 << 20) // max(1, len(offered)))
+            for at in range(0, len(asking), step):
+                some = asking[at : at + step]
+                na, nb = x["n"][some][:, None], x["n"][offered][None, :]
+                apart = (x["label"][some][:, None] != x["label"][offered][None, :]) & (
+                    100 * np.minimum(na, nb) >= similar * np.maximum(na, nb)
+                )
+                a, b = np.nonzero(apart)
+                a, b = some[a], offered[b]
+                for k in range(0, len(a), 4096):
+                    p, q = a[k : k + 4096], b[k : k + 4096]
+                    equal = (x["sketch"][p] == x["sketch"][q]).sum(axis=1) >= fewest
+                    p, q = p[equal], q[equal]
+                    if len(p):
+                        good = may_be_similar(x["sketch"][p], x["sketch"][q], x["n"][p].astype(float), x["n"][q].astype(float), similar)
+                        seen.append(np.unique(np.stack([x["home"][p[good]], x["home"][q[good]]], axis=1), axis=0))
+        homes = np.unique(np.concatenate(seen), axis=0)
+        if len(homes):
+            yield pa.RecordBatch.from_arrays([pa.array(homes[:, 0]), pa.array(homes[:, 1])], ["x", "y"])
+
+    def arrays_of(batches: list[pa.RecordBatch]) -> dict:
+        t = pa.Table.from_batches(batches)
+        x = {c: t.column(c).to_numpy() for c in ("band", "part", "home", "label", "n", "asks", "offers")}
+        return x | {"sketch": np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                band, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+                change = np.flatnonzero((band != band[-1]) | (part != part[-1]))
+                if len(change):  # the last list may go on in the next batch
+                    cut = int(change[-1]) + 1
+                    yield from pairs_of(arrays_of([*held[:-1], batch.slice(0, cut)]))
+                    held = [batch.slice(cut)]
+        if held:
+            yield from pairs_of(arrays_of(held))
+
+    columns = ["band", "part", "home", "label", "n", "asks", "offers", "sketch"]
+    ordered = rows.select(*columns).repartition("band", "part").sortWithinPartitions("band", "part")
+    return ordered.mapInArrow(run, "x bigint, y bigint").distinct()
+
+
+def homes_of(placed: DataFrame, mixed: DataFrame) -> DataFrame:
+    """``(rep, label, home)`` for all members of mixed buckets: blocks of about ``HOME_ROWS`` similar documents."""
+    rows = placed.join(mixed, "band")
+    asked = F.min(F.when(F.col("label") != F.col("lead.label"), F.col("lead.label")))
+    near = rows.groupBy("rep").agg(F.min("label").alias("label"), asked.alias("near"))
+    near = near.withColumn("near", F.coalesce("near", "label"))
+    sizes = near.groupBy("near").agg(F.ceil(F.count(F.lit(1)) / HOME_ROWS).alias("homes"))
+    own = F.xxhash64("near", F.pmod(F.xxhash64("rep"), F.col("homes")))
+    return near.join(sizes, "near").select("rep", "label", own.alias("home"))
+
+
+def bucket_lists(placed: DataFrame, mixed: DataFrame, homes: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components; large buckets are cut into parts that all askers visit."""
+    rows = placed.join(mixed, "band")
+    asks = F.col("label") != F.col("lead.label")
+    parts = F.ceil(F.col("held") / BUCKET_ROWS).cast("int")
+    own = F.pmod(F.xxhash64("rep"), parts).cast("int")
+    here = F.when(asks, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own))
+    rows = rows.select("band", "rep", "label", "n", asks.alias("asks"), own.alias("own"), F.explode(here).alias("part"))
+    rows = rows.withColumn("offers", F.col("part") == F.col("own"))
+    return rows.join(members.select("rep", "sketch").join(homes.select("rep", "home"), "rep"), "rep")
+
+
+def links_between(pairs: DataFrame, homes: DataFrame, bodies: DataFrame, width: int, similar: int) -> DataFrame:
+    """Links ``(a, b)`` between the documents of the homes ``pairs(x, y)``, on full sets.
+
+    A document needs one link to a component: of several, the first is given.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, y = (opened(batch.column(c)[i].as_py()) for c in (0, 1))
+                out = list(between(x, y))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+
+    def opened(rows: list[dict]) -> tuple[list, list, list]:
+        sets = [s for block in blocks(pa.array([r["text"] for r in rows], pa.string())) for s in shingle_sets(block, width)]
+        return [r["rep"] for r in rows], [r["label"] for r in rows], sets
+
+    def between(x: tuple, y: tuple) -> Iterator[tuple[int, int]]:
+        reps, labels, sets = x
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        size = np.array([len(s) for s in sets])
+        for rep, label, own in zip(*y):
+            low, high = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+            n = high - low
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(sets))
+            done: set[int] = set()
+            for k in np.flatnonzero(100 * both >= similar * (size + len(own) - both)).tolist():
+                if labels[k] != label and labels[k] not in done:
+                    done.add(labels[k])
+                    yield min(rep, reps[k]), max(rep, reps[k])
+
+    content = bodies.join(homes, "rep").groupBy("home").agg(F.collect_list(F.struct("rep", "label", "text")).alias("rows"))
+    content = materialize(content, "homes")
+    met = pairs.join(content.selectExpr("home x", "rows xs"), "x").join(content.selectExpr("home y", "rows ys"), "y")
+    return met.select("xs", "ys").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def linked(docs: DataFrame, width: int = 2, similar: int = SIMILAR, rounds: int = ROUNDS) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
+    spark = docs.sparkSession
     sketches = materialize(sketched(docs, width), "sketches")
     some = sketches.where("doc_id is not null and n_shingles > 0")
     # one row per class of equal sets, under its smallest id
-    members = F.min_by(F.struct(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch"), "doc_id").alias("c")
-    classes = materialize(some.groupBy("digest").agg(members).select("digest", "c.*"), "classes")
+    smallest = F.min_by(F.struct(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch"), "doc_id").alias("c")
+    classes = materialize(some.groupBy("digest").agg(smallest).select("digest", "c.*"), "classes")
     # smaller sets can only be similar to equal ones
     least = -(-similar // (100 - similar)) if similar < 100 else 1 << 40
     bands = band_keys(classes.where(F.col("n") >= least))
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("band")
-    buckets = materialize(bands.join(shared, "band"), "buckets")
+    buckets = materialize(bands.join(shared.hint("merge"), "band"), "buckets")
+    met = buckets.select("rep").distinct()
+    members = materialize(classes.join(met, "rep", "left_semi").select("rep", "n", "sketch"), "members")
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("rep"), "text")
-    spark = docs.sparkSession
+    # the same join at every size: a corpus' texts move once, those of bucket members are stored
+    bodies = texts.join(met.hint("merge"), "rep", "left_semi").dropDuplicates(["rep"])
+    bodies = materialize(bodies, "bodies")
     links = spark.createDataFrame([], "a bigint, b bigint")
-    tested = links
     labels = spark.createDataFrame([], "node bigint, label bigint")
     for number in range(rounds + 1):
         placed = buckets.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
         placed = placed.withColumn("label", F.coalesce("label", "rep"))
         turn = F.struct(F.xxhash64("rep", F.lit(number)).alias("turn"), "rep", "label", "n")
-        chosen = placed.groupBy("band").agg(F.max(turn).alias("lead"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-        open_buckets = chosen.where("l0 != l1").select("band", "lead")
-        apart = placed.join(open_buckets, "band").where(F.col("label") != F.col("lead.label"))
+        ends = F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("held")
+        mixed = placed.groupBy("band").agg(F.max(turn).alias("lead"), *ends).where("l0 != l1").select("band", "lead", "held")
         if number < rounds:
-            pairs = apart.select(F.col("lead.rep").alias("x"), F.col("rep").alias("y"), F.col("lead.n").alias("nx"), F.col("n").alias("ny"))
+            apart = placed.join(mixed, "band").where(F.col("label") != F.col("lead.label"))
+            apart = apart.where(sizes_agree("n", "lead.n", similar))
+            pairs = apart.select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
+            likely = estimated(pairs, members, similar)
+            likely = materialize(likely, "likely")
+            found = materialize(confirmed(likely, bodies, width, similar), "links")
         else:
             # what no leader reached, against all members it is not joined to
-            rest = apart.select("band", F.col("rep").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
-            there = placed.select("band", F.col("rep").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"))
-            near = F.col("lx") != F.col("ly")
-            pairs = rest.join(there, "band").where(near & sizes_agree("nx", "ny", similar)).drop("band")
-        pairs = pairs.where(sizes_agree("nx", "ny", similar))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.take(1):
-            if number < rounds:
-                continue
-            break
-        likely = materialize(estimated(pairs, classes, similar), "likely")
-        found = materialize(confirmed(likely, texts_of(likely, texts), width, similar), "links")
-        tested = tested.unionByName(pairs)
+            homes = materialize(homes_of(placed, mixed), "homes")
+            likely = likely_in_buckets(bucket_lists(placed, mixed, homes, members), similar)
+            found = materialize(links_between(materialize(likely, "likely"), homes, bodies, width, similar), "links")
         links = links.unionByName(found)
         labels = components(links)
     owner = classes.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
@@ -220,13 +348,6 @@ def sizes_agree(x: str, y: str, similar: int):
     return 100 * F.least(x, y) >= similar * F.greatest(x, y)
 
 
-def texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """One stored text for each document in ``pairs``."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    met = texts.join(ends, "rep", "left_semi")
-    return materialize(met.dropDuplicates(["rep"]), "texts")
-
-
 def keep_first(docs: DataFrame, width: int = 5, similar: int = SIMILAR) -> DataFrame:
     """``docs`` without all but the smallest id of each component, with all columns."""
     gone = linked(docs, width, similar).where(~F.col("kept")).select("doc_id").distinct()
