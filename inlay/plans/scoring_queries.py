@@ -202,14 +202,44 @@ def knowledge_probe(t: Tables) -> DataFrame:
     return result.select(*[rounded(c).alias(c) for c in result.columns])
 
 
-@query("knowledge_probe_full")
+# Longest common subsequences by one bit per character of the shorter text, over all windows of the longer one.
+_ONES = "((1::HUGEINT << len(s)) - 1)"
+_WINDOW = "masks[greatest(e - len(s), 0) + 1 : least(e, len(masks))]"
+_LCS = (
+    f"len(s) - bit_count(list_reduce(list_prepend({_ONES}, w), lambda v, m: ((v + (v & m)) | (v - (v & m))) & {_ONES}))"
+)
+SIMILARITY = (
+    "sides as (select query_id, target a, generation b from v_knowledge),"
+    " pairs as (select query_id, string_split(if(length(a) <= length(b), a, b), '') s, string_split(if(length(a) <="
+    " length(b), b, a), '') l from sides where length(a) > 0 and length(b) > 0 union all select query_id,"
+    " string_split(b, ''), string_split(a, '') from sides where length(a) = length(b) and length(a) > 0),"
+    " masked as (select query_id, if(len(s) > 126, error('text too long'), s) s, list_transform(l, lambda c: list_reduce("
+    "list_prepend(0::HUGEINT, list_transform(range(len(s)), lambda i: if(s[i+1] = c, 1::HUGEINT << i::INTEGER, 0::HUGEINT))),"
+    " lambda x, y: x | y)) masks from pairs),"
+    f" windows as (select query_id, s, list_transform(range(1, len(s) + len(masks)), lambda e: {_WINDOW}) ws from masked),"
+    f" best as (select query_id, max(list_max(list_transform(ws, lambda w: 200.0::DOUBLE * ({_LCS}) / (len(s) + len(w)))))"
+    " best from windows group by 1),"
+    " alike as (select query_id, case when a is null or b is null then 0 when a = '' or b = '' then if(a = b, 100, 0)"
+    " else round_even(best, 0)::INTEGER end similarity from sides left join best using (query_id))"
+)
+
+
+@query(
+    "knowledge_probe_full",
+    with_views(
+        f"select round(avg(exp({TARGET_SUM})), 6) probability, round(100*avg({HIT}::INTEGER), 6) accuracy,"
+        " round(avg(similarity), 6) levenshtein from v_knowledge join alike using (query_id)",
+        "v_knowledge",
+        extra=SIMILARITY,
+    ),
+)
 def knowledge_probe_full(t: Tables) -> DataFrame:
-    """All three measures; the similarity has no SQL counterpart and is tested against brute force."""
+    """All three measures."""
     result = knowledge.summary(t.knowledge)
     return result.select(*[rounded(c).alias(c) for c in result.columns])
 
 
-@query("partial_similarity")
+@query("partial_similarity", with_views("select query_id, similarity from alike", "v_knowledge", extra=SIMILARITY))
 def partial_similarity_query(t: Tables) -> DataFrame:
     return t.knowledge.select("query_id", partial_similarity("target", "generation").alias("similarity"))
 
