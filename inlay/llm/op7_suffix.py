@@ -11,8 +11,8 @@ id.  Two equal strings of ``LENGTH`` bytes have the same minimiser (the smallest
    piece of text with the smallest id it has in the block;
 3. an owner puts the pieces of a minimiser that differ into shards, sorts the rotations of
    each shard into its transform, and merges the shards: the interleave of the shards is
-   refined by the symbols that their transforms hold before each suffix, ``SYMBOLS`` at a time,
-   until it is right to ``LENGTH`` symbols.  Rows that no refinement told apart are a repeated
+   refined by the symbols that their transforms hold before each suffix, as many at a time as
+   fit a sort key, until it is right to ``LENGTH`` symbols.  Rows that no refinement told apart are a repeated
    interval with a common prefix of ``LENGTH``; its smallest id decides for all its rows;
 4. the blocks get a bit per string back and cut the covered bytes out.
 
@@ -36,9 +36,8 @@ from inlay.llm.words import _VALUES, INVERSE, blocks, mix, powers
 
 LENGTH = 50
 SEED = 20
-SYMBOLS = 7  # nine-bit symbols in a sort key: a byte or the end of a piece
-SHARD_BYTES = 1 << 18
-GROUP_BYTES = 1 << 22
+SHARD_BYTES = 1 << 17
+GROUP_BYTES = 1 << 20
 BLOCK_BYTES = 1 << 20
 NULL_ID = -(1 << 63)
 BLOCKS = "block bigint, ids array<bigint>, starts array<bigint>, data binary"
@@ -82,56 +81,59 @@ def minimisers(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return begin, last - begin + 1, least[begin]
 
 
-def shard_rows(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the symbols before each place, ``SYMBOLS`` of them as one key, for cyclic pieces.
+def behind(before: np.ndarray, codes: np.ndarray, bits: int, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the place ``symbols`` before it, and the symbols between as a key, the first one highest."""
+    jump, key, have = np.arange(len(codes)), np.zeros(len(codes), np.uint64), 0
+    step, part, n = before, codes[before].astype(np.uint64), 1
+    while symbols:
+        if symbols & 1:
+            key |= part[jump] << np.uint64(have * bits)
+            jump = step[jump]
+            have += n
+        symbols >>= 1
+        if symbols:
+            part = part | part[step] << np.uint64(n * bits)
+            step = step[step]
+            n *= 2
+    return jump, key
 
-    ``text`` holds pieces with their ends (0); a piece is ``text[begin:end]``.  Returns for each place the
-    place ``SYMBOLS`` before it in its cyclic piece, and the key of the symbols from there on.
-    """
-    size = np.repeat(end - begin, end - begin)
-    base = np.repeat(begin, end - begin)
-    place = np.arange(len(text)) - base
-    key = np.zeros(len(text), np.uint64)
-    for i in range(SYMBOLS, 0, -1):
-        key = (key << np.uint64(9)) | text[base + (place - i) % size].astype(np.uint64)
-    return base + (place - SYMBOLS) % size, key
-
-
-def transform(text: np.ndarray, begin: np.ndarray, end: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted rotations of a shard's pieces, and the symbols before each: its transform, in whole keys."""
-    before, key = shard_rows(text, begin, end)
-    rows = np.arange(len(text))
+
+def stable_order(ranks: np.ndarray) -> np.ndarray:
+    """Places in stable order of ``ranks`` below 2**31."""
+    packed = ranks.astype(np.uint64) << np.uint64(32) | np.arange(len(ranks), dtype=np.uint64)
+    return (np.sort(packed) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def transform(rows: np.ndarray, jump: np.ndarray, ranks: np.ndarray, steps: int) -> np.ndarray:
+    """The places of a shard in the order of their rotations; the ranks before them are its transform."""
     for _ in range(steps):
-        rows = before[rows[np.argsort(key[rows], kind="stable")]]
-    return rows, key[rows]
+        rows = jump[rows[stable_order(ranks[rows])]]
+    return rows
 
 
-def merged(parts: list[tuple[np.ndarray, np.ndarray]], steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave transforms ``(rows, keys)``; rows of all shards in order, and groups of equal long prefixes.
+def merged(shards: list[np.ndarray], refinements: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave sorted shards; all places in order, and the group of equal prefixes each belongs to.
 
-    The interleave starts shard after shard.  A refinement takes the keys in its present order,
-    each shard's from its transform, and sorts stably by them: what was right to ``k`` symbols
-    becomes right to ``k + SYMBOLS``, and two neighbours stay in a group if they had the same key
-    and came from one group.
+    The interleave starts shard after shard.  A refinement takes the ranks of the symbols before
+    each row, each shard's in the order of its transform, and sorts stably by them: what was
+    right to ``k`` symbols becomes right to as many more as the ranks stand for, and neighbours
+    stay in a group if they had the same rank and came from one group.
     """
-    sizes = [len(r) for r, _ in parts]
-    shard = np.repeat(np.arange(len(parts), dtype=np.uint16 if len(parts) < 1 << 16 else np.int64), sizes)
-    keys = np.concatenate([k for _, k in parts])
+    kind = np.uint16 if len(shards) < 1 << 16 else np.int64
+    shard = np.repeat(np.arange(len(shards), dtype=kind), [len(r) for r in shards])
+    rows = np.concatenate(shards)
     group = np.zeros(len(shard), np.int64)
-    for _ in range(steps):
-        at = np.argsort(shard, kind="stable")
-        now = np.empty_like(keys)
-        now[at] = keys
-        order = np.argsort(now, kind="stable")
+    for ranks in refinements:
+        now = np.empty(len(rows), ranks.dtype)
+        now[np.argsort(shard, kind="stable")] = ranks[rows]
+        order = stable_order(now)
         shard, now, group = shard[order], now[order], group[order]
         new = np.zeros(len(shard), bool)
         new[1:] = (now[1:] != now[:-1]) | (group[1:] != group[:-1])
         group = np.cumsum(new)
-    at = np.argsort(shard, kind="stable")
-    rows = np.empty(len(shard), np.int64)
-    offset = np.cumsum([0, *sizes[:-1]])
-    rows[at] = np.concatenate([r + o for (r, _), o in zip(parts, offset)])
-    return rows, group
+    out = np.empty_like(rows)
+    out[np.argsort(shard, kind="stable")] = rows
+    return out, group
 
 
 def smallest_ids(pieces: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
@@ -139,46 +141,32 @@ def smallest_ids(pieces: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
     size = np.array([len(p) + 1 for p in pieces])
     end = np.cumsum(size)
     begin = end - size
-    text = np.zeros(int(end[-1]), np.int16)
-    text[np.delete(np.arange(len(text)), end - 1)] = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int16) + 1
+    text = np.zeros(int(end[-1]), np.int64)  # a piece ends with symbol 0
+    inner = np.ones(len(text), bool)
+    inner[end - 1] = False
+    raw = np.frombuffer(b"".join(pieces), np.uint8)
+    code = np.cumsum(np.bincount(raw, minlength=256) > 0)
+    text[inner] = code[raw]
+    before = np.arange(-1, len(text) - 1)
+    before[begin] = end - 1
+    bits = int(code[-1]).bit_length()
+    symbols = min(LENGTH, 63 // bits)
+    steps = -(-LENGTH // symbols)
+    jump, key = behind(before, text, bits, symbols)
+    ranks = np.unique(key, return_inverse=True)[1]
+    first = LENGTH - (steps - 1) * symbols
+    short = ranks if first == symbols else np.unique(behind(before, text, bits, first)[1], return_inverse=True)[1]
     # whole pieces to shards of about SHARD_BYTES
-    shard = begin // SHARD_BYTES
-    steps = -(-LENGTH // SYMBOLS)
-    parts = []
-    for s in np.unique(shard):
-        mine = np.flatnonzero(shard == s)
-        a, b = begin[mine[0]], end[mine[-1]]
-        parts.append(transform(text[a:b], begin[mine] - a, end[mine] - a, steps))
-    rows, group = merged(parts, steps)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(begin // SHARD_BYTES)) + 1, [len(pieces)]])
+    edges = np.append(begin, end[-1])[cuts]
+    shards = [transform(np.arange(a, b), jump, ranks, steps) for a, b in zip(edges[:-1], edges[1:])]
+    rows, group = merged(shards, [short, *[ranks] * (steps - 1)])
     owner = np.repeat(np.arange(len(pieces)), size)
-    # equal to LENGTH symbols: also within the refined depth, which is a few symbols more
-    exact = exact_groups(text, rows, group, begin, end, steps)
-    best = np.full(int(exact[-1]) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(best, exact, ids[owner[rows]])
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])
+    best = np.minimum.reduceat(ids[owner[rows]], starts)
     found = np.empty(len(text), np.int64)
-    found[rows] = best[exact]
-    return [found[a : b - LENGTH] for a, b in zip(begin, end)]
-
-
-def exact_groups(text, rows, group, begin, end, steps) -> np.ndarray:
-    """Join neighbouring groups that differ only behind their first ``LENGTH`` symbols."""
-    spare = steps * SYMBOLS - LENGTH
-    new = np.zeros(len(rows), bool)
-    new[1:] = group[1:] != group[:-1]
-    if spare:
-        size = np.repeat(end - begin, end - begin)
-        base = np.repeat(begin, end - begin)
-        place = np.arange(len(text)) - base
-        edge = np.flatnonzero(new)
-        same = np.ones(len(edge), bool)
-        for i in range(LENGTH):
-            live = np.flatnonzero(same)
-            if not len(live):
-                break
-            x, y = rows[edge[live]], rows[edge[live] - 1]
-            same[live] = text[base[x] + (place[x] + i) % size[x]] == text[base[y] + (place[y] + i) % size[y]]
-        new[edge[same]] = False
-    return np.cumsum(new)
+    found[rows] = best[group]
+    return [found[a : b - LENGTH] for a, b in zip(begin.tolist(), end.tolist())]
 
 
 def blocked(docs: DataFrame) -> DataFrame:
@@ -220,9 +208,9 @@ def shared_minimisers(blocks_: DataFrame, owners: int) -> DataFrame:
                 begin, _, hashes = minimisers(data, starts)
                 own, at = owned(hashes, owners)
                 row = np.searchsorted(starts, begin, "right") - 1
-                pairs = np.unique(np.stack([np.searchsorted(np.sort(own), hashes), row]), axis=1)[0]
-                many = np.bincount(pairs, minlength=len(own)) > 1
-                many = many[np.searchsorted(np.sort(own), own)]
+                ranks = np.sort(own)
+                pairs = np.unique(np.searchsorted(ranks, hashes) * len(starts) + row) // len(starts)
+                many = (np.bincount(pairs, minlength=len(own)) > 1)[np.searchsorted(ranks, own)]
                 some = np.flatnonzero(np.diff(at))
                 short = (own >> np.uint64(32)).astype("<u4")  # equal halves of different hashes only cost a closer look
                 yield pa.RecordBatch.from_arrays(
@@ -288,13 +276,9 @@ class Groups:
         self.ids = ids[np.searchsorted(starts, self.begin, "right") - 1]
         raw = data.tobytes()
         known: dict[bytes, int] = {}
-        self.piece = np.empty(len(self.begin), np.int64)
-        self.pieces: list[bytes] = []
-        for g, (b, n) in enumerate(zip(self.begin.tolist(), self.count.tolist())):
-            text = raw[b : b + n + LENGTH - 1]
-            self.piece[g] = known.setdefault(text, len(known))
-            if self.piece[g] == len(self.pieces):
-                self.pieces.append(text)
+        ends = (self.begin + self.count + LENGTH - 1).tolist()
+        self.piece = np.array([known.setdefault(raw[b:e], len(known)) for b, e in zip(self.begin.tolist(), ends)], np.int64)
+        self.pieces = list(known)
         self.least = np.full(len(self.pieces), np.iinfo(np.int64).max)
         np.minimum.at(self.least, self.piece, self.ids)
         self.hash = np.zeros(len(self.pieces), np.uint64)
@@ -343,31 +327,27 @@ def earlier_strings(joined: DataFrame, owners: int) -> DataFrame:
         np.minimum.at(ids, piece, least)
         kind = np.zeros(len(pieces), np.uint64)
         kind[piece] = hashes
-        found: list[np.ndarray | None] = [None] * len(pieces)
+        length = np.array([len(p) for p in pieces])
+        strings = length - LENGTH + 1
+        place = np.concatenate([[0], np.cumsum(strings)])
+        found = np.repeat(ids, strings)  # where nothing differs under a minimiser
         order = np.argsort(kind, kind="stable")
-        starts = np.concatenate([[0], np.flatnonzero(kind[order][1:] != kind[order][:-1]) + 1, [len(order)]])
-        batch, held = [], 0
-
-        def settle() -> None:
-            for p, values in zip(batch, smallest_ids([pieces[p] for p in batch], ids[batch])):
-                found[p] = values
-
-        for a, b in zip(starts[:-1], starts[1:]):
-            if b - a == 1:  # nothing differs under this minimiser
-                p = int(order[a])
-                found[p] = np.full(len(pieces[p]) - LENGTH + 1, ids[p])
-                continue
-            batch += order[a:b].tolist()
-            held += sum(len(pieces[p]) for p in order[a:b])
-            if held >= GROUP_BYTES:
-                settle()
-                batch, held = [], 0
-        if batch:
-            settle()
+        starts = np.concatenate([[0], np.flatnonzero(kind[order][1:] != kind[order][:-1]) + 1])
+        ends = np.append(starts[1:], len(order))
+        several = np.flatnonzero(ends - starts > 1)
+        bytes_to = np.concatenate([[0], np.cumsum(length[order])])
+        total = np.cumsum((bytes_to[ends] - bytes_to[starts])[several])
+        for part in np.split(several, np.flatnonzero(np.diff(total // GROUP_BYTES)) + 1):
+            if len(part):
+                mine = np.concatenate([order[starts[k] : ends[k]] for k in part])
+                for p, values in zip(mine.tolist(), smallest_ids([pieces[p] for p in mine], ids[mine])):
+                    found[place[p] : place[p + 1]] = values
         at, out = 0, []
         for s in sizes:
-            mine = range(at, at + len(s))
-            out.append(np.packbits(np.concatenate([found[piece[k]] < least[k] for k in mine])).tobytes())
+            mine = piece[at : at + len(s)]
+            n = strings[mine]
+            each = np.repeat(place[mine] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            out.append(np.packbits(found[each] < np.repeat(least[at : at + len(s)], n)).tobytes())
             at += len(s)
         return pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([owner] * len(rows), pa.int32()), pa.array(out, pa.binary())],
