@@ -13,7 +13,8 @@ def inputs(spark, folder):
     docs = [(d, t, "en", s, len(t or "")) for d, t, s, *_ in documents(4)]
     docs += [(700 + i, f"the end of line {i} is here and " + " ".join(f"of w{i}x{k} the" for k in range(40)), "en", "s", 1) for i in range(12)]
     items = [(1, "a benchmark passage that " + " ".join(f"q{k}" for k in range(20))), (2, None)]
-    docs += [(800, docs[-1][1] + " " + items[0][1], "en", "s", 1)]
+    leak = " ".join(f"of y{k} the" for k in range(40)) + " " + items[0][1]
+    docs += [(800, leak, "en", "s", 1)]
     spark.createDataFrame(docs, COLUMNS).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
     return items
