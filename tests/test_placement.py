@@ -32,18 +32,22 @@ def test_eos_wrapping(spark, tokens, expected):
 
 
 def test_explicit_placement(spark):
-    lists = [[1000, 2000, 3000], [100, 200], [42, 43, 44, 45]]
-    placed = placement.place_explicit(explicit(spark, [1000, 5000, 10000], lists)).collect()
-    assert {r.position: list(r.tokens) for r in placed} == dict(zip([1000, 5000, 10000], lists))
+    """Rows that touch but don't overlap stay where they are; an empty one goes."""
+    plan, at = {}, 3
+    for n in (4, 1, 9, 2):
+        plan[at] = list(range(n))
+        at += n
+    rows = explicit(spark, [*plan, at], [*plan.values(), []])
+    assert {r.position: list(r.tokens) for r in placement.place_explicit(rows).collect()} == plan
 
 
 def test_explicit_overlap_is_named(spark):
-    with pytest.raises(placement.PlacementError, match="seq 1 at 1002-1004"):
-        placement.place_explicit(explicit(spark, [1000, 1002], [[1, 2, 3], [4, 5, 6]]))
-    held = spark.createDataFrame([(1000, 1002)], "lo bigint, hi bigint")
+    with pytest.raises(placement.PlacementError, match="seq 1 at 19-21"):
+        placement.place_explicit(explicit(spark, [15, 19], [[7] * 5, [8] * 3]))
+    held = spark.createDataFrame([(40, 44)], "lo bigint, hi bigint")
     with pytest.raises(placement.PlacementError, match="occupied"):
-        placement.place_explicit(explicit(spark, [1002], [[4, 5, 6]]), held)
-    assert placement.place_explicit(explicit(spark, [1003, 7], [[4, 5, 6], []]), held).count() == 1
+        placement.place_explicit(explicit(spark, [44], [[9]]), held)
+    assert placement.place_explicit(explicit(spark, [45, 39], [[9], [9]]), held).count() == 2
 
 
 def check(result, sizes, length, start, end, held=()):
