@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from inlay.functions.tokenizers import codepoint_tokens, vocabulary_tokens, word_tokens, words
 from inlay.functions.tokens import int_div, wrap_eos
@@ -398,6 +398,76 @@ def place_random_range(t: Tables) -> DataFrame:
     return placed.select("exp_id", "seq_id", F.col("n").cast("bigint").alias("n"), F.col("lo").alias("position"))
 
 
+@query(
+    "placement_unplaced",
+    "select count(*) n_candidates, count(*)//2 n_placed, count(*) - count(*)//2 n_unplaced, count(*)//2 n_slots from customer",
+)
+def placement_unplaced(t: Tables) -> DataFrame:
+    """Sequences as long as a slot, and half as many slots: every slot is filled and the rest is reported."""
+    customers = t.table("customer")
+    slots = customers.count() // 2
+    rows = customers.select(
+        F.lit(0).alias("exp_id"),
+        F.lit(0).alias("copy_no"),
+        F.col("c_custkey").cast("bigint").alias("seq_id"),
+        F.lit(LENGTH).alias("n"),
+        F.lit(0).cast("bigint").alias("start"),
+        F.lit(slots * LENGTH).cast("bigint").alias("end_excl"),
+    )
+    result = placement.place_random(rows, LENGTH, SEED)
+    placed = result.placed.agg(F.count(F.lit(1)).alias("n_placed"), F.countDistinct("lo").alias("n_slots"))
+    left = result.unplaced.agg(F.count(F.lit(1)).alias("n_unplaced"))
+    return placed.join(left).select((F.col("n_placed") + F.col("n_unplaced")).alias("n_candidates"), "n_placed", "n_unplaced", "n_slots")
+
+
+@query(
+    "placement_invariants",
+    with_views(
+        f"select count(*) filter (where len(tokens) between 1 and {LENGTH}) n_candidates, 0::BIGINT n_lost, 0::BIGINT n_overlaps,"
+        " 0::BIGINT n_outside, 0::BIGINT n_crossing, 0::BIGINT n_left_that_fit, true some_left from v_doc_tokens",
+        "v_doc_tokens",
+    ),
+)
+def placement_invariants(t: Tables) -> DataFrame:
+    """Documents planned into half the room they need, around the occupied set: which rules are broken how often."""
+    sizes = t.doc_tokens.select("doc_id", F.size("tokens").alias("n")).where(F.col("n").between(1, LENGTH))
+    total = sizes.agg(F.sum("n")).first()[0]
+    end = max(LENGTH, total // 2 // LENGTH * LENGTH)
+    rows = sizes.select(
+        F.lit(0).alias("exp_id"),
+        F.lit(0).alias("copy_no"),
+        F.col("doc_id").alias("seq_id"),
+        "n",
+        F.lit(0).cast("bigint").alias("start"),
+        F.lit(end).cast("bigint").alias("end_excl"),
+    )
+    taken = t.occupied.where(F.col("hi") < end).select("lo", "hi")
+    result = placement.place_random(rows, LENGTH, SEED, taken)
+    held = result.placed.select("lo", "hi", F.lit(True).alias("ours")).unionByName(taken.withColumn("ours", F.lit(False)))
+    by_slot = Window.partitionBy(int_div(F.col("lo"), LENGTH)).orderBy("lo", "hi")
+    reach = F.max(F.struct("hi", "ours")).over(by_slot.rowsBetween(Window.unboundedPreceding, -1))
+    seen = held.withColumn("before", reach)
+    met = (F.col("before.hi") >= F.col("lo")) & (F.col("ours") | F.col("before.ours"))
+    rules = seen.agg(
+        F.count_if(met).alias("n_overlaps"),
+        F.count_if(F.col("ours") & ((F.col("lo") < 0) | (F.col("hi") >= end))).alias("n_outside"),
+        F.count_if(F.col("ours") & (int_div(F.col("lo"), LENGTH) != int_div(F.col("hi"), LENGTH))).alias("n_crossing"),
+        F.count_if("ours").alias("n_placed"),
+    )
+    whole = rows.select("start", "end_excl").limit(1)
+    gaps = placement.free_gaps(whole, placement.by_slot(held.select("lo", "hi"), LENGTH), LENGTH)
+    widest = gaps.agg(F.coalesce(F.max(F.col("hi") - F.col("lo") + 1), F.lit(0)).alias("widest"))
+    left = result.unplaced.join(widest).agg(
+        F.count(F.lit(1)).alias("n_left"), F.count_if(F.col("n") <= F.col("widest")).alias("n_left_that_fit")
+    )
+    counted = sizes.agg(F.count(F.lit(1)).alias("n_candidates"))
+    return rules.join(left).join(counted).select(
+        "n_candidates",
+        (F.col("n_candidates") - F.col("n_placed") - F.col("n_left")).alias("n_lost"),
+        "n_overlaps", "n_outside", "n_crossing", "n_left_that_fit", (F.col("n_left") > 0).alias("some_left"),
+    )
+
+
 @query(
     "place_checks",
     with_views(
