@@ -26,12 +26,18 @@ def _open(path: str):
 
 
 def list_shards(spark: SparkSession, path: str, chunk: int, dtype: str = "uint32") -> DataFrame:
-    """``(shard_id, path, first, last_excl)`` by file name; reads names and sizes only."""
+    """``(shard_id, path, first, last_excl, trailing)`` by file name; reads names and sizes only.
+
+    ``trailing`` counts the bytes behind the last whole instance, which no instance is made of.
+    """
     width = np.dtype(dtype).itemsize
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path).select("path", "length")
     sized = files.withColumn("n", int_div(F.col("length"), width * chunk))
     ranked = ordered_scan(sized, ["path"], ordinal="shard_id", sum_before={"first": F.col("n")})
-    return ranked.select("shard_id", "path", "first", (F.col("first") + F.col("n")).alias("last_excl"))
+    trailing = F.col("length") % (width * chunk)
+    return ranked.select(
+        "shard_id", "path", "first", (F.col("first") + F.col("n")).alias("last_excl"), trailing.alias("trailing")
+    )
 
 
 def read_shards(spark: SparkSession, path: str, chunk: int, dtype: str = "uint32") -> DataFrame:
