@@ -51,6 +51,21 @@ class Experiment:
         return 0 if self.mode == "explicit" else 1
 
 
+def spec_verdicts(specs: DataFrame) -> DataFrame:
+    """``specs(name, mode, type, has_position, start_token, end_token)`` with the first broken rule as ``reason``.
+
+    The rules are those :class:`Experiment` checks; null means that the spec holds.
+    """
+    mode, kind = F.coalesce("mode", F.lit("")), F.coalesce("type", F.lit(""))
+    reason = (
+        F.when(~kind.isin(*TYPES), F.lit("unknown type"))
+        .when(~mode.isin(*MODES), F.lit("unknown mode"))
+        .when((mode == "explicit") & ~F.coalesce("has_position", F.lit(False)), F.lit("no position"))
+        .when((mode == "random-range") & (F.col("start_token").isNull() | F.col("end_token").isNull()), F.lit("no range"))
+    )
+    return specs.withColumn("reason", reason)
+
+
 @dataclass
 class Plan:
     """The merged plan, what found no room, and the per-experiment overview."""

@@ -468,6 +468,28 @@ def placement_invariants(t: Tables) -> DataFrame:
     )
 
 
+# Specs made of orders: modes, types, positions and ranges in all combinations, some of them missing or unknown.
+_SPEC = (
+    "o_orderkey as exp_id, nullif(split_part('explicit,random,random-range,sideways,', ',', cast(1+o_orderkey%5 as int)), '') as mode,"
+    " nullif(split_part('add-texts-from-file,add-tokens-from-file,add-noise,', ',', cast(1+o_custkey%4 as int)), '') as type,"
+    " case when o_custkey%3 > 0 then o_custkey%3 = 1 end as has_position, case when o_orderkey%7 > 0 then o_orderkey end as"
+    " start_token, case when o_orderkey%11 > 0 then o_orderkey end as end_token"
+)
+
+
+@query(
+    "spec_checks",
+    f"with specs as (select {_SPEC} from orders) select exp_id, case when coalesce(type, '') not in ('add-texts-from-file',"
+    " 'add-tokens-from-file') then 'unknown type' when coalesce(mode, '') not in ('explicit', 'random', 'random-range') then"
+    " 'unknown mode' when mode = 'explicit' and not coalesce(has_position, false) then 'no position' when mode = 'random-range'"
+    " and (start_token is null or end_token is null) then 'no range' end as reason from specs",
+)
+def spec_checks(t: Tables) -> DataFrame:
+    return experiments.spec_verdicts(t.table("orders").selectExpr(_SPEC.join(["struct(", ") as s"])).select("s.*")).select(
+        "exp_id", "reason"
+    )
+
+
 @query(
     "place_checks",
     with_views(
