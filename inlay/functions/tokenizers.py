@@ -60,3 +60,27 @@ def plugin_tokens(make_tokenizer: Callable[[], Tokenizer]) -> Callable[[Column],
             yield texts.map(lambda t: None if t is None else list(tokenizer.encode(t)))
 
     return encode
+
+
+def plugin_texts(make_tokenizer: Callable[[], Tokenizer]) -> Callable[[Column], Column]:
+    """The way back: column function from token ids to text."""
+
+    @F.pandas_udf("string")
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokenizer = make_tokenizer()
+        for ids in batches:
+            yield ids.map(lambda t: None if t is None else tokenizer.decode([int(i) for i in t]))
+
+    return decode
+
+
+class CodepointTokenizer:
+    """Code points as ids: the smallest tokenizer that decodes what it encodes."""
+
+    eos_token_id = 0
+
+    def encode(self, text: str) -> list[int]:
+        return [ord(c) for c in text]
+
+    def decode(self, ids: list[int]) -> str:
+        return "".join(map(chr, ids))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from inlay.functions.tokenizers import codepoint_tokens, vocabulary_tokens, word_tokens, words
+from inlay.functions.tokenizers import CodepointTokenizer, codepoint_tokens, plugin_texts, plugin_tokens, vocabulary_tokens, word_tokens, words
 from inlay.functions.tokens import int_div, wrap_eos
 from inlay.geometry import Geometry
 from inlay.operators import intervals, placement, reindex, sampling
@@ -91,6 +91,25 @@ def tokenize_codepoints(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", joined(codepoint_tokens(F.col("text"))).alias("tokens"))
 
 
+@query(
+    "plugin_tokenize",
+    "select doc_id, array_to_string(list_transform(string_split(text, ''), lambda c: unicode(c)), ',') tokens, length(text) n"
+    " from documents",
+)
+def plugin_tokenize(t: Tables) -> DataFrame:
+    """Documents through the tokenizer plug-in."""
+    encode = plugin_tokens(CodepointTokenizer)
+    rows = t.documents.select("doc_id", encode(F.col("text")).alias("tokens"))
+    return rows.select("doc_id", joined("tokens").alias("tokens"), F.size("tokens").cast("bigint").alias("n"))
+
+
+@query("decode_tokens", "select doc_id, text from documents")
+def decode_tokens(t: Tables) -> DataFrame:
+    """Encoded and decoded again by the plug-in."""
+    encode, decode = plugin_tokens(CodepointTokenizer), plugin_texts(CodepointTokenizer)
+    return t.documents.select("doc_id", decode(encode(F.col("text"))).alias("text"))
+
+
 _SPLIT = "list_filter(regexp_split_to_array(text,'[ \\n\\t\\r]+'), lambda x: x != '')"
 
 
