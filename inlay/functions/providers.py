@@ -54,6 +54,16 @@ def generate(
     return rows.mapInPandas(run, "query_id bigint, token_ids array<int>, generated array<int>")
 
 
+class EchoModel:
+    """Scorer and generator plug-in for tests: fixed prices per id, and the last id over and over."""
+
+    def logprobs(self, prompts: Sequence[Sequence[int]]) -> list[list[float | None]]:
+        return [[None, *[-math.log(2 + int(i) % 5) for i in ids[1:]]] if len(ids) else [] for ids in prompts]
+
+    def generate(self, prompts: Sequence[Sequence[int]], max_tokens: int, temperature: float) -> list[list[int]]:
+        return [[int(ids[-1])] * max_tokens if len(ids) else [] for ids in prompts]
+
+
 @dataclass
 class BigramModel:
     """Add-one bigram counts: ``pairs(prev, next, n)``, ``heads(prev, total)``, vocabulary size."""

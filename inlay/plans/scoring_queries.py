@@ -16,7 +16,7 @@ from inlay.evaluation import (
 )
 from inlay.functions.answers import ANSWER_LEAD, ANSWER_MARKERS, cut_after_answer, parse_answer
 from inlay.functions.perturb import NOISE_STD, perturb
-from inlay.functions.providers import BigramModel
+from inlay.functions.providers import BigramModel, EchoModel, generate, score
 from inlay.functions.similarity import partial_similarity
 from inlay.plans.catalog import joined, query, rounded
 from inlay.plans.views import SEED, Tables, with_views
@@ -44,6 +44,35 @@ def src_responses(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "plugin_logprobs",
+    with_views(
+        "select query_id, len(token_ids)::BIGINT n, round(coalesce(list_sum(list_transform(token_ids[2:], lambda x: -ln(2 + x % 5))),"
+        " 0.0), 6) total from v_prompts_scored",
+        "v_prompts_scored",
+    ),
+)
+def plugin_logprobs(t: Tables) -> DataFrame:
+    """Prompts through the scorer plug-in."""
+    rows = score(t.prompts_scored.select("query_id", "token_ids"), EchoModel)
+    total = F.aggregate("logprobs", F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+    return rows.select("query_id", F.size("logprobs").cast("bigint").alias("n"), rounded(total).alias("total"))
+
+
+@query(
+    "plugin_generate",
+    with_views(
+        "select query_id, array_to_string(if(len(token_ids) > 0, [token_ids[-1], token_ids[-1], token_ids[-1]], []), ',')"
+        " generated from v_prompts_scored",
+        "v_prompts_scored",
+    ),
+)
+def plugin_generate(t: Tables) -> DataFrame:
+    """Prompts through the generator plug-in."""
+    rows = generate(t.prompts_scored.select("query_id", "token_ids"), EchoModel, 3)
+    return rows.select("query_id", joined("generated").alias("generated"))
+
+
 @query(
     "pair_responses",
     with_views(
