@@ -107,14 +107,14 @@ def grouped_ordinal(df: DataFrame, group: Sequence[str], order_by: Sequence[str]
     edges = sizes.groupBy(PART).agg(
         F.min(key).alias("_first"), F.max(key).alias("_last"), F.max_by("_n", key).alias("_n_last")
     )
-    firsts = edges.select(PART, "_first")
-    lasts = edges.select(F.col(PART).alias("_prev"), "_last", "_n_last")
-    carry = (  # at most one row per part
-        firsts.join(lasts, (F.col("_first") == F.col("_last")) & (F.col("_prev") < F.col(PART)))
-        .groupBy(PART)
-        .agg(F.first("_first").alias("_first"), F.sum("_n_last").alias("_carry"))
-        .select(PART, *[F.col("_first")[g].alias(g) for g in group], "_carry")
+    # a group that goes on over several parts is the last one of each but the last of them
+    so_far = Window.partitionBy("_last").orderBy(PART).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_order = Window.orderBy(PART)
+    carried = edges.withColumn("_sum", F.sum("_n_last").over(so_far)).select(
+        PART, "_first", F.lag("_last").over(in_order).alias("_before"), F.lag("_sum").over(in_order).alias("_carry")
     )
+    carry = carried.where(F.col("_first") == F.col("_before"))  # at most one row per part
+    carry = carry.select(PART, *[F.col("_first")[g].alias(g) for g in group], "_carry")
     local = F.row_number().over(Window.partitionBy(PART, *group).orderBy(POS)) - 1
     return (
         staged.withColumn("_local", local)
