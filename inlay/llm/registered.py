@@ -11,5 +11,6 @@ from inlay.llm import (  # noqa: F401
     op8_secrets,
     op9_warc,
     op10_quality,
+    oracles,
 )
 from inlay.llm.queries import ORACLES, QUERIES  # noqa: F401
