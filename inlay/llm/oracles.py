@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from inlay.llm.op3_sharding import crc
 from inlay.llm.queries import ORACLES
 
 # Links between all sets that share a shingle, and their components.
@@ -40,5 +41,33 @@ select t.doc_id, n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(
       (case when k > len(s) then 2 * n_bytes else 2 * s[least(k, len(s))].a - 2 end)]), '') end)) as kept_sha256
 from texts t left join cuts c on c.doc_id = t.doc_id"""
 
+# Lines by the rarest words that similar sets must share, then by the sets.
+LINE_DEDUP = rf"""
+with crc_table as (select list(c order by i) as t from (select i, list_reduce(list_prepend(i, range(8)),
+  lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from range(256) r(i))),
+docs as (select doc_id, string_split("text", chr(10)) as parts from documents),
+line_sets as (select doc_id, at_line - 1 as line, list_sort(list_distinct(list_filter(regexp_split_to_array(translate(part,
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w != ''))) as s
+  from (select doc_id, unnest(parts) as part, generate_subscripts(parts, 1) as at_line from docs)),
+numbered as (select doc_id, line, s, len(s) as n, row_number() over (partition by s order by doc_id, line) as turn,
+  first(doc_id) over (partition by s order by doc_id, line) as fd, first(line) over (partition by s order by doc_id, line) as fl
+  from line_sets where len(s) > 0),
+classes as (select doc_id, line, s, n from numbered where turn = 1),
+spots as (select doc_id, line, n, unnest(s) as w from classes),
+ranked as (select doc_id, line, n, w, row_number() over (partition by doc_id, line order by held, w) as r
+  from spots join (select w, count(*) as held from spots group by w) using (w)),
+prefixes as (select doc_id, line, n, w from ranked where r <= n - (80 * n + 99) // 100 + 1),
+met as (select distinct a.doc_id, a.line, b.doc_id as ed, b.line as el from prefixes a join prefixes b on a.w = b.w
+  and (b.doc_id < a.doc_id or b.doc_id = a.doc_id and b.line < a.line) and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+compared as (select m.doc_id, m.line, x.n + y.n as total, len(list_intersect(x.s, y.s)) as shared from met m
+  join classes x on x.doc_id = m.doc_id and x.line = m.line join classes y on y.doc_id = m.ed and y.line = m.el),
+gone as (select distinct doc_id as fd, line as fl, true as is_gone from compared where 100 * shared >= 80 * (total - shared)),
+removed as (select doc_id, list(line) as lines from numbered left join gone using (fd, fl) where turn > 1 or is_gone group by doc_id),
+kept as (select doc_id, coalesce(len(parts), 0) as n_lines, coalesce(len(lines), 0) as n_removed, encode(coalesce(array_to_string(
+  list_filter(parts, lambda p, i: not list_contains(coalesce(lines, []), i - 1)), chr(10)), '')) as body
+  from docs left join removed using (doc_id))
+select doc_id, n_lines::bigint as n_lines, n_removed::bigint as n_removed, {crc("body")} as kept_crc32 from kept, crc_table"""
+
 ORACLES["op1_near_dedup"] = NEAR_DEDUP
 ORACLES["op7_suffix_dedup"] = SUFFIX_DEDUP
+ORACLES["op4_line_dedup"] = LINE_DEDUP

@@ -84,7 +84,7 @@ def test_ranks_do_not_depend_on_parts(spark):
     assert sorted(map(tuple, many), key=repr) == sorted(map(tuple, one), key=repr)
 
 
-@pytest.mark.parametrize("name", ["op1_near_dedup", "op3_sharding", "op7_suffix_dedup", "op9_warc", "op10_quality_rules"])
+@pytest.mark.parametrize("name", ["op1_near_dedup", "op3_sharding", "op4_line_dedup", "op7_suffix_dedup", "op9_warc", "op10_quality_rules"])
 def test_query_matches_sql(spark, name):
     import inlay.llm.registered  # noqa: F401
 
