@@ -25,18 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from inlay.llm import queries
-from inlay.llm.common import free_name, materialize, table
+from inlay.llm.common import free_name, materialize, partitions, release, table
 from inlay.llm.words import Block, blocks, mix, split
 
 SIMILAR = 80  # percent
 COUNT_BITS = 22
 LEVELS = 8  # levels of rarity for each doubling of a count
 LIST_ROWS = 50_000  # a word of a larger count has its list dealt over several tasks
-QUICK_WORDS = 3  # words of the prefix that the first round looks at
-LINES = "id bigint, line int, n int, d0 bigint, d1 bigint, bits bigint, prefix array<int>, parts array<int>"
+QUICK_WORDS = 4  # words of the prefix that the first round looks at
+LINES = "id bigint, line int, n int, d0 bigint, d1 bigint, bits bigint, more bigint, other bigint, words binary, places binary, parts binary"
+FILTER_BITS = 25
 
 
 def lines_of(block: Block) -> tuple[Block, np.ndarray, np.ndarray]:
@@ -54,30 +55,42 @@ def distinct_words(cut: Block, level: np.ndarray | None) -> tuple[np.ndarray, np
     """Distinct word hashes of all lines, line by line from rare to frequent, and where each line begins."""
     words = split(cut)
     line = np.repeat(np.arange(len(cut)), np.diff(words.at))
-    key = words.hashes
+    rarity = np.zeros(len(line), np.uint8)
     if level is not None:
-        rarity = level[(words.hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)].astype(np.uint64)
-        key = (rarity << np.uint64(56)) | (words.hashes & np.uint64((1 << 56) - 1))
-    order = np.argsort(key)
-    narrow = np.uint16 if len(cut) <= 1 << 16 else np.int64
-    order = order[np.argsort(line[order].astype(narrow), kind="stable")]
-    hashes, line = words.hashes[order], line[order]
+        rarity = level[(words.hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int32)]
+    told_apart = len(cut) <= 1 << 16
+    if told_apart:  # line, rarity and the upper forty bits of the hash in one sort key
+        key = line.astype(np.uint64) << np.uint64(48) | rarity.astype(np.uint64) << np.uint64(40) | words.hashes >> np.uint64(24)
+        order = np.argsort(key)
+        key, hashes = key[order], words.hashes[order]
+        same = hashes[1:] == hashes[:-1]
+        told_apart = not ((key[1:] == key[:-1]) & ~same).any()
+    if not told_apart:
+        order = np.lexsort((words.hashes, rarity, line))
+        hashes = words.hashes[order]
+        same = hashes[1:] == hashes[:-1]
+    line = line[order]
     new = np.ones(len(order), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
+    new[1:] = ~same | (line[1:] != line[:-1])
     hashes, line = hashes[new], line[new]
     return hashes, np.searchsorted(line, np.arange(len(cut) + 1))
 
 
 def word_levels(docs: DataFrame) -> np.ndarray:
-    """Rarity level per hashed counter, from the words of all lines; 0 where one line has it."""
+    """Rarity level per hashed counter, from the words of all lines; 0 where only one line can have it."""
     chunk = 1 << 12
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(1 << COUNT_BITS, np.int64)
+        held: list[np.ndarray] = []
         for batch in batches:
             for block in blocks(batch.column(0)):
-                hashes, _ = distinct_words(lines_of(block)[0], None)
-                totals += np.bincount((hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(totals))
+                held.append((split(block).hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int32))
+                if sum(map(len, held)) > 1 << 22:
+                    totals += np.bincount(np.concatenate(held), minlength=len(totals))
+                    held = []
+        if held:
+            totals += np.bincount(np.concatenate(held), minlength=len(totals))
         for at in range(0, len(totals), chunk):
             part = totals[at : at + chunk]
             if part.any():
@@ -106,14 +119,15 @@ def needed(n: np.ndarray, similar: int) -> np.ndarray:
     return -(-similar * n // 100)
 
 
-def list_parts(level: np.ndarray) -> np.ndarray:
+def list_parts(level: np.ndarray, list_rows: int) -> np.ndarray:
     """Tasks over which the lists of words of a level are dealt."""
-    return np.maximum(1, np.ceil(2.0 ** ((level.astype(float) - 1) / LEVELS) / LIST_ROWS)).astype(np.int64)
+    return np.maximum(1, np.ceil(2.0 ** ((level.astype(float) - 1) / LEVELS) / list_rows)).astype(np.int64)
 
 
 def described(docs: DataFrame, level: np.ndarray, similar: int) -> DataFrame:
     """``LINES`` of ``docs(id, text)``: every line with words."""
     shared = docs.sparkSession.sparkContext.broadcast(level)
+    list_rows = LIST_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
@@ -128,16 +142,29 @@ def described(docs: DataFrame, level: np.ndarray, similar: int) -> DataFrame:
                     continue
                 begin, size = at[full], size[full]
                 with np.errstate(over="ignore"):
-                    d0 = np.add.reduceat(mix(hashes + np.uint64(1)), begin)
-                    d1 = np.add.reduceat(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), begin)
-                bits = np.bitwise_or.reduceat(np.uint64(1) << (hashes & np.uint64(63)), begin)
+                    spread = mix(hashes + np.uint64(1))
+                    d0 = np.add.reduceat(spread, begin)
+                    d1 = np.add.reduceat((spread ^ spread >> np.uint64(31)) * np.uint64(0x5851F42D4C957F2D), begin)
+                # parities of 128 hashed cells, and of 32 others: sets differ in at least as many words as in cells
+                cell, half = np.uint64(1) << (hashes & np.uint64(63)), (hashes & np.uint64(64)) > 0
+                bits = np.bitwise_xor.reduceat(np.where(half, np.uint64(0), cell), begin)
+                more = np.bitwise_xor.reduceat(np.where(half, cell, np.uint64(0)), begin)
+                other = np.bitwise_xor.reduceat(np.uint64(1) << (hashes >> np.uint64(7) & np.uint64(31)), begin)
                 prefix = size - needed(size, similar) + 1
-                place = np.arange(len(hashes)) - np.repeat(at[:-1], np.diff(at))
-                taken = place < np.repeat(np.where(np.diff(at) > 0, np.diff(at) - needed(np.diff(at), similar) + 1, 0), np.diff(at))
-                ends = np.concatenate([[0], np.cumsum(prefix)]).astype(np.int32)
-                keys = (hashes[taken] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-                own = levels[(hashes[taken] >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
-                parts = np.where(own == 0, 0, list_parts(own)).astype(np.int32)  # 0: no other line has it
+                stops = np.cumsum(prefix)
+                place = np.arange(stops[-1]) - np.repeat(stops - prefix, prefix)
+                front = np.repeat(begin, prefix) + place
+                words_, own = hashes[front], levels[(hashes[front] >> np.uint64(64 - COUNT_BITS)).astype(np.int32)]
+                taken = own > 0  # at 0 no other line has the word
+                counts = np.concatenate([[0], np.cumsum(taken)])
+                begin, end = counts[stops - prefix].tolist(), counts[stops].tolist()
+                keys = (words_[taken] & np.uint64(0xFFFFFFFF)).astype("<u4")
+                place = place[taken].astype("<u4")
+                parts = list_parts(own[taken], list_rows).astype("<u4")
+
+                def cut_up(values: np.ndarray) -> pa.Array:
+                    return pa.array([values[i:j].tobytes() for i, j in zip(begin, end)], pa.binary())
+
                 arrays = [
                     ids.take(pa.array(block.first + row[full])),
                     pa.array(number[full], pa.int32()),
@@ -145,146 +172,244 @@ def described(docs: DataFrame, level: np.ndarray, similar: int) -> DataFrame:
                     pa.array(d0.view(np.int64)),
                     pa.array(d1.view(np.int64)),
                     pa.array(bits.view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(keys)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(parts)),
+                    pa.array(more.view(np.int64)),
+                    pa.array(other.view(np.int64)),
+                    cut_up(keys),
+                    cut_up(place),
+                    cut_up(parts),
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, [f"c{i}" for i in range(len(arrays))])
 
     return docs.select("id", "text").mapInArrow(run, LINES)
 
 
-PAIRS = "d0 bigint, id bigint, line int, e0 bigint, eid bigint, eline int"
+FOUND = "id bigint, line int, apart int, eids array<bigint>, elines array<int>"
+POSTING = np.dtype(
+    [("word", "<u4"), ("part", "<u4"), ("place", "<u4"), ("n", "<u4"), ("line", "<u4"), ("id", "<i8"),
+     ("bits", "<u8"), ("more", "<u8"), ("other", "<u4"), ("asks", "?"), ("offers", "?")]
+)
+
+
+def word_lists(classes: DataFrame, quick: bool, owners: int) -> DataFrame:
+    """``(owner, postings)``: the postings of the word lists that belong to one task, packed by column.
+
+    A list of a frequent word is cut into parts: a line offers itself in one of them and, if it
+    is not ``done``, asks in all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, places, parts = (
+                [np.frombuffer(v, "<u4") for v in batch.column(c).to_pylist()] for c in ("words", "places", "parts")
+            )
+            if quick:
+                words, places, parts = ([v[:QUICK_WORDS] for v in x] for x in (words, places, parts))
+            each = np.array([len(w) for w in words], np.int64)
+            if not each.sum():
+                continue
+            row = np.repeat(np.arange(len(each)), each)
+            p = np.zeros(len(row), POSTING)
+            p["word"], p["place"] = np.concatenate(words), np.concatenate(places)
+            total = np.concatenate(parts).astype(np.int64)
+            for c in ("n", "line", "id", "bits", "more", "other"):
+                values = batch.column(c).to_numpy(zero_copy_only=False)
+                p[c] = values.view(np.uint64)[row] if c in ("bits", "more") else values[row]
+            done = batch.column("done").to_numpy(zero_copy_only=False).astype(bool)
+            p["asks"], p["offers"] = ~done[row], True
+            own = (place_key(p["id"].astype(np.int64), p["line"]) % total.astype(np.uint64)).astype(np.int64)
+            p["part"] = own
+            many = np.flatnonzero((total > 1) & p["asks"])
+            if len(many):
+                copies = np.repeat(many, total[many])
+                extra = p[copies]
+                extra["part"] = np.arange(len(copies)) - np.repeat(np.cumsum(total[many]) - total[many], total[many])
+                extra["offers"] = False
+                p = np.concatenate([p, extra[extra["part"] != own[copies]]])
+            with np.errstate(over="ignore"):
+                key = mix(p["word"].astype(np.uint64) | p["part"].astype(np.uint64) << np.uint64(32))
+            owner = (key % np.uint64(owners)).astype(np.int64)
+            order = np.argsort(owner.astype(np.uint64) << np.uint64(32) | p["word"])
+            p, owner = p[order], owner[order]
+            at = np.searchsorted(owner, np.arange(owners + 1))
+            some = np.flatnonzero(np.diff(at))
+            blobs = [b"".join(planes(p[c][at[i] : at[i + 1]]) for c in POSTING.names) for i in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["a", "b"])
+
+    columns = ["n", "line", "id", "bits", "more", "other", "words", "places", "parts", "done"]
+    return classes.select(*columns).mapInArrow(run, "owner int, postings binary")
+
+
+def planes(column: np.ndarray) -> bytes:
+    """The bytes of a column, first all lowest ones: those of small numbers are runs of zeros that pack well."""
+    return np.ascontiguousarray(column).view(np.uint8).reshape(len(column), -1).T.tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    n = len(blob) // POSTING.itemsize
+    out, at = np.empty(n, POSTING), 0
+    for name in POSTING.names:
+        kind = POSTING[name]
+        raw = np.frombuffer(blob, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        out[name] = np.ascontiguousarray(raw.T).view(kind)[:, 0]
+        at += n * kind.itemsize
+    return out
 
 
 def similar_in_lists(lists: DataFrame, similar: int, quick: bool) -> DataFrame:
-    """Pairs of lines that may be similar, from word lists whose rows lie together in a partition.
+    """:data:`FOUND`: lines and the earlier ones that may be similar, by size, place of the shared word and signature.
 
-    ``lists(word, part, place, n, id, line, d0, bits, asks, offers)``: a row that asks is
-    compared with earlier rows that offer; a quick pass compares with the earliest one only.
+    A quick pass looks at the earliest line of a list and at the one before.
     """
 
-    def bounded(x: dict, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        na, nb = x["n"][a], x["n"][b]
-        least = -(-similar * (na + nb) // (100 + similar))
-        pa_, pb = x["place"][a], x["place"][b]
-        reach = np.minimum(pa_, pb) + 1 + np.minimum(na - pa_ - 1, nb - pb - 1)
-        apart = np.bitwise_count((x["bits"][a] ^ x["bits"][b]).view(np.uint64)).astype(np.int64)
+    def rows(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``(later, earlier, differing cells)`` of the pairs that may be similar."""
+        n = x["n"]
+        # the cheap test that few pairs pass comes first
+        apart = np.bitwise_count(x["bits"][a] ^ x["bits"][b]).astype(np.int64)
+        apart += np.bitwise_count(x["more"][a] ^ x["more"][b])
+        total = n[a] + n[b]
+        near = np.flatnonzero(apart * (100 + similar) <= total * (100 - similar))
+        a, b, apart, total = a[near], b[near], apart[near], total[near]
+        apart = np.maximum(apart, np.bitwise_count(x["other"][a] ^ x["other"][b]))
+        near = np.flatnonzero(apart * (100 + similar) <= total * (100 - similar))
+        a, b, apart, total = a[near], b[near], apart[near], total[near]
+        na, nb, p, q = n[a], n[b], x["place"][a], x["place"][b]
+        least = -(-similar * total // (100 + similar))
+        reach = np.minimum(p, q) + 1 + np.minimum(na - p, nb - q) - 1
         earlier = (x["id"][b] < x["id"][a]) | (x["id"][b] == x["id"][a]) & (x["line"][b] < x["line"][a])
-        return (100 * np.minimum(na, nb) >= similar * np.maximum(na, nb)) & (reach >= least) & earlier & (na + nb - apart >= 2 * least)
-
-    def pairs_of(x: dict) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((x["line"], x["id"], x["part"], x["word"]))
-        x = {k: v[order] for k, v in x.items()}
+        good = earlier & (100 * np.minimum(na, nb) >= similar * np.maximum(na, nb)) & (reach >= least)
+        good &= x["asks"][a] & x["offers"][b]
+        return np.stack([a[good], b[good], apart[good].astype(np.int64)], axis=1)
+
+    def emitted(x: dict[str, np.ndarray], found: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """One row for each line, with all that may be similar to it, the nearest first."""
+        if len(found):
+            a, b, apart = found[np.lexsort((found[:, 1], found[:, 2], found[:, 0]))].T
+            first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+            ends = pa.array(np.append(first, len(a)).astype("i4"))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(x["id"][a[first]]),
+                    pa.array(x["line"][a[first]].astype("i4")),
+                    pa.array(apart[first].astype("i4")),
+                    pa.ListArray.from_arrays(ends, pa.array(x["id"][b])),
+                    pa.ListArray.from_arrays(ends, pa.array(x["line"][b].astype("i4"))),
+                ],
+                [f"c{i}" for i in range(5)],
+            )
+
+    def pairs_of(packed_rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort([packed_rows[c] for c in ("line", "id", "part", "word")])
+        x = {c: packed_rows[c][order] for c in POSTING.names}
+        x |= {c: x[c].astype(np.int64) for c in ("n", "place")}
         new = (x["word"][1:] != x["word"][:-1]) | (x["part"][1:] != x["part"][:-1])
         starts = np.concatenate([[0], np.flatnonzero(new) + 1])
-        ends = np.append(starts[1:], len(order))
+        first = np.repeat(starts, np.diff(np.append(starts, len(order))))
+        every = np.arange(len(order))
         if quick:
-            b = np.repeat(starts, ends - starts)
-            a = np.arange(len(order))
-            yield from rows(x, a, b, bounded(x, a, b))
+            near = [rows(x, every, first), rows(x, every, np.maximum(every - 1, first))]
+            yield from emitted(x, np.concatenate(near))
             return
-        # a row with the offset to each row before it in its list: blocks of offsets, all lists at once
-        first = np.repeat(starts, ends - starts)
-        asking = np.flatnonzero(x["asks"])
-        offset = 1
-        while len(asking):
+        asking, offset, held = every[x["asks"]], 1, []
+        while len(asking):  # all lists at once: each line with the one so far before it
             asking = asking[asking - offset >= first[asking]]
-            b = asking - offset
-            yield from rows(x, asking, b, x["offers"][b] & bounded(x, asking, b))
+            held.append(rows(x, asking, asking - offset))
             offset += 1
-
-    def rows(x: dict, a: np.ndarray, b: np.ndarray, good: np.ndarray) -> Iterator[pa.RecordBatch]:
-        a, b = a[good], b[good]
-        if len(a):
-            arrays = [pa.array(x[c][i]) for i in (a, b) for c in ("d0", "id", "line")]
-            arrays[2], arrays[5] = arrays[2].cast(pa.int32()), arrays[5].cast(pa.int32())
-            yield pa.RecordBatch.from_arrays(arrays, [f"c{i}" for i in range(6)])
+            if sum(map(len, held)) > 200_000 or not len(asking):
+                yield from emitted(x, np.concatenate(held))
+                held = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        owner, held = None, []
         for batch in batches:
-            # rows come ordered by list: a list that goes on in the next batch waits for it
-            if batch.num_rows:
-                held.append(batch)
-                word, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-                change = np.flatnonzero((word != word[-1]) | (part != part[-1]))
-                if len(change) and sum(h.num_rows for h in held) >= 100_000:
-                    cut = int(change[-1]) + 1
-                    yield from pairs_of(arrays_of([*held[:-1], batch.slice(0, cut)]))
-                    held = [batch.slice(cut)]
+            for o, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if o != owner and held:
+                    yield from pairs_of(np.concatenate(held))
+                    held = []
+                owner = o
+                held.append(unpacked(blob))
         if held:
-            yield from pairs_of(arrays_of(held))
-
-    def arrays_of(batches: list[pa.RecordBatch]) -> dict:
-        t = pa.Table.from_batches(batches)
-        x = {c: t.column(c).to_numpy() for c in t.column_names}
-        return {k: v.astype(np.int64) if v.dtype == np.int32 else v for k, v in x.items()}
-
-    ordered = lists.repartition("word", "part").sortWithinPartitions("word", "part")
-    return ordered.mapInArrow(run, PAIRS)
-
-
-def postings(classes: DataFrame, words: Column | None, settled: DataFrame | None) -> DataFrame:
-    """Rows of the word lists; lists of frequent words are cut into parts, each asked by every row that asks."""
-    each = F.arrays_zip("prefix", "parts")
-    base = classes.select("n", "id", "line", "d0", "bits", F.posexplode(each).alias("place", "w"))
-    if words is not None:
-        base = base.where(words)
-    base = base.where("w.parts > 0")
-    own = F.pmod(F.xxhash64("d0"), F.col("w.parts")).cast("int")
-    if settled is None:
-        return base.select(
-            F.col("w.prefix").alias("word"), own.alias("part"), "place", "n", "id", "line", "d0", "bits",
-            F.lit(True).alias("asks"), F.lit(True).alias("offers"),
-        )
-    base = base.join(settled.select("d0", F.lit(True).alias("done")).distinct(), "d0", "left")
-    asks = F.col("done").isNull()
-    here = F.when(asks, F.sequence(F.lit(0), F.col("w.parts") - 1)).otherwise(F.array(own))
-    rows = base.select("*", own.alias("own"), F.explode(here).alias("part"))
-    return rows.select(
-        F.col("w.prefix").alias("word"), "part", "place", "n", "id", "line", "d0", "bits",
-        asks.alias("asks"), (F.col("part") == F.col("own")).alias("offers"),
-    )
+            yield from pairs_of(np.concatenate(held))
+
+    return lists.repartition("owner").sortWithinPartitions("owner").mapInArrow(run, FOUND)
+
+
+def place_key(ids: np.ndarray, line: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(mix(ids.view(np.uint64)) + line.astype(np.uint64))
+
+
+def filter_of(ends: DataFrame) -> np.ndarray:
+    """Bloom filter of ``ends(id, line)``: it lets some other lines through, of any corpus."""
+    chunk = 1 << 15
+    mask = np.uint64((1 << FILTER_BITS) - 1)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            key = place_key(*(batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)))
+            for turn in (0, 30):
+                bits[((key >> np.uint64(turn)) & mask).astype(np.int64)] = True
+        packed_bits = np.packbits(bits)
+        for at in range(0, len(packed_bits), chunk):
+            if packed_bits[at : at + chunk].any():
+                yield pa.RecordBatch.from_arrays([pa.array([at // chunk]), pa.array([packed_bits[at : at + chunk].tobytes()])], ["a", "b"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[at] = sums.get(at, np.uint8(0)) | np.frombuffer(raw, np.uint8)
+        for at, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total.tobytes()])], ["a", "b"])
+
+    schema = "chunk bigint, bits binary"
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for at, raw in ends.mapInArrow(mark, schema).repartition("chunk").mapInArrow(join, schema).collect():
+        out[at * chunk : at * chunk + len(raw)] = np.frombuffer(raw, np.uint8)
+    return out
 
 
 def line_texts(ends: DataFrame, docs: DataFrame) -> DataFrame:
-    """``(d0, id, line, body)`` for the lines ``ends(d0, id, line)``."""
-    wanted = ends.groupBy("id").agg(F.collect_set("line").alias("wanted"))
+    """``(d0, body)`` of the lines at the places ``ends(id, line)``, and of few others."""
+    shared = docs.sparkSession.sparkContext.broadcast(filter_of(ends))
+    mask = np.uint64((1 << FILTER_BITS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            out = []
-            for i, numbers in enumerate(batch.column(2).to_pylist()):
-                doc_id, parts = batch.column(0)[i].as_py(), (batch.column(1)[i].as_py() or "").split("\n")
-                out += [(doc_id, n, parts[n]) for n in numbers if n < len(parts)]
-            columns = list(zip(*out)) or [[]] * 3
-            lines = pa.array(columns[2], pa.string())
-            d0 = [np.zeros(0, np.uint64)]
-            for block in blocks(lines):
-                hashes, at = distinct_words(block, None)
-                with np.errstate(over="ignore"):
-                    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes + np.uint64(1)))])
-                    d0.append(sums[at[1:]] - sums[at[:-1]])
-            arrays = [pa.array(np.concatenate(d0).view(np.int64)), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), lines]
-            yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "c", "d"])
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for block in blocks(batch.column(1)):
+                cut, row, number = lines_of(block)
+                key = place_key(ids[block.first + row], number)
+                hit = bits[(key & mask).astype(np.int64)] & bits[((key >> np.uint64(30)) & mask).astype(np.int64)]
+                some = np.flatnonzero(hit & (np.diff(cut.starts) > 0))
+                if not len(some):
+                    continue
+                bodies = [cut.data[cut.starts[i] : cut.starts[i + 1]].tobytes().rstrip(b"\n") for i in some]
+                for small in blocks(pa.array(bodies, pa.binary()), 1 << 40):
+                    hashes, at = distinct_words(small, None)
+                    with np.errstate(over="ignore"):
+                        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes + np.uint64(1)))])
+                        d0 = sums[at[1:]] - sums[at[:-1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(d0.view(np.int64)), pa.array(bodies, pa.binary())], ["a", "b"])
 
-    return docs.join(wanted, "id").select("id", "text", "wanted").mapInArrow(run, "d0 bigint, id bigint, line int, body string")
+    return docs.select("id", "text").mapInArrow(run, "d0 bigint, body binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, similar: int) -> DataFrame:
     """``d0`` of the later lines of ``pairs`` that are similar to the earlier one, word by word."""
-    ends = pairs.selectExpr("d0", "id", "line").unionByName(pairs.selectExpr("e0 d0", "eid id", "eline line")).distinct()
-    bodies = line_texts(ends, docs).join(ends, ["d0", "id", "line"], "left_semi").dropDuplicates(["d0"])
-    bodies = materialize(bodies.select("d0", "body"), "bodies")
-    met = pairs.select("d0", "e0").join(bodies.withColumnRenamed("body", "later"), "d0")
-    met = met.join(bodies.selectExpr("d0 e0", "body earlier"), "e0")
+    ends = pairs.selectExpr("id", "line").unionByName(pairs.selectExpr("eid id", "eline line"))
+    bodies = materialize(line_texts(ends, docs).dropDuplicates(["d0"]), "bodies")
+    met = bodies.withColumnRenamed("body", "later").join(pairs.select("d0", "e0").hint("merge"), "d0")
+    met = bodies.selectExpr("d0 e0", "body earlier").join(met.hint("merge"), "e0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)} | {c: " " for c in "\t\x0b\x0c\r"})
+        fold = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
         for batch in batches:
             good = []
             for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                a, b = ({w for w in t.translate(fold).split(" ") if w} for t in (x, y))
+                a, b = set(x.translate(fold).split()), set(y.translate(fold).split())
                 both = len(a & b)
                 good.append(100 * both >= similar * (len(a) + len(b) - both))
             yield batch.select([0]).filter(pa.array(good, pa.bool_()))
@@ -292,20 +417,53 @@ def verified(pairs: DataFrame, docs: DataFrame, similar: int) -> DataFrame:
     return met.select("d0", "later", "earlier").mapInArrow(run, "d0 bigint").distinct()
 
 
+def named(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """``pairs(id, line, eid, eline)`` with the digests of both lines."""
+    met = names.join(pairs.hint("merge"), ["id", "line"])
+    return names.selectExpr("id eid", "line eline", "d0 e0").join(met.hint("merge"), ["eid", "eline"])
+
+
+def nearest(found: DataFrame) -> DataFrame:
+    """``(id, line, eid, eline)``: for each line of ``found`` the one that differs in the fewest cells."""
+    first = F.struct("apart", F.get("eids", F.lit(0)).alias("eid"), F.get("elines", F.lit(0)).alias("eline"))
+    return found.groupBy("id", "line").agg(F.min(first).alias("p")).select("id", "line", "p.eid", "p.eline")
+
+
+def undone(classes: DataFrame, settled: DataFrame) -> DataFrame:
+    """``classes`` with ``done`` where they are settled."""
+    met = classes.join(settled.select("d0", F.lit(True).alias("done")).hint("merge"), "d0", "left")
+    return met.withColumn("done", F.coalesce("done", F.lit(False)))
+
+
 def removals(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """``(id, line)`` of the lines of ``docs(id, text)`` that go."""
+    spark = docs.sparkSession
+    owners = partitions(spark)
     lines = materialize(described(docs, word_levels(docs), similar), "lines")
-    first = F.min(F.struct("id", "line", "bits", "prefix", "parts")).alias("first")
+    release(spark)
+    first = F.min(F.struct("id", "line", "bits", "more", "other", "words", "places", "parts")).alias("first")
     classes = materialize(lines.groupBy("d0", "d1", "n").agg(first).select("d0", "d1", "n", "first.*"), "classes")
-    # lines of up to four words are similar to equal ones only
+    release(spark)
+    # lines of fewer words are similar to equal ones only
     large = classes.where(F.col("n") >= (-(-similar // (100 - similar)) if similar < 100 else 1 << 30))
-    quick = similar_in_lists(postings(large, F.col("place") < QUICK_WORDS, None), similar, True)
-    quick = materialize(quick.distinct(), "quick")
+    names = large.select("id", "line", "d0")
+    quick = similar_in_lists(word_lists(large.withColumn("done", F.lit(False)), True, owners), similar, True)
+    quick = materialize(named(nearest(quick), names), "quick")
     settled = materialize(verified(quick, docs, similar), "settled")
-    rest = similar_in_lists(postings(large, None, settled), similar, False).distinct()
-    rest = materialize(rest.join(quick.select("d0", "e0"), ["d0", "e0"], "left_anti"), "rest")
-    settled = settled.unionByName(verified(rest, docs, similar)).distinct()
-    marked = classes.join(settled.withColumn("gone", F.lit(True)), "d0", "left")
+    release(spark)
+    found = similar_in_lists(word_lists(undone(large, settled), False, owners), similar, False)
+    found = materialize(found, "found")
+    release(spark)
+    # the nearest of each line first: most need no other
+    near = materialize(named(nearest(found), names), "near")
+    settled = materialize(settled.unionByName(verified(near, docs, similar)).distinct(), "settled")
+    waiting = undone(large, settled).where(~F.col("done")).select("id", "line")
+    pair = F.explode(F.arrays_zip(F.col("eids").alias("eid"), F.col("elines").alias("eline"))).alias("p")
+    rest = found.join(waiting, ["id", "line"], "left_semi").select("id", "line", pair).select("id", "line", "p.*").distinct()
+    rest = materialize(named(rest, names), "rest")
+    settled = materialize(settled.unionByName(verified(rest, docs, similar)).distinct(), "settled")
+    release(spark)
+    marked = classes.join(settled.withColumn("gone", F.lit(True)).hint("merge"), "d0", "left")
     marked = marked.select("d0", "d1", "n", F.col("id").alias("fid"), F.col("line").alias("fline"), "gone")
     met = lines.select("id", "line", "d0", "d1", "n").join(marked, ["d0", "d1", "n"])
     later = (F.col("id") != F.col("fid")) | (F.col("line") != F.col("fline"))
