@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from inlay.llm import queries
-from inlay.llm.common import materialize, partitions, table
+from inlay.llm.common import materialize, partitions, release, table
 from inlay.llm.words import blocks, split
 
 CLASS_BITS = 12
@@ -39,12 +39,22 @@ RUN = 512
 PRIOR = 20.0  # tokens of the class frequencies that every state is given
 STAY = 0.9
 SEED = 11
-BLOCK_BYTES = 4 << 20
-PACKED = "block bigint, doc_ids array<bigint>, held array<boolean>, ends array<int>, words binary, hashes binary, counts binary"
+BLOCK_BYTES = 1 << 20
+PACKED = "block bigint, doc_ids array<bigint>, held array<boolean>, ends array<int>, words binary, hashes binary, kinds binary, counts binary"
 CODED = "doc_ids array<bigint>, held array<boolean>, ends array<int>, classes binary, known array<bigint>, base array<double>, inside array<double>"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
+def planes(values: np.ndarray) -> bytes:
+    """The bytes of numbers, first all lowest ones: those of small numbers are runs of zeros that pack well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def from_planes(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def packed(docs: DataFrame, held: Column) -> DataFrame:
     """Blocks of documents as local word numbers, with the distinct words and their training counts."""
 
@@ -62,11 +72,12 @@ def packed(docs: DataFrame, held: Column) -> DataFrame:
                     "doc_ids": [ids.slice(block.first, len(block)).to_pylist()],
                     "held": [held_out.tolist()],
                     "ends": [words.at[1:].astype(np.int32)],
-                    "words": [local.astype("<i4").tobytes()],
+                    "words": [planes(local.astype("<i4"))],
                     "hashes": [own.tobytes()],
-                    "counts": [counts.astype("<i8").tobytes()],
+                    "kinds": [planes((own >> np.uint64(64 - CLASS_BITS)).astype("<i2"))],
+                    "counts": [planes(counts.astype("<i8"))],
                 }
-                kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.binary()] * 3)
+                kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.binary()] * 4)
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds)], list(row))
 
     return docs.select(F.col("doc_id").cast("bigint"), "text", held.alias("held")).mapInArrow(run, PACKED)
@@ -82,7 +93,7 @@ def corpus_counts(rows: DataFrame, owners: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, hashes, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                hashes, counts = np.frombuffer(hashes, np.uint64), np.frombuffer(counts, "<i8")
+                hashes, counts = np.frombuffer(hashes, np.uint64), from_planes(counts, "<i8")
                 owner = ((hashes >> np.uint64(64 - CLASS_BITS)).astype(np.int64) * owners) >> CLASS_BITS
                 at = np.searchsorted(owner, np.arange(owners + 1))
                 some = np.flatnonzero(np.diff(at))
@@ -90,7 +101,7 @@ def corpus_counts(rows: DataFrame, owners: int) -> DataFrame:
                     pa.array(some, pa.int32()),
                     pa.array([block] * len(some), pa.int64()),
                     pa.array([hashes[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()),
-                    pa.array([counts[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()),
+                    pa.array([planes(counts[at[i] : at[i + 1]]) for i in some], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, ["owner", "block", "hashes", "counts"])
 
@@ -98,7 +109,7 @@ def corpus_counts(rows: DataFrame, owners: int) -> DataFrame:
         parts = [np.frombuffer(r[1], np.uint64) for r in rows]
         own, place = np.unique(np.concatenate(parts), return_inverse=True)
         counts = np.zeros(len(own), np.int64)
-        np.add.at(counts, place, np.concatenate([np.frombuffer(r[2], "<i8") for r in rows]))
+        np.add.at(counts, place, np.concatenate([from_planes(r[2], "<i8") for r in rows]))
         kind = (own >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
         there = np.unique(kind)
         stats = np.stack([
@@ -107,7 +118,7 @@ def corpus_counts(rows: DataFrame, owners: int) -> DataFrame:
             np.bincount(kind, counts > 0, CLASSES)[there].astype(np.int64),
         ])
         found, ends = counts[place], np.cumsum([len(p) for p in parts])
-        payload = [p.tobytes() for p in np.split(found, ends[:-1])]
+        payload = [planes(p) for p in np.split(found, ends[:-1])]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([r[0] for r in rows] + [None], pa.int64()),
@@ -169,11 +180,10 @@ def coded(rows: DataFrame, counted: DataFrame, total: Totals) -> DataFrame:
         class_size = np.log10(t.in_class + 0.5 * (t.words_in_class + 1))
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, held, ends, words, hashes, found = (batch.column(c)[i].as_py() for c in range(6))
-                local = np.frombuffer(words, "<i4")
-                kind = (np.frombuffer(hashes, np.uint64) >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
+                ids, held, ends, words, kinds, found = (batch.column(c)[i].as_py() for c in range(6))
+                local, kind = from_planes(words, "<i4"), from_planes(kinds, "<i2").astype(np.int64)
                 parts = sorted(found or [], key=lambda f: f["owner"])
-                counts = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(f["payload"], np.int64) for f in parts]])
+                counts = np.concatenate([np.zeros(0, np.int64), *[from_planes(f["payload"], "<i8") for f in parts]])
                 weight = np.log10(counts + 0.5)
                 at = np.append(0, np.array(ends, np.int64))
 
@@ -188,13 +198,13 @@ def coded(rows: DataFrame, counted: DataFrame, total: Totals) -> DataFrame:
                 ratio = weight - class_size[kind]
                 inside = np.array([np.sum(ratio[local[a:b]]) for a, b in zip(at[:-1], at[1:])])
                 classes = np.insert(kind[local].astype("<i2"), at[1:], END)
-                kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), *[pa.list_(pa.float64())] * 2)
+                types = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), *[pa.list_(pa.float64())] * 2)
                 new_ends = (at[1:] + np.arange(1, len(at))).astype(np.int32)
                 values = (ids, held, new_ends, classes.tobytes(), known, base, inside)
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], [f"c{k}" for k in range(7)])
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, types)], [f"c{k}" for k in range(7)])
 
     met = rows.join(lists, "block", "left")
-    return met.select("doc_ids", "held", "ends", "words", "hashes", "found").mapInArrow(run, CODED)
+    return met.select("doc_ids", "held", "ends", "words", "kinds", "found").mapInArrow(run, CODED)
 
 
 @dataclass
@@ -394,8 +404,10 @@ def train(docs: DataFrame, held: Column, states: int = STATES, passes: int = PAS
     texts = docs.where(~held).count()
     owners = min(CLASSES, max(1, partitions(docs.sparkSession)))
     counted = materialize(corpus_counts(rows, owners), "counts")
+    release(docs.sparkSession)
     total = totals(counted, texts)
     blocks_ = materialize(coded(rows, counted, total), "coded")
+    release(docs.sparkSession)
     model = first_model(total, states, seed)
     for _ in range(passes):
         model = baum_welch(blocks_, model, total)
