@@ -458,8 +458,14 @@ def removals(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     near = materialize(named(nearest(found), names), "near")
     settled = materialize(settled.unionByName(verified(near, docs, similar)).distinct(), "settled")
     waiting = undone(large, settled).where(~F.col("done")).select("id", "line")
-    pair = F.explode(F.arrays_zip(F.col("eids").alias("eid"), F.col("elines").alias("eline"))).alias("p")
-    rest = found.join(waiting, ["id", "line"], "left_semi").select("id", "line", pair).select("id", "line", "p.*").distinct()
+    # a pair that shares several words is in several lists: put together before it becomes a row
+    places = F.zip_with("eids", "elines", lambda e, n: F.concat_ws(" ", e.cast("string"), n.cast("string")))
+    lists = found.join(waiting, ["id", "line"], "left_semi").groupBy("id", "line")
+    once = lists.agg(F.array_distinct(F.flatten(F.collect_list(places))).alias("places"))
+    part = lambda k: F.split_part("place", F.lit(" "), F.lit(k))
+    rest = once.select("id", "line", F.explode("places").alias("place")).select(
+        "id", "line", part(1).cast("bigint").alias("eid"), part(2).cast("int").alias("eline")
+    )
     rest = materialize(named(rest, names), "rest")
     settled = materialize(settled.unionByName(verified(rest, docs, similar)).distinct(), "settled")
     release(spark)
