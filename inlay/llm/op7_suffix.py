@@ -8,7 +8,10 @@ id.  Two equal strings of ``LENGTH`` bytes have the same minimiser (the smallest
 1. blocks of documents send the distinct minimisers they have to the task that owns them,
    and get back which of them others have too;
 2. every maximal run of strings under such a shared minimiser goes to its owner, as a
-   piece of text with the smallest id it has in the block;
+   piece of text with the smallest id it has in the block; where the pieces of a minimiser
+   come to more than ``GROUP_BYTES``, its strings are keyed by the hash of all their bytes
+   instead, which equal strings share: the blocks learn in a round of its own which
+   of them others have too, and every such string goes to its own owner as a piece;
 3. an owner puts the pieces of a minimiser that differ into shards, sorts the rotations of
    each shard into its transform, and merges the shards: the interleave of the shards is
    refined by the symbols that their transforms hold before each suffix, as many at a time as
@@ -37,7 +40,8 @@ from inlay.llm.words import _VALUES, INVERSE, blocks, mix, powers
 LENGTH = 50
 SEED = 20
 SHARD_BYTES = 1 << 17
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 20  # pieces merged at a time, and the most that meet under one minimiser
+UNIT = 2 * LENGTH - SEED  # bytes of the usual piece: the strings around one minimiser
 BLOCK_BYTES = 1 << 20
 NULL_ID = -(1 << 63)
 BLOCKS = "block bigint, ids array<bigint>, starts array<bigint>, data binary"
@@ -55,6 +59,24 @@ def sliding(values: np.ndarray, width: int, take) -> np.ndarray:
     return out
 
 
+def sums_of(data: np.ndarray) -> np.ndarray:
+    """Prefix sums that :func:`hashes_of` takes hashes of bytes from."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(_VALUES[data] * powers(len(data)), out=sums[1:])
+    return sums
+
+
+def hashes_of(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix((sums[end] - sums[begin]) * powers(len(sums), INVERSE)[begin])
+
+
+def strings_of(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places of all strings of some runs."""
+    return np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
 def minimisers(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Strings of ``LENGTH`` bytes grouped by minimiser: first string, number of strings and hash of each group.
 
@@ -198,19 +220,60 @@ def owned(hashes: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
     return own[order], np.searchsorted(owner[order], np.arange(owners + 1))
 
 
-def shared_minimisers(blocks_: DataFrame, owners: int) -> DataFrame:
-    """``(block, owner, bits)``: which of the block's distinct minimisers occur in several documents."""
+def flagged(hashes: np.ndarray, parts: list[dict], field: str, owners: int) -> np.ndarray:
+    """For each hash, the flag that the owner of its key has answered in ``field``."""
+    own, at = owned(hashes, owners)
+    flags = np.zeros(len(own), bool)
+    for part in parts:
+        o = part["owner"]
+        if part[field]:
+            flags[at[o] : at[o + 1]] = np.unpackbits(np.frombuffer(part[field], np.uint8), count=at[o + 1] - at[o])
+    order = np.argsort(own)
+    return flags[order][np.searchsorted(own[order], hashes)]
+
+
+def heavy_strings(data: np.ndarray, starts: np.ndarray, shared: list[dict], owners: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the strings of ``LENGTH`` bytes under heavy minimisers."""
+    begin, count, hashes = minimisers(data, starts)
+    heavy = flagged(hashes, shared, "heavy", owners)
+    at = strings_of(begin[heavy], count[heavy])
+    return at, hashes_of(sums_of(data), at, at + LENGTH) if len(at) else np.zeros(0, np.uint64)
+
+
+def shared_keys(blocks_: DataFrame, owners: int, strings: bool = False) -> DataFrame:
+    """``(block, owner, bits, heavy)``: which of the block's distinct minimisers occur in several documents.
+
+    ``heavy`` are the shared ones whose pieces come to more than ``GROUP_BYTES``, each
+    block's distinct ones counted; it is empty where none is.  With ``strings`` the keys are
+    the hashes of the strings under the heavy minimisers of ``blocks_``.
+    """
+    most = GROUP_BYTES // UNIT
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 name, _, starts, data = opened(batch, i)
-                begin, _, hashes = minimisers(data, starts)
+                if strings:
+                    begin, hashes = heavy_strings(data, starts, batch.column(4)[i].as_py(), owners)
+                else:
+                    begin, count, hashes = minimisers(data, starts)
                 own, at = owned(hashes, owners)
                 row = np.searchsorted(starts, begin, "right") - 1
                 ranks = np.sort(own)
-                pairs = np.unique(np.searchsorted(ranks, hashes) * len(starts) + row) // len(starts)
-                many = (np.bincount(pairs, minlength=len(own)) > 1)[np.searchsorted(ranks, own)]
+                rank, back = np.searchsorted(ranks, hashes), np.searchsorted(ranks, own)
+                pairs = np.unique(rank * len(starts) + row) // len(starts)
+                many = (np.bincount(pairs, minlength=len(own)) > 1)[back]
+                units = np.ones(len(own), np.int64)
+                if not strings and len(own):
+                    size = -(-(count + LENGTH - 1) // UNIT)
+                    units = np.bincount(rank, size, len(own)).astype(np.int64)
+                    twice = np.flatnonzero((np.bincount(rank, minlength=len(own)) > 1)[rank])
+                    if len(twice):  # equal pieces count once
+                        text = hashes_of(sums_of(data), begin[twice], begin[twice] + count[twice] + LENGTH - 1)
+                        again = np.setdiff1d(np.arange(len(twice)), np.unique(text, return_index=True)[1])
+                        np.subtract.at(units, rank[twice[again]], size[twice[again]])
+                    units = units[back]
+                units = np.minimum(units, 0xFFFF).astype("<u2")
                 some = np.flatnonzero(np.diff(at))
                 short = (own >> np.uint64(32)).astype("<u4")  # equal halves of different hashes only cost a closer look
                 yield pa.RecordBatch.from_arrays(
@@ -219,27 +282,33 @@ def shared_minimisers(blocks_: DataFrame, owners: int) -> DataFrame:
                         pa.array([name] * len(some), pa.int64()),
                         pa.array([short[at[o] : at[o + 1]].tobytes() for o in some], pa.binary()),
                         pa.array([np.packbits(many[at[o] : at[o + 1]]).tobytes() for o in some], pa.binary()),
+                        # nearly all are 1
+                        pa.array([b"" if (u := units[at[o] : at[o + 1]]).max() == 1 else u.tobytes() for o in some], pa.binary()),
                     ],
-                    ["a", "b", "c", "d"],
+                    ["a", "b", "c", "d", "e"],
                 )
 
     def answer(owner: int, rows: list[tuple]) -> pa.RecordBatch:
         parts = [np.frombuffer(r[1], "<u4") for r in rows]
         many = np.concatenate([np.unpackbits(np.frombuffer(r[2], np.uint8), count=len(p)) for r, p in zip(rows, parts)])
+        units = np.concatenate([np.frombuffer(r[3], "<u2") if r[3] else np.ones(len(p), "<u2") for r, p in zip(rows, parts)])
         own, place = np.unique(np.concatenate(parts), return_inverse=True)
         shared = (np.bincount(place) > 1) | (np.bincount(place, many) > 0)
-        cut = np.split(shared[place], np.cumsum([len(p) for p in parts])[:-1])
+        heavy = shared & (np.bincount(place, units) > most)
+        stops = np.cumsum([len(p) for p in parts])[:-1]
+        cut, large = np.split(shared[place], stops), np.split(heavy[place], stops)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([r[0] for r in rows], pa.int64()),
                 pa.array([owner] * len(rows), pa.int32()),
                 pa.array([np.packbits(c).tobytes() for c in cut], pa.binary()),
+                pa.array([np.packbits(c).tobytes() if c.any() and not strings else b"" for c in large], pa.binary()),
             ],
-            ["a", "b", "c"],
+            ["a", "b", "c", "d"],
         )
 
-    sent = blocks_.mapInArrow(send, "owner int, block bigint, hashes binary, many binary")
-    return by_owner(sent, answer, "block bigint, owner int, bits binary")
+    sent = blocks_.mapInArrow(send, "owner int, block bigint, hashes binary, many binary, units binary")
+    return by_owner(sent, answer, "block bigint, owner int, bits binary, heavy binary")
 
 
 def by_owner(sent: DataFrame, answer, schema: str) -> DataFrame:
@@ -261,17 +330,17 @@ def by_owner(sent: DataFrame, answer, schema: str) -> DataFrame:
 
 
 class Groups:
-    """Groups of a block under shared minimisers, with equal pieces of text put together."""
+    """Groups of a block under shared minimisers, or shared strings of heavy ones, with equal pieces of text put together."""
 
-    def __init__(self, ids, starts, data, shared: list[dict], owners: int):
+    def __init__(self, ids, starts, data, shared: list[dict], owners: int, strings: list[dict]):
         begin, count, hashes = minimisers(data, starts)
-        own, at = owned(hashes, owners)
-        flags = np.zeros(len(own), bool)
-        for part in shared:
-            o = part["owner"]
-            flags[at[o] : at[o + 1]] = np.unpackbits(np.frombuffer(part["bits"], np.uint8), count=at[o + 1] - at[o])
-        order = np.argsort(own)
-        here = flags[order][np.searchsorted(own[order], hashes)]
+        here = flagged(hashes, shared, "bits", owners)
+        if any(part["heavy"] for part in shared):
+            here &= ~flagged(hashes, shared, "heavy", owners)
+            at, keys = heavy_strings(data, starts, shared, owners)
+            also = flagged(keys, strings, "bits", owners)
+            begin, count = np.append(begin[here], at[also]), np.append(count[here], np.ones(also.sum(), np.int64))
+            hashes, here = np.append(hashes[here], keys[also]), slice(None)
         self.begin, self.count, self.hashes = begin[here], count[here], hashes[here]
         self.ids = ids[np.searchsorted(starts, self.begin, "right") - 1]
         raw = data.tobytes()
@@ -296,7 +365,7 @@ def earlier_strings(joined: DataFrame, owners: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 name, ids, starts, data = opened(batch, i)
-                g = Groups(ids, starts, data, batch.column(4)[i].as_py() or [], owners)
+                g = Groups(ids, starts, data, batch.column(4)[i].as_py() or [], owners, batch.column(5)[i].as_py() or [])
                 some = np.flatnonzero(np.diff(g.at))
                 cut = [g.order[g.at[o] : g.at[o + 1]] for o in some]
                 yield pa.RecordBatch.from_arrays(
@@ -365,9 +434,9 @@ def cut_out(joined: DataFrame, owners: int, with_text: bool) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 _, ids, starts, data = opened(batch, i)
-                g = Groups(ids, starts, data, batch.column(4)[i].as_py() or [], owners)
+                g = Groups(ids, starts, data, batch.column(4)[i].as_py() or [], owners, batch.column(5)[i].as_py() or [])
                 edge = np.zeros(len(data) + 1, np.int64)
-                answers = {a["owner"]: a["bits"] for a in batch.column(5)[i].as_py() or []}
+                answers = {a["owner"]: a["bits"] for a in batch.column(6)[i].as_py() or []}
                 strings = np.array([len(p) - LENGTH + 1 for p in g.pieces], np.int64)
                 flags: list[np.ndarray | None] = [None] * len(g.pieces)
                 for o, bits in answers.items():
@@ -407,13 +476,22 @@ def without_passages(docs: DataFrame, with_text: bool = False) -> DataFrame:
     first = rows.groupBy("digest").agg(F.min("id").alias("id"), F.first("body").alias("body"))
     store = materialize(blocked(first), "blocks")
     release(spark)
-    shared = materialize(shared_minimisers(store, owners), "shared")
+    shared = materialize(shared_keys(store, owners), "shared")
     release(spark)
-    lists = shared.groupBy("block").agg(F.collect_list(F.struct("owner", "bits")).alias("shared"))
-    answers = materialize(earlier_strings(store.join(lists, "block", "left"), owners), "earlier")
+    lists = shared.groupBy("block").agg(F.collect_list(F.struct("owner", "bits", "heavy")).alias("shared"))
+    met = store.join(lists, "block", "left")
+    strings = F.lit(None).cast("array<struct<owner: int, bits: binary>>").alias("strings")
+    if shared.where(F.length("heavy") > 0).isEmpty():
+        met = met.select("*", strings)
+    else:
+        heavy = shared.where(F.length("heavy") > 0).select("block").distinct()
+        own = materialize(shared_keys(met.join(heavy, "block", "left_semi"), owners, strings=True), "strings")
+        release(spark)
+        met = met.join(own.groupBy("block").agg(F.collect_list(F.struct("owner", "bits")).alias("strings")), "block", "left")
+    answers = materialize(earlier_strings(met, owners), "earlier")
     release(spark)
     found = answers.groupBy("block").agg(F.collect_list(F.struct("owner", "bits")).alias("found"))
-    both = store.join(lists, "block", "left").join(found, "block", "left")
+    both = met.join(found, "block", "left")
     results = materialize(cut_out(both, owners, with_text), "cut")
     release(spark)
     # a row with a larger id than the first of its text loses every byte, if it has LENGTH of them

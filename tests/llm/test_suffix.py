@@ -48,3 +48,23 @@ def test_merged_transforms_are_the_sorted_rotations():
             op.SHARD_BYTES = old
         for p, f in zip(pieces, found):
             assert f.tolist() == [least[p[i : i + 50]] for i in range(len(p) - 49)]
+
+
+def test_pieces_of_one_minimiser_do_not_all_meet(spark, monkeypatch):
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    phrase, tails = noise(45), [noise(12) for _ in range(6)]  # with some tails a string of 50 bytes repeats
+    rows = []
+    for i in range(150):
+        tail = rng.choice(tails) if i % 3 == 0 else noise(12)
+        rows.append((i, noise(60) + phrase + tail + noise(60), "a", "b", 1))
+    plain = op.smallest_ids
+
+    def bounded(pieces, ids):
+        if sum(map(len, pieces)) > 4000:
+            raise ValueError("too much text in one merge")
+        return plain(pieces, ids)
+
+    monkeypatch.setattr(op, "GROUP_BYTES", 2000)
+    monkeypatch.setattr(op, "smallest_ids", bounded)
+    check(op.without_passages(frame(spark, rows), with_text=True).collect(), rows)
