@@ -1,10 +1,13 @@
 """Hidden Markov language model, trained by Baum-Welch over the whole corpus.
 
-States emit word classes, of which there are ``CLASSES``; a word's class comes from its hash, and
-the share of a word in its class from its count in the training texts.  So what tasks share
-is bounded (the model), while the counts of words, which grow with the corpus, stay
-distributed: blocks of documents send their distinct words to the task that owns the
-class and get the corpus counts back.
+Training begins with states that emit word classes, of which there are ``CLASSES``; a word's class
+comes from its hash, and the share of a word in its class from its count in the training
+texts.  ``WORD_PASSES`` further passes learn what each state emits word by word.  What
+tasks share is bounded (the class model, then starts, transitions and totals of states),
+while counts and emissions of words, which grow with the corpus, stay distributed: blocks
+of documents send their distinct words, with their expected counts per state, to the
+task that owns the class and get the corpus counts back.  A word that training texts don't
+have is emitted with its base probability by every state.
 
 Every Baum-Welch pass sums expected counts over all blocks.  Training cuts a text into
 runs of ``RUN`` tokens with start probabilities of their own; scoring does not cut: the
@@ -35,13 +38,14 @@ CLASSES = 1 << CLASS_BITS
 END = CLASSES  # class of the end of a text
 STATES = 8
 PASSES = 6
+WORD_PASSES = 2  # after those of the classes
 RUN = 512
 PRIOR = 20.0  # tokens of the class frequencies that every state is given
 STAY = 0.9
 SEED = 11
 BLOCK_BYTES = 1 << 20
 PACKED = "block bigint, doc_ids array<bigint>, held array<boolean>, ends array<int>, words binary, hashes binary, kinds binary, counts binary"
-CODED = "doc_ids array<bigint>, held array<boolean>, ends array<int>, classes binary, known array<bigint>, base array<double>, inside array<double>"
+CODED = "doc_ids array<bigint>, held array<boolean>, ends array<int>, classes binary, known array<bigint>, base array<double>, inside array<double>, block bigint"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
@@ -180,7 +184,7 @@ def coded(rows: DataFrame, counted: DataFrame, total: Totals) -> DataFrame:
         class_size = np.log10(t.in_class + 0.5 * (t.words_in_class + 1))
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, held, ends, words, kinds, found = (batch.column(c)[i].as_py() for c in range(6))
+                ids, held, ends, words, kinds, found, block = (batch.column(c)[i].as_py() for c in range(7))
                 local, kind = from_planes(words, "<i4"), from_planes(kinds, "<i2").astype(np.int64)
                 parts = sorted(found or [], key=lambda f: f["owner"])
                 counts = np.concatenate([np.zeros(0, np.int64), *[from_planes(f["payload"], "<i8") for f in parts]])
@@ -198,13 +202,13 @@ def coded(rows: DataFrame, counted: DataFrame, total: Totals) -> DataFrame:
                 ratio = weight - class_size[kind]
                 inside = np.array([np.sum(ratio[local[a:b]]) for a, b in zip(at[:-1], at[1:])])
                 classes = np.insert(kind[local].astype("<i2"), at[1:], END)
-                types = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), *[pa.list_(pa.float64())] * 2)
+                types = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), *[pa.list_(pa.float64())] * 2, pa.int64())
                 new_ends = (at[1:] + np.arange(1, len(at))).astype(np.int32)
-                values = (ids, held, new_ends, classes.tobytes(), known, base, inside)
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, types)], [f"c{k}" for k in range(7)])
+                values = (ids, held, new_ends, classes.tobytes(), known, base, inside, block)
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, types)], [f"c{k}" for k in range(8)])
 
     met = rows.join(lists, "block", "left")
-    return met.select("doc_ids", "held", "ends", "words", "kinds", "found").mapInArrow(run, CODED)
+    return met.select("doc_ids", "held", "ends", "words", "kinds", "found", "block").mapInArrow(run, CODED)
 
 
 @dataclass
@@ -266,7 +270,7 @@ def expected(x: np.ndarray, begin: np.ndarray, end: np.ndarray, fresh: np.ndarra
             now[: len(beta)] = ahead @ m.moves.T
         beta = now
         gamma[a:b] = alpha[a:b] * beta
-    counts = np.stack([np.bincount(token, gamma[:, k], CLASSES + 1) for k in range(states)], axis=1)
+    counts = np.stack([np.bincount(token, gamma[:, k], len(m.emits)) for k in range(states)], axis=1)
     head = gamma[: first[1]] if steps else gamma
     is_new = fresh[order]
     return [head[is_new].sum(axis=0), head[~is_new].sum(axis=0), moves * m.moves, counts, np.array([np.log(scale).sum()])]
@@ -398,8 +402,161 @@ def scored(rows: DataFrame, m: Model, total: Totals) -> DataFrame:
     return rows.mapInArrow(run, SCORES)
 
 
+@dataclass
+class WordModel:
+    """What states share of a model of words: ``mass`` and ``ends`` are their expected tokens and ends of texts."""
+
+    start: np.ndarray
+    later: np.ndarray
+    moves: np.ndarray
+    mass: np.ndarray
+    ends: np.ndarray
+    distinct: int
+
+    def emits(self, counts: np.ndarray) -> np.ndarray:
+        """Emissions of words of expected counts ``counts`` (words x states), the end last.
+
+        Half a token of every word, and of an unknown one, is dealt over the states by their mass,
+        so words without counts have their base probability in all states.
+        """
+        share = (self.mass + 1e-3) / (self.mass + 1e-3).sum()
+        return (np.vstack([counts, self.ends]) + 0.5 * share) / (self.mass + 0.5 * (self.distinct + 1) * share)
+
+
+def emissions(found: list[dict] | None, m: WordModel) -> np.ndarray:
+    parts = [from_planes(f["payload"], "<f4") for f in sorted(found or [], key=lambda f: f["owner"])]
+    return m.emits(np.concatenate([np.zeros(0, "<f4"), *parts]).reshape(-1, len(m.start)).astype(float))
+
+
+def with_ends(words: bytes, ends: list[int], end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of a block with ``end`` after each text, and where texts end."""
+    at = np.array(ends, np.int64)
+    return np.insert(from_planes(words, "<i4").astype(np.int64), at, end), at + np.arange(1, len(at) + 1)
+
+
+def word_lists(counted: DataFrame) -> DataFrame:
+    return counted.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("owner", "payload")).alias("found"))
+
+
+def word_pass(rows: DataFrame, m: Model | WordModel, owners: int) -> DataFrame:
+    """``(block, owner, payload)``: expected counts per state of each block's words, over all training texts.
+
+    ``rows`` are packed blocks, with ``found`` of the pass before for a :class:`WordModel`.  The row
+    whose block is null has the sums of starts, later starts, transitions, ends and tokens.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(m)
+    states = len(m.start)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, sums = shared.value, None
+        names = ["owner", "block", "hashes", "counts"]
+        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        for batch in batches:
+            for block, held, ends, words, hashes, last in zip(*(c.to_pylist() for c in batch.columns)):
+                own = np.frombuffer(hashes, np.uint64)
+                if isinstance(model, Model):
+                    table = model.emits[np.append(from_planes(last, "<i2").astype(np.int64), END)]
+                else:
+                    table = emissions(last, model)
+                x, stops = with_ends(words, ends, len(own))
+                begin, end, text, fresh = runs_of(stops, RUN)
+                some = ~np.array(held, bool)[text]
+                local = Model(model.start, model.later, model.moves, table)
+                start, later, moves, counts, _ = expected(x, begin[some], end[some], fresh[some], local)
+                stats = np.concatenate([start, later, moves.ravel(), counts[-1], counts.sum(axis=0)])
+                sums = stats if sums is None else sums + stats
+                owner = ((own >> np.uint64(64 - CLASS_BITS)).astype(np.int64) * owners) >> CLASS_BITS
+                at = np.searchsorted(owner, np.arange(owners + 1))
+                there = np.flatnonzero(np.diff(at))
+                values = (
+                    there,
+                    [block] * len(there),
+                    [own[at[o] : at[o + 1]].tobytes() for o in there],
+                    [planes(counts[at[o] : at[o + 1]].astype("<f4").ravel()) for o in there],
+                )
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names)
+        if sums is not None:
+            values = ([-1], [None], [b""], [sums.tobytes()])
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names)
+
+    def answer(owner: int, rows: list[tuple]) -> pa.RecordBatch:
+        if owner < 0:
+            payload = [np.sum([np.frombuffer(r[2]) for r in rows], axis=0).tobytes()]
+            rows = rows[:1]
+        else:
+            parts = [np.frombuffer(r[1], np.uint64) for r in rows]
+            own, place = np.unique(np.concatenate(parts), return_inverse=True)
+            each = np.concatenate([from_planes(r[2], "<f4").reshape(-1, states) for r in rows])
+            total = np.stack([np.bincount(place, each[:, k], len(own)) for k in range(states)], axis=1).astype("<f4")
+            stops = np.cumsum([0] + [len(p) for p in parts])
+            payload = [planes(total[place[a:b]].ravel()) for a, b in zip(stops[:-1], stops[1:])]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([owner] * len(rows), pa.int32()), pa.array(payload, pa.binary())],
+            ["block", "owner", "payload"],
+        )
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, rows = None, []
+        for batch in batches:
+            for o, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if o != owner and rows:
+                    yield answer(owner, rows)
+                    rows = []
+                owner = o
+                rows.append(row)
+        if rows:
+            yield answer(owner, rows)
+
+    last = "kinds" if isinstance(m, Model) else "found"
+    sent = rows.select("block", "held", "ends", "words", "hashes", last)
+    sent = sent.mapInArrow(count, "owner int, block bigint, hashes binary, counts binary")
+    return sent.repartition("owner").sortWithinPartitions("owner").mapInArrow(gather, "block bigint, owner int, payload binary")
+
+
+def train_words(docs: DataFrame, held: Column, states: int = STATES, passes: int = PASSES, seed: int = SEED, word_passes: int = WORD_PASSES):
+    """Blocks of ``docs(doc_id, text)`` with the expected counts of their words, their model, and totals."""
+    spark = docs.sparkSession
+    rows, blocks_, model, total = train_blocks(docs, held, states, passes, seed)
+    owners, met = min(CLASSES, max(1, partitions(spark))), rows
+    for _ in range(max(1, word_passes)):
+        counted = materialize(word_pass(met, model, owners), "emitted")
+        release(spark)
+        sums = [np.frombuffer(r.payload) for r in counted.where("block is null").collect()]
+        flat = sums[0] if sums else np.zeros(states * (states + 4))
+        start, later, moves, ends, mass = np.split(flat, np.cumsum([states, states, states * states, states]))
+        share = lambda v: (v + 1e-3) / (v + 1e-3).sum(axis=-1, keepdims=True)
+        model = WordModel(share(start), share(later), share(moves.reshape(states, states)), mass, ends, total.distinct)
+        met = rows.join(word_lists(counted), "block", "left")
+    return met.join(blocks_.select("block", "known", "base"), "block"), model, total
+
+
+def scored_words(rows: DataFrame, m: WordModel, total: Totals) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast((m, total.tokens))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, tokens = shared.value
+        for batch in batches:
+            for ids, held, ends, words, found, known, base in zip(*(c.to_pylist() for c in batch.columns)):
+                table = emissions(found, model)
+                x, at = with_ends(words, ends, len(table) - 1)
+                logs = log_likelihoods(x, at, Model(model.start, model.later, model.moves, table))
+                columns = [
+                    pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(np.diff(at, prepend=0)),
+                    pa.array(known, pa.int64()), pa.array(np.full(len(at), tokens)), pa.array(base, pa.float64()),
+                    pa.array(logs / np.log(10)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, [f"c{k}" for k in range(7)])
+
+    return rows.select("doc_ids", "held", "ends", "words", "found", "known", "base").mapInArrow(run, SCORES)
+
+
 def train(docs: DataFrame, held: Column, states: int = STATES, passes: int = PASSES, seed: int = SEED):
-    """Coded blocks of ``docs(doc_id, text)``, the model of the rows that ``held`` does not hold out, and totals."""
+    """Coded blocks of ``docs(doc_id, text)``, the class model of the rows that ``held`` does not hold out, and totals."""
+    return train_blocks(docs, held, states, passes, seed)[1:]
+
+
+def train_blocks(docs: DataFrame, held: Column, states: int, passes: int, seed: int):
+    """Packed blocks, and what :func:`train` gives."""
     rows = materialize(packed(docs, held), "packed")
     texts = docs.where(~held).count()
     owners = min(CLASSES, max(1, partitions(docs.sparkSession)))
@@ -411,7 +568,7 @@ def train(docs: DataFrame, held: Column, states: int = STATES, passes: int = PAS
     model = first_model(total, states, seed)
     for _ in range(passes):
         model = baum_welch(blocks_, model, total)
-    return blocks_, model, total
+    return rows, blocks_, model, total
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -422,4 +579,4 @@ def held_out(key: str = "doc_id") -> Column:
 @queries.query("op6_hmm")
 def op6_hmm(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
-    return scored(*train(docs, held_out()))
+    return scored_words(*train_words(docs, held_out()))

@@ -92,3 +92,46 @@ def test_empty_table_and_all_held_out(spark):
     assert op.scored(coded, model, total).count() == 0
     coded, model, total = op.train(df, F.lit(True))
     assert all(math.isfinite(r.score) and r.train_tokens == 0 for r in op.scored(coded, model, total).collect())
+
+
+def test_states_emit_words_not_classes(spark):
+    from pyspark.sql import functions as F
+
+    rows = documents()
+    df = frame(spark)
+    blocks_, model, total = op.train_words(df, op.held_out(), states=3, passes=2, word_passes=2)
+    kept = blocks_.collect()
+    table = {}
+    for b in kept:
+        hashes = np.frombuffer(b.hashes, np.uint64).tolist()
+        emits = op.emissions([f.asDict() for f in b.found or []], model)
+        assert len(emits) == len(hashes) + 1
+        for h, e in zip(hashes, emits):
+            assert np.allclose(table.setdefault(h, e), e, rtol=1e-12)
+        end = emits[-1]
+    own = {}
+    for d, text, *_ in rows:
+        own[d] = [*words(text), None]
+    seen = {int(_hash(w)) for d in own if zlib.crc32(str(d).encode()) % 5 != 1 for w in own[d] if w}
+    unknown = model.emits(np.zeros((1, 3)))[0]
+    sums = sum(table[h] for h in seen) + end + unknown
+    assert np.allclose(sums, 1, rtol=1e-4)
+    by_class = {}
+    for h in seen:
+        by_class.setdefault(h >> (64 - op.CLASS_BITS), []).append(table[h] / table[h].sum())
+    several = [x for x in by_class.values() if len(x) > 1]
+    assert several and any(not np.allclose(x[0], x[1], rtol=0.05) for x in several)
+    got = op.scored_words(blocks_, model, total).collect()
+    plain = op.scored(*op.train(df, op.held_out(), states=3, passes=2)).collect()
+    for r in got:
+        state, score = model.start, 0.0
+        for i, w in enumerate(own[r.doc_id]):
+            state = (state if i == 0 else state @ model.moves) * (end if w is None else table[int(_hash(w))])
+            score += math.log10(state.sum())
+            state = state / state.sum()
+        assert math.isclose(r.score, score, rel_tol=1e-6)
+    fit = lambda found: sum(r.score for r in found if not r.held_out)
+    assert len(got) == len(rows) and fit(got) > fit(plain)
+    few = op.scored_words(*op.train_words(df, F.lit(True), passes=1)).collect()
+    assert all(math.isclose(r.score, r.base_score, rel_tol=0.2) and math.isfinite(r.score) for r in few)
+    assert op.scored_words(*op.train_words(df.limit(0), op.held_out(), passes=1)).count() == 0
