@@ -13,8 +13,8 @@ Most copies are settled by a first round against the earliest line of each word;
 lines are then compared only where they are not settled yet.  Lists of frequent words are
 dealt over several tasks.
 
-Lines without words stay.  Rows of equal id and text are judged alike; lines at the same
-place of two rows of one id don't remove each other.  A null id comes before any other;
+Lines without words stay.  Rows of equal id and text are judged alike; rows of equal id and
+different texts are documents of their own, in order of the SHA-256 of their texts.  A null id comes before any other;
 null and empty texts have no lines; an empty table stays empty; other columns are passed
 through whatever their names.
 """
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from inlay.llm import queries
 from inlay.llm.common import free_name, materialize, partitions, release, table
 from inlay.llm.words import Block, blocks, mix, split
+from inlay.operators.scan import ordered_scan
 
 SIMILAR = 80  # percent
 COUNT_BITS = 22
@@ -476,11 +477,26 @@ def removals(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     return met.where(F.coalesce("gone", F.lit(False)) | later).select("id", "line")
 
 
+def told_apart(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with a ``key`` that tells rows of different texts apart: the id, or where ids repeat the rank of id and text."""
+    least = F.lit(-(1 << 63)).cast("bigint")
+    named = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), least))
+    # a null id counts as another one than the least number
+    kind = F.col("doc_id").cast("bigint").isNotNull()
+    if named.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return named
+    digest, some = free_name(named, "digest"), free_name(named, "some")
+    named = named.withColumn(some, kind).withColumn(digest, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    order = [some, key, digest]
+    rank = free_name(named, "rank")
+    ranks = ordered_scan(named.select(*order).distinct(), order, ordinal=rank).select(*order, rank)
+    return named.join(ranks, order).withColumn(key, F.col(rank)).drop(some, digest, rank)
+
+
 def without_repeats(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """``docs`` with the lines that stay as ``text``, and a struct of ``n_lines`` and ``n_removed`` as last column."""
     key, gone, report = (free_name(docs, c) for c in ("id", "gone", "line_report"))
-    least = F.lit(-(1 << 63)).cast("bigint")
-    named = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), least))
+    named = told_apart(docs, key)
     found = removals(named.select(F.col(key).alias("id"), "text"), similar)
     lists = found.groupBy("id").agg(F.collect_set("line").alias(gone)).withColumnRenamed("id", key)
     met = named.join(lists, key, "left")

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 
@@ -63,3 +64,21 @@ def test_prefix_words_are_rare_first():
         level[int(h >> np.uint64(64 - op.COUNT_BITS))] = v
     hashes, at = op.distinct_words(block, level)
     assert hashes.tolist() == plain[[1, 3, 0]].tolist() and at.tolist() == [0, 3]
+
+
+def test_rows_of_one_id_and_different_texts(spark):
+    texts = [(None, "one two three\nfour five six"), (None, "seven eight nine\nfour five six"), (None, "one two three\nten eleven twelve"),
+             (4, "seven eight nine\nred green blue"), (4, "black white grey\nred green blue"), (5, "black white grey")]
+    order = sorted(texts, key=lambda r: (r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest()))
+    seen, want = set(), []
+    for doc, text in order:
+        left = []
+        for line in text.split("\n"):
+            left += [] if line in seen else [line]
+            seen.add(line)
+        want.append((doc, text.count("\n") + 1 - len(left), "\n".join(left)))
+    df = spark.createDataFrame([(d, t, "a", "b", 1) for d, t in texts * 2], "doc_id bigint, text string, source string, label string, kept int")
+    out = op.without_repeats(df)
+    assert out.columns[:-1] == df.columns
+    got = [(r.doc_id, r.line_report.n_removed, r.text) for r in out.collect()]
+    assert sorted(got, key=str) == sorted(want * 2, key=str)
