@@ -11,6 +11,7 @@ from inlay.llm import (  # noqa: F401
     op8_secrets,
     op9_warc,
     op10_quality,
+    op11_repair,
     oracles,
 )
 from inlay.llm.queries import ORACLES, QUERIES  # noqa: F401
