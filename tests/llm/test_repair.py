@@ -137,7 +137,7 @@ def test_one_conversation_over_many_parts(spark, monkeypatch):
         seen.add((role, text))
     edits, tail = op11.edits_of(op11.Steps(), symbols, 0, None)
     assert got[700][6] == "".join(edits) + tail
-    lines = [f"{r}:{x}" for e, _, r, x in op11.lines_of(op11.Run(700, 0, **zip(*[t[1:] for t in turns]), symbols), edits, tail, 0) if e != "D"]
+    lines = [f"{r}:{x}" for e, _, r, x in op11.lines_of(op11.Run(700, 0, *zip(*[t[1:] for t in turns]), symbols), edits, tail, 0) if e != "D"]
     assert got[700][7] == hashlib.sha256("\n".join(lines).encode()).hexdigest()
 
 
