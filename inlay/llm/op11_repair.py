@@ -47,6 +47,7 @@ INSERT, REROLE, DELETE, TRUNCATED = 3, 3, 4, 3
 # Two inserts lead from any top to a finished turn; one more delete makes up for a system message.
 SLACK = 2 * INSERT + DELETE
 LEGAL = ("su", "ua", "au")
+BATCH_ROWS = 1000
 CHUNK_CHARS = 1 << 22  # repaired text of a cut conversation is handed on in rows of about this size
 
 
@@ -509,15 +510,29 @@ def piece_rows(run: Run, initials: list[str], steps: Steps, cuts: dict) -> Itera
     yield row | {"body": "\n".join(body) if body else None}
 
 
-def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def batched(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches, of bounded text."""
+    held: list[dict] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row.get("body") or "")
+        if len(held) == BATCH_ROWS or size > CHUNK_CHARS:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
+
+
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Pieces in order to one row a conversation; texts only pass through the hash."""
     whole, last_turn, hasher, some = None, None, None, False
 
-    def close() -> pa.RecordBatch:
+    def close() -> dict:
         out = dict(whole)
         span = 0 if out["low"] is None else out["high"] - out["low"] + 1 - out["turns"]
         out |= {"gaps": span, "sha": out["sha"] or hasher.hexdigest(), "audit": "".join(out["audit"])}
-        return pa.RecordBatch.from_pylist([{n: out[n] for n in REPORT_ARROW.names}], REPORT_ARROW)
+        return {n: out[n] for n in REPORT_NAMES}
 
     for batch in batches:
         for row in batch.to_pylist():
@@ -554,13 +569,14 @@ def report(rows: DataFrame) -> DataFrame:
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = Steps()
-        for run in runs(batches):
-            initials = [role[:1] for role in run.roles]
-            for row in piece_rows(run, initials, steps, cuts):
-                yield pa.RecordBatch.from_pylist([row], PIECE_ARROW)
+        found = (row for run in runs(batches) for row in piece_rows(run, [r[:1] for r in run.roles], steps, cuts))
+        yield from batched(found, PIECE_ARROW)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched(merged(batches), REPORT_ARROW)
 
     cut = ready.rows.mapInArrow(pieces, PIECE)
-    return cut.repartition("conv_id").sortWithinPartitions("conv_id", "part", "chunk").mapInArrow(merged, REPORT)
+    return cut.repartition("conv_id").sortWithinPartitions("conv_id", "part", "chunk").mapInArrow(merge, REPORT)
 
 
 # -- query -------------------------------------------------------------------------------
