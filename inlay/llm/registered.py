@@ -12,6 +12,7 @@ from inlay.llm import (  # noqa: F401
     op9_warc,
     op10_quality,
     op11_repair,
+    op12_fingerprint,
     oracles,
 )
 from inlay.llm.queries import ORACLES, QUERIES  # noqa: F401
