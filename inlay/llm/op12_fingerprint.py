@@ -41,6 +41,7 @@ from inlay.llm.words import Block, mix, split, utf8
 SAMPLES = 128
 BLOCK_BYTES = 1 << 21  # texts worked on together
 AT_ONCE = 8  # samples worked on together
+IN_CACHE = 1 << 13  # weighted words worked on together
 BORDERS_PER_PART = 50  # sampled ids from which one border is taken
 HEX = 4  # digits of a sample
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -53,49 +54,53 @@ def _halves(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((h >> np.uint64(32)).astype(np.float64) + 0.5) * scale, ((h & _LOW).astype(np.float64) + 0.5) * scale
 
 
-def contributions(words: np.ndarray, weights: np.ndarray, sample: int) -> np.ndarray:
+def contributions(words: np.ndarray, ln_weights: np.ndarray, sample: int) -> np.ndarray:
     """Order-preserving key of ``ln a`` for every weighted word, its lowest 16 bits the sample's code."""
     with np.errstate(over="ignore"):
         seed = mix(words + np.uint64(3 * sample + 1) * _GOLDEN)
         u1, u2 = _halves(mix(seed + _GOLDEN))
         u3, u4 = _halves(mix(seed + np.uint64(2) * _GOLDEN))
-        shift, _ = _halves(mix(seed + np.uint64(3) * _GOLDEN))
+        shift, _ = _halves(seed)
         r = -np.log(u1 * u2)
-        t = np.floor(np.log(weights) / r + shift)
+        t = np.floor(ln_weights / r + shift)
         ln_a = np.log(-np.log(u3 * u4)) - r * (t - shift + 1.0)
-        code = mix(seed ^ (t.astype(np.int64).astype(np.uint64) * _GOLDEN)) & np.uint64(0xFFFF)
+        code = (seed + t.astype(np.int64).astype(np.uint64) * _GOLDEN) & np.uint64(0xFFFF)
     bits = ln_a.view(np.int64)
     ordered = bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
     return (ordered & ~np.int64(0xFFFF)) | np.maximum(code, 1).astype(np.int64)
 
 
-def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts with words (as row numbers repeated per word), the words, and their weights, by text and word."""
+def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted words of texts, by text: the text, the row of the word and weight in the two tables behind."""
     at, data = utf8(pa.array(texts, pa.large_string()))
     found = split(Block(0, at, data))
-    rows = np.repeat(np.arange(len(texts)), np.diff(found.at))
-    order = np.lexsort((found.hashes, rows))
-    rows, words = rows[order], found.hashes[order]
-    first = np.ones(len(rows), bool)
-    first[1:] = (rows[1:] != rows[:-1]) | (words[1:] != words[:-1])
-    starts = np.flatnonzero(first)
-    return rows[starts], words[starts], np.diff(np.append(starts, len(rows)))
+    words, word = np.unique(found.hashes, return_inverse=True)
+    places = np.repeat(np.arange(len(texts)), np.diff(found.at)) * max(1, len(words)) + word
+    places.sort()
+    starts = np.flatnonzero(np.append(True, places[1:] != places[:-1])) if len(places) else places
+    weights = np.diff(np.append(starts, len(places)))
+    rows, word = np.divmod(places[starts], max(1, len(words)))
+    most = int(weights.max(initial=0)) + 1
+    kinds, kind = np.unique(word * most + weights, return_inverse=True)
+    return rows, kind, words[kinds // most], kinds % most
 
 
 def signatures(texts: list[str], samples: int = SAMPLES) -> np.ndarray:
     """One row of ``samples`` 16-bit codes per text."""
     out = np.zeros((len(texts), samples), np.uint16)
-    rows, words, weights = bags(texts)
+    rows, kind, words, weights = bags(texts)
     if not len(rows):
         return out
-    kinds, kind = np.unique(np.stack([words, weights.astype(np.uint64)], 1), axis=0, return_inverse=True)
-    kind = kind.ravel()
     starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-    values = kinds[:, 1].astype(np.float64)
+    ln_weights = np.log(weights)
     for low in range(0, samples, AT_ONCE):
         some = range(low, min(samples, low + AT_ONCE))
-        keys = np.stack([contributions(kinds[:, 0], values, s) for s in some], 1)
-        least = np.minimum.reduceat(keys[kind], starts, axis=0)
+        keys = np.empty((len(words), len(some)), np.int64)
+        for first in range(0, len(words), IN_CACHE):
+            part = slice(first, first + IN_CACHE)
+            for n, sample in enumerate(some):
+                keys[part, n] = contributions(words[part], ln_weights[part], sample)
+        least = np.minimum.reduceat(keys.take(kind, axis=0), starts, axis=0)
         out[rows[starts], low : low + len(some)] = (least & np.int64(0xFFFF)).astype(np.uint16)
     return out
 
