@@ -13,6 +13,7 @@ from inlay.llm import (  # noqa: F401
     op10_quality,
     op11_repair,
     op12_fingerprint,
+    op13_whitening,
     oracles,
 )
 from inlay.llm.queries import ORACLES, QUERIES  # noqa: F401
