@@ -10,10 +10,11 @@ merged before the shuffle: a slot never holds more rows than it has distinct
 intervals, whatever the number of candidates.  Later rounds make more draws each and
 keep the first free one; how many depends on the round alone.
 
-What still waits after the rounds is put into the gaps that are left: all gaps of a
+Once few wait, or after the last round, what is left is put into the gaps: all gaps of a
 range are cut into cells of the largest waiting size that fits, and the candidates
 take the cells in order, largest first.  Only a candidate that is longer than every gap of
-its range stays unplaced.
+its range stays unplaced.  Cells are counted per block of slots first; slots are listed in the
+blocks alone that the candidates reach, so a range may be of any length.
 """
 
 from __future__ import annotations
@@ -25,11 +26,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from inlay.functions.draws import draw
 from inlay.functions.tokens import int_div
 from inlay.operators.intervals import conflicting, self_conflicts
-from inlay.operators.scan import grouped_ordinal
+from inlay.operators.scan import grouped_ordinal, ordered_scan
+from inlay.operators.skew import spread_join
 from inlay.staging import materialize, new_path
 
 KEY = ["exp_id", "copy_no", "seq_id"]
 ROUNDS = 16  # rounds of draws before gaps are filled; changes the speed and the places, not what is placed
+FEW = 200  # gaps are filled as soon as at most one candidate in so many waits
+BLOCK_SLOTS = 4096  # slots whose free space is counted together
 SINGLE_ROUNDS = 5  # rounds of one draw per candidate
 MAX_DRAWS = 32
 ROUND_SCHEMA = (
@@ -180,32 +184,111 @@ def play_round(
 RANGE = ["start", "end_excl"]
 
 
-def free_gaps(ranges: DataFrame, held: DataFrame | None, length: int) -> DataFrame:
-    """Free intervals ``(start, end_excl, lo, hi)`` inside the slots of ``ranges(start, end_excl)``."""
+def touched_gaps(held: DataFrame, length: int) -> DataFrame:
+    """Free intervals ``(block, slot, lo, hi, last)`` of the slots in which something is held.
+
+    Every slot has one row more than held intervals, ``last`` marks the last one; empty gaps have ``hi < lo``.
+    """
     step = F.lit(length).cast("bigint")
-    slots = ranges.withColumn(
-        "slot", F.explode(F.sequence(int_div(F.col("start"), step), int_div(F.col("end_excl"), step) - 1))
-    )
     end = (F.col("slot") + 1) * step
-    edges = slots.select("slot").distinct().select("slot", end.alias("lo"), end.alias("hi"))
-    if held is not None:
-        edges = edges.unionByName(held.select("slot", "lo", "hi").join(slots.select("slot"), "slot", "left_semi"))
+    ends = held.select("slot").distinct().select("slot", end.alias("lo"), end.alias("hi"))
+    edges = ends.unionByName(held.select("slot", "lo", "hi"))
     before = Window.partitionBy("slot").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.coalesce(F.max("hi").over(before), F.col("slot") * step - 1)
-    gaps = edges.select("slot", (reach + 1).alias("lo"), (F.col("lo") - 1).alias("hi")).where("lo <= hi")
-    return slots.join(gaps, "slot").select(*RANGE, "lo", "hi")
+    block = int_div(F.col("slot"), BLOCK_SLOTS)
+    return edges.select(
+        block.alias("block"), "slot", (reach + 1).alias("lo"), (F.col("lo") - 1).alias("hi"), (F.col("lo") == end).alias("last")
+    )
+
+
+def range_blocks(ranges: DataFrame, length: int) -> DataFrame:
+    """Blocks ``(start, end_excl, block, first, end)`` of each range with the slots they share with it.
+
+    Blocks are listed by way of blocks of blocks, so no array is longer than ``BLOCK_SLOTS`` unless a
+    range has more than ``BLOCK_SLOTS ** 3`` slots.
+    """
+    step = F.lit(length).cast("bigint")
+    first, end = int_div(F.col("start"), step), int_div(F.col("end_excl"), step)
+    big = F.lit(BLOCK_SLOTS).cast("bigint") * BLOCK_SLOTS
+    large = ranges.select(*RANGE, first.alias("_first"), end.alias("_end")).withColumn(
+        "_big", F.explode(F.sequence(int_div(F.col("_first"), big), int_div(F.col("_end") - 1, big)))
+    )
+    low = int_div(F.greatest("_first", F.col("_big") * big), BLOCK_SLOTS)
+    high = int_div(F.least("_end", (F.col("_big") + 1) * big) - 1, BLOCK_SLOTS)
+    blocks = large.withColumn("block", F.explode(F.sequence(low, high)))
+    return blocks.select(
+        *RANGE,
+        "block",
+        F.greatest("_first", F.col("block") * BLOCK_SLOTS).alias("first"),
+        F.least("_end", (F.col("block") + 1) * BLOCK_SLOTS).alias("end"),
+    )
+
+
+def gap_size() -> Column:
+    return F.col("hi") - F.col("lo") + 1
+
+
+class FreeSpace:
+    """What is free in some ranges, counted per block: ``blocks`` and the gaps of touched slots."""
+
+    def __init__(self, ranges: DataFrame, held: DataFrame | None, length: int):
+        self.length = length
+        nothing = ranges.sparkSession.createDataFrame([], "block bigint, slot bigint, lo bigint, hi bigint, last boolean")
+        self.gaps = nothing if held is None else materialize(touched_gaps(held, length), "touched")
+        listed = range_blocks(ranges, length)
+        inside = self.within(listed)
+        seen = inside.groupBy(*RANGE, "block").agg(F.count_if("last").alias("_touched"), F.max(gap_size()).alias("_widest"))
+        untouched = F.col("end") - F.col("first") - F.coalesce("_touched", F.lit(0))
+        joined = listed.join(seen, [*RANGE, "block"], "left").withColumn("untouched", untouched)
+        widest = F.when(F.col("untouched") > 0, F.lit(length)).otherwise(F.coalesce("_widest", F.lit(0)))
+        counted = joined.select(*RANGE, "block", "first", "end", "untouched", widest.cast("bigint").alias("widest"))
+        self.blocks = materialize(counted, "free")
+
+    def within(self, blocks: DataFrame) -> DataFrame:
+        """Gaps of touched slots with the blocks of ranges they lie in."""
+        return blocks.join(self.gaps, "block").where((F.col("slot") >= F.col("first")) & (F.col("slot") < F.col("end")))
+
+    def widest(self) -> DataFrame:
+        """``start, end_excl, widest``: the longest gap of each range."""
+        return self.blocks.groupBy(*RANGE).agg(F.max("widest").alias("widest"))
+
+    def cells(self, asked: DataFrame) -> DataFrame:
+        """The first ``wanted`` cells ``(start, end_excl, _rank, at)`` of size ``cell`` for ``asked(start, end_excl, cell, wanted)``."""
+        blocks = self.blocks.join(asked, RANGE)
+        whole = int_div(F.lit(self.length).cast("bigint"), F.col("cell"))
+        fitting = F.sum(int_div(gap_size(), F.col("cell"))).alias("_fitting")
+        cut = self.within(blocks).where(gap_size() >= F.col("cell")).groupBy(*RANGE, "block").agg(fitting)
+        room = F.col("untouched") * whole + F.coalesce("_fitting", F.lit(0))
+        counted = blocks.join(cut, [*RANGE, "block"], "left").withColumn("room", room).where("room > 0").drop("_fitting")
+        summed = ordered_scan(counted, [*RANGE, "block"], sum_before={"_sum": F.col("room")})
+        base = summed.groupBy(*RANGE).agg(F.min("_sum").alias("_base"))
+        before = (F.col("_sum") - F.col("_base")).alias("before")
+        columns = [*RANGE, "block", "first", "end", "cell", "wanted"]
+        chosen = materialize(summed.join(base, RANGE).select(*columns, before).where("before < wanted"), "chosen")
+        names = [*RANGE, "block", "cell", "wanted", "before", "lo", "hi"]
+        slots = chosen.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("end") - 1)))
+        lo = F.col("slot") * F.lit(self.length).cast("bigint")
+        open_slots = slots.join(self.gaps.select("slot").distinct(), "slot", "left_anti").withColumns(
+            {"lo": lo, "hi": lo + self.length - 1}
+        )
+        entries = open_slots.select(*names).unionByName(self.within(chosen).where(gap_size() >= F.col("cell")).select(*names))
+        held = entries.withColumn("n", int_div(gap_size(), F.col("cell")))
+        ahead = Window.partitionBy(*RANGE, "block").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+        first = F.col("before") + F.coalesce(F.sum("n").over(ahead), F.lit(0))
+        reached = held.withColumn("_first", first).where("_first < wanted")
+        each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.least("n", F.col("wanted") - F.col("_first")) - 1))
+        return reached.withColumn("_at", each).select(
+            *RANGE, (F.col("_first") + F.col("_at")).alias("_rank"), (F.col("lo") + F.col("_at") * F.col("cell")).alias("at")
+        )
 
 
 def play_gaps(waiting: DataFrame, held: DataFrame | None, length: int) -> DataFrame:
     """Rows ``(KEY, slot, lo, hi)`` for waiting candidates put into gaps; none if no candidate fits."""
-    gaps = materialize(free_gaps(waiting.select(*RANGE).distinct(), held, length), "gaps")
-    size = F.col("hi") - F.col("lo") + 1
-    widest = gaps.groupBy(*RANGE).agg(F.max(size).alias("widest"))
-    fits = waiting.join(widest, RANGE).where(F.col("n") <= F.col("widest"))
-    cell = fits.groupBy(*RANGE).agg(F.max("n").cast("bigint").alias("cell"))
-    cut = F.explode(F.sequence(F.col("lo"), F.col("hi") - F.col("cell") + 1, F.col("cell"))).alias("at")
-    cells = gaps.join(cell, RANGE).where(size >= F.col("cell")).select(*RANGE, cut)
-    cells = grouped_ordinal(cells, RANGE, ["at"], "_rank")
+    space = FreeSpace(waiting.select(*RANGE).distinct(), held, length)
+    fits = spread_join(waiting, space.widest(), RANGE, KEY).where(F.col("n") <= F.col("widest"))
+    fits = materialize(fits.drop("widest"), "fits")
+    asked = fits.groupBy(*RANGE).agg(F.max("n").cast("bigint").alias("cell"), F.count(F.lit(1)).alias("wanted"))
+    cells = space.cells(materialize(asked, "asked"))
     ranked = grouped_ordinal(fits.withColumn("_size", -F.col("n")), RANGE, ["_size", *KEY], "_rank")
     met = ranked.join(cells, [*RANGE, "_rank"]).select(
         int_div(F.col("at"), F.lit(length).cast("bigint")).alias("slot"),
@@ -233,7 +316,7 @@ def place_random(
     narrow = candidates.select(*KEY, F.col("n").cast("int").alias("n"), "start", "end_excl")
     waiting = materialize(narrow.repartition(*KEY), "candidates")  # ids and sizes only
     faults = range_violations(waiting, length).first().asDict()
-    left = faults.pop("n_rows")
+    left = n_all = faults.pop("n_rows")
     if any(faults.values()):
         raise PlacementError(f"candidates break the placement rules: {faults}")
     initial, n_held = None, 0
@@ -251,14 +334,14 @@ def place_random(
     def placed() -> DataFrame:
         return log().where("slot is not null")
 
-    moved = True
-    while left and (len(paths) < max_rounds or moved):
+    moved, drawing = True, max_rounds > 0
+    while left and moved:
         round_no = len(paths)
         held = initial if n_held else None
         if paths:
             earlier = placed().select("slot", "lo", "hi")
             held = earlier if initial is None else earlier.unionByName(initial)
-        if round_no < max_rounds:
+        if drawing:
             draws = draws_in(round_no)
             if n_held > PRUNE_ABOVE:
                 slots = draw_positions(waiting, length, seed, round_no, draws).select("slot").distinct()
@@ -271,7 +354,8 @@ def place_random(
         paths.append(path)
         waiting = spark.read.schema(ROUND_SCHEMA).parquet(path).where("slot is null").select(*waiting.columns)
         before, left = left, waiting.count()
-        moved = before > left or round_no < max_rounds
+        moved = drawing or before > left
+        drawing = drawing and len(paths) < max_rounds and left * FEW > n_all
         n_held += before - left
     waits = log().where("slot is null").groupBy("exp_id").agg(F.count(F.lit(1)).alias("n_waits"))
     return Placement(placed().select(*KEY, "n", "lo", "hi", "round"), waiting.select(*KEY, "n"), waits, len(paths))

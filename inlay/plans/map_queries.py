@@ -183,7 +183,7 @@ def csr_decode(t: Tables) -> DataFrame:
     ),
 )
 def period_snapshot(t: Tables) -> DataFrame:
-    """Plan snapshots per period; half of the periods are written twice, as after a retry."""
+    """Plan snapshots per period by two micro-batches, the first of which runs again."""
     from inlay.streaming.control import read_periods, save_periods
 
     plan = t.plan.select(
@@ -193,8 +193,8 @@ def period_snapshot(t: Tables) -> DataFrame:
         int_div(F.col("position"), BATCH * LENGTH * 10).alias("period"),
     )
     path = new_path(t.spark, "periods")
-    save_periods(plan, path)
-    save_periods(plan.where("period % 2 = 0"), path)
+    for batch_id, share in ((0, 0), (1, 1), (0, 0)):
+        save_periods(plan.where(F.col("period") % 2 == share), path, batch_id)
     return read_periods(t.spark, path).select("period", "position", joined("tokens").alias("tokens"))
 
 

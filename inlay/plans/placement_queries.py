@@ -34,42 +34,67 @@ def draw_sql(seed, exp, copy, seq, rnd, tag: str, draw_no="0") -> str:
 
 
 def rounds_sql(candidates: str, occupied: str | None, seed: int = SEED) -> str:
-    """Common table expressions that replay the placement rounds; the result is ``placed``."""
+    """Common table expressions that replay the placement rounds and the filling of gaps; the result is ``placed``."""
     key = "exp_id, copy_no, seq_id"
-    held = "select slot, lo, hi from rounds where placed"
-    head = ""
+    head, taken = "", ""
     if occupied:
         head = (
             f"occ as (select slot, greatest(lo, slot*{LENGTH}) lo, least(hi, slot*{LENGTH}+{LENGTH}-1) hi from"
             f" (select *, unnest(range(lo//{LENGTH}, hi//{LENGTH}+1)) slot from ({occupied}))), "
         )
-        held += " union all select slot, lo, hi from occ"
+        taken = " union all select slot, lo, hi from occ"
     names = ("exp_id", "copy_no", "seq_id", "r+1")
     slot = f"st//{LENGTH} + {draw_sql(seed, *names, 's', 'd')} % ((en-st)//{LENGTH})"
     offset = f"{draw_sql(seed, *names, 'o', 'd')} % ({LENGTH}-n+1)"
     order = f"partition by slot order by lo, hi, {key}"
+    # first of each chain of touching intervals
+    accepted = (
+        f"c1 as (select *, max(hi) over ({order} rows between unbounded preceding and 1 preceding) reach from {{rows}}),"
+        f" c2 as (select *, sum(case when reach>=lo then 0 else 1 end) over ({order} rows between unbounded preceding"
+        " and current row) chain from c1),"
+        f" won as (select {key}, slot, lo, hi from (select *, row_number() over (partition by slot, chain order by"
+        f" {key}) w from c2) where w=1)"
+    )
     # one draw in each of the rounds 0 to 5, then twice as many each round, 32 at most
     draws = "least(32, 1 << greatest(0, r + 1 - 5))"
+    few = f"(select {placement.FEW} * count(*) filter (not placed) > count(*) from rounds)"
     return (
         f"{head}rounds as (select -1 r, exp_id, copy_no, seq_id, n::BIGINT n, st::BIGINT st, en::BIGINT en,"
         f" null::BIGINT slot, null::BIGINT lo, null::BIGINT hi, false placed from ({candidates}) union all ("
-        f" with w0 as (select * from rounds where not placed and r < 15),"
+        f" with w0 as (select * from rounds where not placed and r < {placement.ROUNDS - 1} and {few}),"
         f" d0 as (select r, {key}, n, st, en, unnest(range({draws})) d from w0),"
         f" d1 as (select *, {slot} slot, {offset} off from d0),"
         f" d2 as (select r, {key}, d, slot, slot*{LENGTH}+off lo, slot*{LENGTH}+off+n-1 hi from d1),"
-        f" held as ({held}),"
+        f" held as (select slot, lo, hi from rounds where placed{taken}),"
         f" free as (select *, row_number() over (partition by {key} order by d) pick from d2 where not exists"
         " (select 1 from held h where h.slot=d2.slot and h.lo<=d2.hi and d2.lo<=h.hi)),"
-        f" c1 as (select *, max(hi) over ({order} rows between unbounded preceding and 1 preceding) reach from free"
-        " where pick=1),"
-        f" c2 as (select *, sum(case when reach>=lo then 0 else 1 end) over ({order} rows between unbounded preceding"
-        " and current row) chain from c1),"
-        f" won as (select {key}, slot, lo, hi from (select *, row_number() over (partition by slot, chain order by"
-        f" {key}) w from c2) where w=1)"
+        f" {accepted.format(rows='free where pick=1')}"
         f" select r+1, {key}, n, st, en, won.slot, won.lo, won.hi, won.slot is not null from w0 left join"
         f" won using ({key}) union all select r+1, {key}, n, st, en, slot, lo, hi, placed from rounds where placed and exists"
         " (select 1 from w0))),"
-        " placed as (select * from rounds where placed and r = (select max(r) from rounds))"
+        f" gapped as (select 0 r, {key}, n, st, en, slot, lo, hi, placed, true more from rounds where r = (select max(r) from"
+        " rounds) union all ("
+        " with w as (select * from gapped where not placed and more),"
+        f" sl as (select st, en, unnest(range(st//{LENGTH}, en//{LENGTH})) slot from (select distinct st, en from w)),"
+        f" held as (select slot, lo, hi from gapped where placed{taken}),"
+        f" edges as (select distinct slot, slot*{LENGTH}+{LENGTH} lo, slot*{LENGTH}+{LENGTH} hi from sl union all"
+        " select slot, lo, hi from held where slot in (select slot from sl)),"
+        f" gp as (select slot, coalesce(max(hi) over (partition by slot order by lo, hi rows between unbounded preceding and"
+        f" 1 preceding), slot*{LENGTH}-1)+1 lo, lo-1 hi from edges),"
+        " gr as (select st, en, lo, hi from sl join gp using (slot) where lo <= hi),"
+        " fit as (select w.* from w join (select st, en, max(hi-lo+1) widest from gr group by all) using (st, en)"
+        " where n <= widest),"
+        " cells as (select st, en, spot, row_number() over (partition by st, en order by spot) k from (select st, en,"
+        " unnest(range(lo, hi-cell+2, cell)) spot from gr join (select st, en, max(n) cell from fit group by all) using"
+        " (st, en) where hi-lo+1 >= cell)),"
+        f" ranked as (select *, row_number() over (partition by st, en order by n desc, {key}) k from fit),"
+        f" met as (select {key}, spot//{LENGTH} slot, spot lo, spot+n-1 hi from (select r.exp_id, r.copy_no, r.seq_id, r.n,"
+        " c.spot from ranked r join cells c using (st, en, k))),"
+        f" {accepted.format(rows='met')}"
+        f" select r+1, {key}, n, st, en, won.slot, won.lo, won.hi, won.slot is not null, (select count(*) > 0 from won) from w"
+        f" left join won using ({key}) union all select r+1, {key}, n, st, en, slot, lo, hi, placed, (select count(*) > 0"
+        " from won) from gapped where placed and exists (select 1 from w))),"
+        " placed as (select * from gapped where placed and r = (select max(r) from gapped))"
     )
 
 
@@ -474,8 +499,8 @@ def placement_invariants(t: Tables) -> DataFrame:
         F.count_if("ours").alias("n_placed"),
     )
     whole = rows.select("start", "end_excl").limit(1)
-    gaps = placement.free_gaps(whole, placement.by_slot(held.select("lo", "hi"), LENGTH), LENGTH)
-    widest = gaps.agg(F.coalesce(F.max(F.col("hi") - F.col("lo") + 1), F.lit(0)).alias("widest"))
+    space = placement.FreeSpace(whole, placement.by_slot(held.select("lo", "hi"), LENGTH), LENGTH)
+    widest = space.blocks.agg(F.coalesce(F.max("widest"), F.lit(0)).alias("widest"))
     left = result.unplaced.join(widest).agg(
         F.count(F.lit(1)).alias("n_left"), F.count_if(F.col("n") <= F.col("widest")).alias("n_left_that_fit")
     )

@@ -123,6 +123,32 @@ def test_dense_mixed_sizes_leave_only_what_has_no_gap(spark, max_rounds):
     assert {r.exp_id: r.n_waits for r in result.waits.collect()}.get(0, 0) >= len(left)
 
 
+def test_blocks_change_nothing(spark, monkeypatch):
+    sizes = [5 + 4 * (i % 2) for i in range(60)]
+    held = [(i * 16, i * 16 + i % 7) for i in range(1, 33, 2)]
+    taken = spark.createDataFrame(held, "lo bigint, hi bigint")
+    plans = []
+    for slots in (placement.BLOCK_SLOTS, 3):
+        monkeypatch.setattr(placement, "BLOCK_SLOTS", slots)
+        result = placement.place_random(candidates(spark, sizes, 16, 528), 16, 5, taken, max_rounds=0)
+        rows, _ = check(result, sizes, 16, 16, 528, held)
+        plans.append({r.seq_id: r.lo for r in rows})
+    assert plans[0] == plans[1] and len(plans[0]) > 30
+
+
+def test_gaps_of_a_range_of_a_billion_sequences(spark):
+    """Ten candidates behind occupied first slots: blocks are counted, only the reached ones are listed."""
+    sizes = [300, 200, 1, 512, 7, 512, 300, 300, 8, 9]
+    end = 512 * 10**9
+    held = [(0, 511), (512, 900), (5 * 512 + 1, 6 * 512 - 1), (end - 512, end - 1)]
+    taken = spark.createDataFrame(held, "lo bigint, hi bigint")
+    result = placement.place_random(candidates(spark, sizes, 0, end), 512, 5, taken, max_rounds=0)
+    rows, left = check(result, sizes, 512, 0, end, held)
+    assert not left and max(r.hi for r in rows) < 512 * 16
+    space = placement.FreeSpace(candidates(spark, sizes, 0, end).select("start", "end_excl").distinct(), None, 512)
+    assert space.blocks.count() == -(-(10**9) // placement.BLOCK_SLOTS) and space.widest().first().widest == 512
+
+
 def test_many_candidates_for_one_sequence(spark):
     sizes = [2] * 400
     result = placement.place_random(candidates(spark, sizes, 0, 64), 64, 5, max_rounds=5)
