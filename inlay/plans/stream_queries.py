@@ -11,7 +11,7 @@ from inlay.plans.placement_queries import CHUNK, FLAT, GEOMETRY, reindex_sql, ro
 from inlay.plans.views import BATCH, EOS, LENGTH, SEED, Tables, with_views
 from inlay.session import DEFAULTS
 from inlay.sources.records import control_prompts
-from inlay.staging import new_path
+from inlay.staging import materialize, new_path
 from inlay.streaming import append, control
 
 EVERY = 10
@@ -82,12 +82,8 @@ def running_totals(state: dict, step: int, total: int, seen: dict) -> dict:
     }
 
 
-def states(t: Tables) -> DataFrame:
-    """The control stream run to its end, its output read back."""
-    # the driver may start its session without the package's defaults
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", DEFAULTS["spark.sql.streaming.stateStore.providerClass"])
-    end = t.table("events").agg(F.max(F.expr("event_id div 100"))).first()[0] + 1
-    out = control.control_state(control_events(t), running_totals, {"n": 0.0, "level": 0.0}, 0, end, EVERY)
+def run_to_end(t: Tables, out: DataFrame) -> DataFrame:
+    """All rows that a control stream gave out."""
     path = new_path(t.spark, "states")
     query = (
         out.writeStream.format("parquet")
@@ -97,7 +93,20 @@ def states(t: Tables) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return control.latest_states(t.spark.read.schema(control.STATE_SCHEMA).parquet(path))
+    return t.spark.read.schema(control.STATE_SCHEMA).parquet(path)
+
+
+def end_of_run(t: Tables) -> int:
+    # the driver may start its session without the package's defaults
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", DEFAULTS["spark.sql.streaming.stateStore.providerClass"])
+    return t.table("events").agg(F.max(F.expr("event_id div 100"))).first()[0] + 1
+
+
+def states(t: Tables) -> DataFrame:
+    """The control stream run to its end, its output read back."""
+    end = end_of_run(t)
+    out = control.control_state(control_events(t), running_totals, {"n": 0.0, "level": 0.0}, 0, end, EVERY)
+    return control.latest_states(run_to_end(t, out))
 
 
 @query(
@@ -124,6 +133,73 @@ def control_metrics(t: Tables) -> DataFrame:
     return control.control_metrics(states(t)).withColumn("value", rounded("value"))
 
 
+def trending(state: dict, step: int, total: int, seen: dict, unit: int = 1) -> dict:
+    """A control program whose state holds a text, and which has an argument."""
+    return {
+        "n": state["n"] + seen["n"],
+        "level": state["level"] + unit * seen["amount"],
+        "latest": seen["amount"],
+        "trend": "up" if seen["amount"] > state["latest"] else "down",
+    }
+
+
+TREND_START = {"n": 0, "level": 0, "latest": 0, "trend": "none"}
+
+
+@query(
+    "control_handover",
+    with_views(
+        "select experiment, step, n::DOUBLE n, level::DOUBLE as level, case when latest > coalesce(lag(latest) over"
+        " (partition by experiment order by step), 0) then 'up' else 'down' end trend from s",
+        extra=STATES,
+    ),
+)
+def control_handover(t: Tables) -> DataFrame:
+    """A control stream that ends half way and a second one that goes on from its state table."""
+    end = end_of_run(t)
+    half = end // 2 // EVERY * EVERY
+    events = control_events(t)
+    early = control.control_state(events.where(F.col("step") < half), trending, TREND_START, 0, end, EVERY)
+    first = run_to_end(t, early)
+    handed = materialize(control.last_states(first), "handed")
+    late = control.control_state(
+        events.where(F.col("step") >= half), trending, TREND_START, 0, end, EVERY, handed=handed, keep=3
+    )
+    both = control.latest_states(first).unionByName(control.latest_states(run_to_end(t, late)))
+    entries = control.typed_state(both)
+    return entries.select(
+        "experiment",
+        "step",
+        F.col("state")["n"].alias("n"),
+        F.col("state")["level"].alias("level"),
+        F.variant_get(F.col("entries")["trend"], "$", "string").alias("trend"),
+    )
+
+
+@query(
+    "control_programs",
+    with_views(
+        "select experiment, count(*) filter (experiment != 'error') n_run, count(*) filter (experiment = 'error') n_skipped,"
+        " case when experiment != 'error' then arg_max(level, step) * if(experiment = 'click', 2, 1) end::DOUBLE last_level"
+        " from s group by experiment",
+        extra=STATES,
+    ),
+)
+def control_programs(t: Tables) -> DataFrame:
+    """A program with arguments for each experiment; the one without a state is skipped and counted."""
+    end = end_of_run(t)
+    kinds = [r[0] for r in t.table("events").select("event_type").distinct().collect()]
+    controls = {
+        kind: control.Control(trending, None if kind == "error" else TREND_START, {"unit": 2 if kind == "click" else 1})
+        for kind in kinds
+    }
+    rows = run_to_end(t, control.control_state(control_events(t), controls, None, 0, end, EVERY))
+    last = control.latest_states(rows).groupBy("experiment").agg(
+        F.max_by(F.col("state")["level"], F.when(F.col("whole").isNotNull(), F.col("step"))).alias("last_level")
+    )
+    return control.skipped_periods(rows).join(last, "experiment")
+
+
 _WORDS = "list_filter(regexp_split_to_array(\"text\",'[ \\n\\t\\r]+'), lambda x: x != '')"
 _TOKENS = f"list_transform({_WORDS}, lambda x: (('0x'||substr(md5(x),1,7))::BIGINT+1)::INTEGER)"
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -16,10 +18,22 @@ from inlay.operators.placement import KEY, spans
 from inlay.plans.experiments import gate_and_wrap, place_sequences
 from inlay.staging import materialize
 
-STATE_SCHEMA = "experiment string, step bigint, state map<string,double>, texts array<string>, revision bigint, ignored bigint"
+STATE_SCHEMA = (
+    "experiment string, step bigint, state map<string,double>, whole string, texts array<string>, revision bigint, ignored bigint"
+)
+HANDED_SCHEMA = "experiment string, step bigint, whole string"
 
-# (state, step since start, total steps, observed totals) -> new state, or new state and texts
-ControlProgram = Callable[[dict, int, int, dict], dict | tuple[dict, list[str]]]
+# (state, step since start, total steps, observed totals, **arguments) -> new state, or new state and texts
+ControlProgram = Callable[..., dict | tuple[dict, list[str]]]
+
+
+@dataclass(frozen=True)
+class Control:
+    """The program of an experiment, the state it starts from (None: it needs one that is handed on), its arguments."""
+
+    program: ControlProgram
+    initial: dict | None = None
+    arguments: Mapping[str, object] = field(default_factory=dict)
 
 
 def periods(steps: DataFrame, start: int, end: int, every: int) -> DataFrame:
@@ -59,72 +73,145 @@ def merge_observations(rows: DataFrame, start: int, end: int, every: int) -> Dat
 class ControlState(StatefulProcessor):
     """Runs the control program over the periods of each experiment, in step order.
 
-    The totals of every period are kept, so a period may be spread over any number of
-    micro-batches and rows may come late: the program runs again from the first period
-    that changed up to the last one seen, periods without rows included.  Each row that comes out
-    carries the number of rows seen so far; of several for one period the largest holds.
+    Totals of the periods and the state behind each of them are kept, so a period may be spread
+    over any number of micro-batches and rows may come late: the program runs again from the first
+    period that changed, with the state of the period before it, up to the last one seen, periods without
+    rows included.  Each row that comes out carries the number of rows seen so far; of several for one
+    period the largest holds.
+
+    A state handed on from an earlier run takes the place of the initial one; its periods are
+    closed.  With ``keep``, so do periods more than ``keep`` periods behind the last one: only
+    the state behind them stays.  Rows of closed periods and of steps outside the run are counted as
+    ignored.  An experiment without any state is skipped: its periods come out with a null state.
     """
 
-    def __init__(self, program: ControlProgram, initial: dict, start: int, end: int, every: int):
-        self.program, self.initial = program, initial
-        self.start, self.end, self.every = start, end, every
+    def __init__(self, controls: Callable[[str], Control], start: int, end: int, every: int, keep: int | None = None):
+        self.controls = controls
+        self.start, self.end, self.every, self.keep = start, end, every, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.totals = handle.getMapState("totals", "step bigint", "n bigint, amount bigint")
+        self.states = handle.getMapState("states", "step bigint", "whole string")
         self.counts = handle.getValueState("counts", "seen bigint, ignored bigint")
+        # first open period, last one seen
+        self.open = handle.getValueState("open", "first bigint, last bigint")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Take over the last state of an earlier run."""
+        last = initialState.sort_values("step").iloc[-1]
+        step = int(last["step"])
+        self.states.updateValue((step,), (last["whole"],))
+        self.open.update((step + self.every, step))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         fresh: dict[int, list[int]] = {}
         seen, ignored = self.counts.get() if self.counts.exists() else (0, 0)
+        first, last = self.open.get() if self.open.exists() else (self.start, self.start - self.every)
         for chunk in rows:
             for step, n, amount in zip(chunk["step"], chunk["n"], chunk["amount"]):
                 seen += int(n)
-                if pd.isna(step):
+                if pd.isna(step) or step < first:
                     ignored += int(n)
                     continue
                 total = fresh.setdefault(int(step), [0, 0])
                 total[0] += int(n)
                 total[1] += int(amount)
         self.counts.update((seen, ignored))
-        done = max((k[0] for k, _ in self.totals.iterator()), default=self.start - 1)
+        out = self.run(key[0], fresh, first, last, (seen, ignored)) if fresh else []
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in STATE_SCHEMA.split(", ")])
+
+    def run(self, experiment: str, fresh: dict, first: int, last: int, counts: tuple) -> list[tuple]:
+        """Add ``fresh`` totals and run the program again from the first period they change."""
         for step, (n, amount) in fresh.items():
             if self.totals.containsKey((step,)):
                 before = self.totals.getValue((step,))
                 n, amount = n + before[0], amount + before[1]
             self.totals.updateValue((step,), (n, amount))
+        control = self.controls(experiment)
+        begin, end = min(*fresh, last + self.every), max(*fresh, last)
+        before = begin - self.every
+        if self.states.containsKey((before,)):
+            state = json.loads(self.states.getValue((before,))[0])
+        else:
+            state = None if control.initial is None or before >= first else dict(control.initial)
         out = []
-        if fresh:
-            known = {k[0]: tuple(v) for k, v in self.totals.iterator()}
-            state = dict(self.initial)
-            for step in range(self.start, max(known) + 1, self.every):
-                n, amount = known.get(step, (0, 0))
-                result = self.program(state, step - self.start, self.end - self.start, {"n": n, "amount": amount})
+        for step in range(begin, end + 1, self.every):
+            n, amount = self.totals.getValue((step,)) if self.totals.containsKey((step,)) else (0, 0)
+            numbers, whole, texts = None, None, []
+            if state is not None:
+                seen = {"n": n, "amount": amount}
+                result = control.program(state, step - self.start, self.end - self.start, seen, **control.arguments)
                 state, texts = result if isinstance(result, tuple) else (result, [])
-                if step >= min(fresh) or step > done:
-                    values = {k: float(v) for k, v in state.items()}
-                    out.append((key[0], step, values, list(texts), seen, ignored))
-        yield pd.DataFrame(out, columns=["experiment", "step", "state", "texts", "revision", "ignored"])
+                whole = json.dumps(state, sort_keys=True)
+                state = json.loads(whole)
+                numbers = {k: float(v) for k, v in state.items() if isinstance(v, (int, float)) and not isinstance(v, bool)}
+                self.states.updateValue((step,), (whole,))
+            out.append((experiment, step, numbers, whole, list(texts), *counts))
+        if self.keep is not None:
+            for step in range(first, max(first, end - self.keep * self.every), self.every):
+                for kept, at in ((self.totals, step), (self.states, step - self.every)):
+                    if kept.containsKey((at,)):
+                        kept.removeKey((at,))
+            first = max(first, end - self.keep * self.every)
+        self.open.update((first, end))
+        return out
 
     def close(self) -> None:
         pass
 
 
 def control_state(
-    rows: DataFrame, program: ControlProgram, initial: dict, start: int, end: int, every: int
+    rows: DataFrame,
+    program: ControlProgram | Mapping[str, Control],
+    initial: dict | None,
+    start: int,
+    end: int,
+    every: int,
+    handed: DataFrame | None = None,
+    keep: int | None = None,
 ) -> DataFrame:
-    """Streaming ``rows(experiment, step, amount)`` to rows of :data:`STATE_SCHEMA`."""
+    """Streaming ``rows(experiment, step, amount)`` to rows of :data:`STATE_SCHEMA`.
+
+    ``program`` with ``initial`` holds for all experiments, or there is a :class:`Control` for each.
+    ``handed(experiment, step, whole)`` are states an earlier run ended with (:func:`last_states`).
+    """
+    shared = None if isinstance(program, Mapping) else Control(program, initial)
+    table = dict(program) if shared is None else {}
+
+    def controls(experiment: str) -> Control:
+        return shared if shared is not None else table.get(experiment) or Control(lambda state, *_: state)
+
     merged = merge_observations(rows, start, end, every)
     return merged.groupBy("experiment").transformWithStateInPandas(
-        statefulProcessor=ControlState(program, initial, start, end, every),
+        statefulProcessor=ControlState(controls, start, end, every, keep),
         outputStructType=STATE_SCHEMA,
         outputMode="Append",
         timeMode="None",
+        initialState=None if handed is None else handed.select("experiment", "step", "whole").groupBy("experiment"),
     )
 
 
+def last_states(states: DataFrame) -> DataFrame:
+    """State behind the last period of each experiment, to be handed on (:data:`HANDED_SCHEMA`); skipped ones have none."""
+    held = latest_states(states).where("whole is not null")
+    return held.groupBy("experiment").agg(F.max_by(F.struct("step", "whole"), "step").alias("_l")).select("experiment", "_l.*")
+
+
+def skipped_periods(states: DataFrame) -> DataFrame:
+    """``experiment, n_run, n_skipped``: periods with a state and periods skipped for want of one."""
+    return latest_states(states).groupBy("experiment").agg(
+        F.count("whole").alias("n_run"), F.count_if(F.col("whole").isNull()).alias("n_skipped")
+    )
+
+
+def typed_state(states: DataFrame) -> DataFrame:
+    """All entries of the states as ``entries map<string,variant>``, texts among them."""
+    return states.withColumn("entries", F.from_json("whole", "map<string,variant>"))
+
+
 def latest_states(states: DataFrame) -> DataFrame:
     """The row that holds for each experiment and period, of all that a stream gave out."""
-    rest = F.struct("state", "texts", "revision", "ignored")
+    rest = F.struct("state", "whole", "texts", "revision", "ignored")
     return states.groupBy("experiment", "step").agg(F.max_by(rest, "revision").alias("_r")).select("experiment", "step", "_r.*")
 
 
@@ -136,7 +223,7 @@ def control_texts(states: DataFrame) -> DataFrame:
 
 
 def control_metrics(states: DataFrame) -> DataFrame:
-    """State entries as metric rows ``(step, metric, value)``."""
+    """Numbers of the state as metric rows ``(step, metric, value)``; other entries are no metrics."""
     entries = states.select("step", "experiment", F.explode("state").alias("key", "value"))
     return entries.select("step", control_key(F.col("experiment"), F.col("key")).alias("metric"), "value")
 

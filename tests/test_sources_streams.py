@@ -229,6 +229,49 @@ def test_control_program_may_give_texts(spark):
     assert len({r.prompt_id for r in texts}) == 3
 
 
+def speak_when_up(state, step, total, seen, loud=False):
+    mood = "loud" if loud else "calm"
+    return {"n": state["n"] + seen["n"], "mood": mood, "on": True}
+
+
+def stream_states(spark, rows, *args, **kwargs):
+    """All rows of a control stream that reads one file per micro-batch."""
+    source, out, progress = (new_path(spark, n) for n in ("in", "states", "progress"))
+    schema = "experiment string, step bigint, amount bigint"
+    for batch in rows:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    writer = control.control_state(reader, *args, **kwargs).writeStream.format("parquet").option("path", out)
+    writer.option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(control.STATE_SCHEMA).parquet(out)
+
+
+def test_states_are_handed_on(spark):
+    """Two runs equal one; texts in the state survive, numbers alone are metrics, late rows of the first run are ignored."""
+    early = [[("a", 3, 1), ("b", 4, 1)], [("a", 15, 1)]]
+    late = [[("a", 21, 1), ("b", 33, 1), ("a", 5, 1)], [("a", 35, 1), ("a", 22, 1), ("c", 24, 1)]]
+    start = {"n": 0, "mood": "none"}
+    first = stream_states(spark, early, speak_when_up, start, 0, 100, 10)
+    handed = spark.createDataFrame(control.last_states(first).collect(), control.HANDED_SCHEMA)
+    second = control.latest_states(stream_states(spark, late, speak_when_up, start, 0, 100, 10, handed=handed))
+    got = {(r.experiment, r.step): r.state["n"] for r in second.collect()}
+    assert got == {("a", 20): 4, ("a", 30): 5, ("b", 10): 1, ("b", 20): 1, ("b", 30): 2, ("c", 0): 0, ("c", 10): 0, ("c", 20): 1}
+    assert {r.ignored for r in second.where("experiment = 'a' and step = 30").collect()} == {1}
+    moods = {r[0] for r in control.typed_state(second).selectExpr("variant_get(entries['mood'], '$', 'string')").collect()}
+    assert moods == {"calm"} and {r.metric for r in control.control_metrics(second).collect()} == {f"control/{e}_n" for e in "abc"}
+
+
+def test_closed_periods_and_experiments_without_state(spark):
+    rows = [[("a", 3, 1), ("a", 45, 1), ("x", 12, 1)], [("a", 4, 1), ("a", 38, 1), ("a", 29, 1)], [("a", 24, 1), ("x", 3, 1)]]
+    controls = {"a": control.Control(speak_when_up, {"n": 0}, {"loud": True}), "x": control.Control(speak_when_up)}
+    out = stream_states(spark, rows, controls, None, 0, 100, 10, keep=2)
+    got = {r.step: (r.state["n"], r.ignored) for r in control.latest_states(out).where("experiment = 'a'").collect()}
+    # periods before 20 are closed when 40 is seen: one late row of period 0 is ignored, later ones still count
+    assert got == {0: (1, 0), 10: (1, 0), 20: (3, 1), 30: (4, 1), 40: (5, 1)}
+    counted = {r.experiment: (r.n_run, r.n_skipped) for r in control.skipped_periods(out).collect()}
+    assert counted == {"a": (5, 0), "x": (0, 2)}
+
+
 def test_period_plans_avoid_each_other_and_replace_themselves(spark, tmp_path):
     geometry = Geometry(16, 2)
     source, path, progress = str(tmp_path / "in"), new_path(spark, "plan"), new_path(spark, "progress")
