@@ -39,6 +39,7 @@ LIST_ROWS = 50_000  # a word of a larger count has its list dealt over several t
 QUICK_WORDS = 4  # words of the prefix that the first round looks at
 LINES = "id bigint, line int, n int, d0 bigint, d1 bigint, bits bigint, more bigint, other bigint, words binary, places binary, parts binary"
 FILTER_BITS = 25
+OWNER_BYTES = 1 << 22  # postings that are compared in one go
 
 
 def lines_of(block: Block) -> tuple[Block, np.ndarray, np.ndarray]:
@@ -245,8 +246,8 @@ def planes(column: np.ndarray) -> bytes:
     return np.ascontiguousarray(column).view(np.uint8).reshape(len(column), -1).T.tobytes()
 
 
-def unpacked(blob: bytes) -> np.ndarray:
-    n = len(blob) // POSTING.itemsize
+def unpacked(blob: pa.Buffer) -> np.ndarray:
+    n = blob.size // POSTING.itemsize
     out, at = np.empty(n, POSTING), 0
     for name in POSTING.names:
         kind = POSTING[name]
@@ -323,12 +324,12 @@ def similar_in_lists(lists: DataFrame, similar: int, quick: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, held = None, []
         for batch in batches:
-            for o, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for o, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if o != owner and held:
                     yield from pairs_of(np.concatenate(held))
                     held = []
                 owner = o
-                held.append(unpacked(blob))
+                held.append(unpacked(blob.as_buffer()))
         if held:
             yield from pairs_of(np.concatenate(held))
 
@@ -436,10 +437,15 @@ def undone(classes: DataFrame, settled: DataFrame) -> DataFrame:
     return met.withColumn("done", F.coalesce("done", F.lit(False)))
 
 
+def owners_of(classes: DataFrame, similar: int) -> int:
+    """Owners of word lists: as many as it takes for each to hold some ``OWNER_BYTES`` of postings."""
+    postings = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * similar / 100) + 1)).first()[0] or 0
+    return max(partitions(classes.sparkSession), -(-int(postings) * POSTING.itemsize // OWNER_BYTES))
+
+
 def removals(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """``(id, line)`` of the lines of ``docs(id, text)`` that go."""
     spark = docs.sparkSession
-    owners = partitions(spark)
     lines = materialize(described(docs, word_levels(docs), similar), "lines")
     release(spark)
     first = F.min(F.struct("id", "line", "bits", "more", "other", "words", "places", "parts")).alias("first")
@@ -447,6 +453,7 @@ def removals(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     release(spark)
     # lines of fewer words are similar to equal ones only
     large = classes.where(F.col("n") >= (-(-similar // (100 - similar)) if similar < 100 else 1 << 30))
+    owners = owners_of(large, similar)
     names = large.select("id", "line", "d0")
     quick = similar_in_lists(word_lists(large.withColumn("done", F.lit(False)), True, owners), similar, True)
     quick = materialize(named(nearest(quick), names), "quick")
