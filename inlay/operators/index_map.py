@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from inlay.functions.tokens import int_div
 from inlay.operators.reindex import PAGE, nest
@@ -16,6 +16,29 @@ SCHEMA = "index bigint, ordinal bigint, pos int, tokens array<int>"
 STORED = SCHEMA + ", write_id string"
 LOAD = "load"  # write_id of a plain overwrite
 OFFSET_BLOCK = 1 << 16
+POINT_PROBES = 1000  # probes up to which files are chosen by the zone table
+ZONE_INDICES = 4096  # indices of a file that share one bitmap
+ZONE_BITS = 1 << 15
+ZONES = "file string, lo bigint, hi bigint, segments bigint, segment bigint, bits binary"
+
+
+def zone_name(file: str) -> str:
+    """Folder and name of a file, which is the same however its path is written."""
+    return "/".join(file.split("/")[-2:])
+
+
+def zone_segment(index: Column, segments: Column) -> Column:
+    return F.pmod(F.xxhash64(index), segments)
+
+
+def zone_bit(index: Column, n: int) -> Column:
+    """Place of an index in the bitmap of its segment, by the ``n``-th hash."""
+    return F.pmod(F.xxhash64(index, F.lit(n)), F.lit(ZONE_BITS).cast("bigint"))
+
+
+def zone_holds(bits: Column, at: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bits, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1
 
 
 @dataclass
@@ -88,16 +111,83 @@ class IndexMap:
     def has_index(self, probes: DataFrame) -> DataFrame:
         """Distinct probe indices with a ``has`` flag."""
         asked = probes.select("index").distinct()
-        held = self.indices().withColumn("_held", F.lit(True))
+        few = self._few(asked)
+        present = self.indices() if few is None else self.point_rows(few).select("index").distinct()
+        held = present.withColumn("_held", F.lit(True))
         return asked.join(held, "index", "left").select("index", F.coalesce("_held", F.lit(False)).alias("has"))
 
     def lookup(self, probes: DataFrame) -> DataFrame:
         """Flat insertions of the distinct probe indices; an absent index has one null row."""
         asked = probes.select("index").distinct()
-        found = self.rows().join(asked, "index", "left_semi")  # a long index may be split
-        absent = asked.join(self.indices(), "index", "left_anti")
+        few = self._few(asked)
+        rows = self.rows() if few is None else self.point_rows(few)
+        found = rows.join(asked, "index", "left_semi")  # a long index may be split
+        absent = asked.join(rows.select("index").distinct(), "index", "left_anti")
         return found.unionByName(absent, allowMissingColumns=True)
 
+    def _zones(self) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(ZONES).parquet(f"{self.path}.zones")
+        except Exception as error:  # no zone table yet
+            if "PATH_NOT_FOUND" in str(error):
+                return None
+            raise
+
+    def _few(self, asked: DataFrame) -> list[int] | None:
+        """The probes, if there is a zone table and they are few."""
+        if self._zones() is None:
+            return None
+        found = [r[0] for r in asked.where("index is not null").limit(POINT_PROBES + 1).collect()]
+        return found if len(found) <= POINT_PROBES else None
+
+    def note_files(self) -> None:
+        """Add the files that the zone table does not know yet: range of indices, and hashed bitmaps of them."""
+        stored = self._rows()
+        if stored is None:
+            return
+        zones = self._zones()
+        known = set() if zones is None else {r[0] for r in zones.select("file").distinct().collect()}
+        fresh = [f for f in stored.inputFiles() if zone_name(f) not in known]  # names of files only
+        if not fresh:
+            return
+        read = self.spark.read.schema(STORED).option("basePath", self.path).parquet(*fresh)
+        held = read.select("index", F.substring_index("_metadata.file_path", "/", -2).alias("file")).distinct()
+        segments = F.ceil(F.count(F.lit(1)) / F.lit(ZONE_INDICES)).alias("segments")
+        spans = held.groupBy("file").agg(F.min("index").alias("lo"), F.max("index").alias("hi"), segments)
+        bits = held.join(spans, "file").select(
+            "file", "lo", "hi", "segments", zone_segment(F.col("index"), F.col("segments")).alias("segment"),
+            F.explode(F.array(*[zone_bit(F.col("index"), n) for n in (1, 2)])).alias("at"),
+        )
+        keys = ["file", "lo", "hi", "segments", "segment"]
+        made = bits.groupBy(*keys).agg(F.bitmap_construct_agg("at").alias("bits"))
+        made.write.mode("append").parquet(f"{self.path}.zones")
+
+    def files_of(self, probes: list[int]) -> list[str]:
+        """Files that may hold one of a few indices; files that were never noted are among them."""
+        stored = self._rows()
+        if stored is None:
+            return []
+        files, zones = stored.inputFiles(), self._zones()
+        if zones is None:
+            return files
+
+        def here(p: Column) -> Column:
+            inside = p.between(F.col("lo"), F.col("hi")) & (zone_segment(p, F.col("segments")) == F.col("segment"))
+            return inside & zone_holds(F.col("bits"), zone_bit(p, 1)) & zone_holds(F.col("bits"), zone_bit(p, 2))
+
+        asked = F.lit(probes).cast("array<bigint>")
+        marked = zones.select("file", F.exists(asked, here).alias("hit")).groupBy("file").agg(F.bool_or("hit").alias("hit"))
+        hits = {r["file"]: r["hit"] for r in marked.collect()}  # one row a file
+        return [f for f in files if hits.get(zone_name(f), True)]
+
+    def point_rows(self, probes: list[int]) -> DataFrame:
+        """Rows of a few indices, read from the files that may hold them."""
+        files = self.files_of(probes) if probes else []
+        if not files:
+            return self.spark.createDataFrame([], SCHEMA)
+        read = self.spark.read.schema(STORED).option("basePath", self.path).parquet(*files)
+        return read.where(F.col("index").isin(probes)).select("index", "ordinal", "pos", "tokens")
+
     def overlaps(self) -> DataFrame:
         """Stored rows that meet an earlier row of their index (appends may cause this)."""
         rows = self.rows().where(F.size("tokens") > 0)

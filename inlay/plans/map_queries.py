@@ -103,6 +103,25 @@ def map_lookup(t: Tables) -> DataFrame:
     return stored_map(t).lookup(probes(t)).withColumn("tokens", joined("tokens"))
 
 
+@query(
+    "map_point_lookup",
+    with_views(
+        "select index, ordinal, pos, array_to_string(tokens, ',') tokens from (select distinct spot//{c} as index from (select"
+        " o_orderkey*64 + o_custkey%2*1000000000 spot from orders order by o_totalprice desc, o_orderkey limit 10)) left join"
+        " imap using (index)".format(c=CHUNK),
+        "v_plan",
+        extra=REINDEX.format(c=CHUNK, src="v_plan"),
+    ),
+)
+def map_point_lookup(t: Tables) -> DataFrame:
+    """Indices of the ten dearest orders, some of them absent, from the files that the zone table names."""
+    store = stored_map(t)
+    store.note_files()
+    dearest = t.table("orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10)
+    spot = F.expr("o_orderkey*64 + o_custkey%2*1000000000")
+    return store.lookup(dearest.select(int_div(spot, CHUNK).alias("index"))).withColumn("tokens", joined("tokens"))
+
+
 @query(
     "map_overlaps",
     with_views(

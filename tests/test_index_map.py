@@ -4,8 +4,8 @@ from inlay.operators.index_map import IndexMap, OffsetArrays, from_offset_arrays
 from inlay.staging import new_path
 from tests.conftest import nested
 
-BASE = {1: [(10, [1, 2, 3]), (11, [4, 5])], 2: [(20, [6, 7, 8, 9])], 3: [(30, [10, 11, 12])]}
-MORE = {1: [(12, [100, 101])], 4: [(40, [200, 201, 202])]}
+BASE = {1: [(3, [51]), (8, [52, 53, 54, 55])], 2: [(0, [61, 62])], 3: [(17, [71]), (18, [72]), (40, [73, 74])]}
+MORE = {1: [(21, [81])], 4: [(2, [91, 92, 93, 94, 95])]}
 
 
 @pytest.fixture
@@ -42,15 +42,42 @@ def test_membership_and_lookup(store, spark, map_of):
     probes = spark.createDataFrame([(1,), (1,), (9,)], "index bigint")
     assert sorted(tuple(r) for r in store.has_index(probes).collect()) == [(1, True), (9, False)]
     found = sorted((r["index"], r.ordinal, r.pos) for r in store.lookup(probes).na.fill(-1).collect())
-    assert found == [(1, 0, 10), (1, 1, 11), (9, -1, -1)]
+    assert found == [(1, 0, 3), (1, 1, 8), (9, -1, -1)]
     assert sorted(r["index"] for r in store.indices().collect()) == [1, 2, 3]
 
 
+def test_point_lookups_read_few_files(store, spark):
+    rows = spark.range(0, 40_000, 3).selectExpr("id as index", "0L as ordinal", "cast(id % 9 as int) pos", "array(7, 8) tokens")
+    store.append(rows, ["pos"], "one")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.overwrite(rows)
+        store.note_files()
+        late = spark.createDataFrame([(1, 0, 5, [1]), (30_000, 0, 6, [2])], "index bigint, ordinal bigint, pos int, tokens array<int>")
+        store.append(late, ["pos"], "late")  # never noted: always read
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    files = store.rows().inputFiles()
+    probes = [0, 1, 2, 3, 4, 6, 9, 10, 12, 100]
+    named = store.files_of(probes)
+    late_files = [f for f in files if "write_id=late" in f]
+    assert len(files) - len(late_files) >= 4 and set(late_files) <= set(named) and len(named) - len(late_files) == 1
+    assert sorted(store.point_rows(probes).inputFiles()) == sorted(named)
+    asked = spark.createDataFrame([(p,) for p in probes], "index bigint")
+    got = sorted(map(str, store.lookup(asked).collect()))
+    full = store.rows().join(asked, "index", "right").select("index", "ordinal", "pos", "tokens")
+    assert got == sorted(map(str, full.collect())) and len(got) == 10
+    assert {r["index"]: r.has for r in store.has_index(asked).collect()} == {p: p % 3 == 0 or p == 1 for p in probes}
+    store.note_files()
+    assert len(store.files_of([30_000])) == 2 and not store.files_of([50_000])
+
+
 EDGES = {
-    "empty list": {1: [(0, [])], 2: [(5, [1]), (9, []), (12, [2, 3])]},
-    "long": {0: [(0, list(range(10_000)))]},
-    "many in one index": {5: [(i, [i, i + 1]) for i in range(100)]},
-    "many indices": {i: [(i % 7, [i])] for i in range(1000)},
+    "empty list": {6: [(4, [])], 8: [(1, [3]), (2, []), (30, [5, 4])]},
+    "long": {3: [(9, [i * 7 % 64_000 for i in range(23_000)])]},
+    "many in one index": {11: [(3 * i, [i] * (i % 4)) for i in range(260)]},
+    "many indices": {5 * i: [(i % 13, [i, -i])] for i in range(1700)},
     "bounds": {0: [(0, [2**31 - 1])], 2**31 - 1: [(2**31 - 1, [0])]},
 }
 
@@ -72,10 +99,10 @@ def test_offset_arrays(spark, map_of):
         return [r[1] for r in sorted(df.collect())]
 
     assert column(arrays.keys) == [1, 2, 3]
-    assert column(arrays.tuple_offsets) == [0, 2, 3, 4]
-    assert column(arrays.positions) == [10, 11, 20, 30]
-    assert column(arrays.token_offsets) == [0, 3, 5, 9, 12]
-    assert column(arrays.tokens) == list(range(1, 13))
+    assert column(arrays.tuple_offsets) == [0, 2, 3, 6]
+    assert column(arrays.positions) == [3, 8, 0, 17, 18, 40]
+    assert column(arrays.token_offsets) == [0, 1, 5, 7, 8, 9, 11]
+    assert column(arrays.tokens) == [51, 52, 53, 54, 55, 61, 62, 71, 72, 73, 74]
 
 
 def test_offset_arrays_of_nothing(map_of):
