@@ -185,6 +185,10 @@ def mark_at(source: Window, at: int) -> bytes | None:
     return source.read(at + 12, struct.unpack("<H", head[10:12])[0])
 
 
+class DamagedRecord(ValueError):
+    """A member of an archive that begins like a record and can't be read."""
+
+
 def begins_record(source: Window, at: int, mark: bytes) -> bool:
     """Whether a member of this file with a WARC header starts at ``at``."""
     if mark_at(source, at) != mark:
@@ -215,8 +219,10 @@ def records_in(source: Window, start: int, end: int) -> Iterator[bytes]:
     mark = mark_at(source, 0)
     at = start
     while at < end:
-        found = decoded(source, at) if mark is not None and begins_record(source, at, mark) else None
-        if found:
+        if mark is not None and begins_record(source, at, mark):
+            found = decoded(source, at)
+            if found is None:  # never left out without a word
+                raise DamagedRecord(f"record at byte {at} has a header but does not decode")
             raw, at = found
             yield raw
             continue

@@ -66,3 +66,23 @@ def test_nested_archive_is_no_record(tmp_path):
 def test_empty_table(spark, tmp_path):
     files = op.write_archives(spark.createDataFrame([], SCHEMA), str(tmp_path / "e"))
     assert op.read_archives(files).count() == 0
+
+
+def test_damaged_record_is_an_error(tmp_path):
+    """One flipped byte behind the header of the third of five members."""
+    rng = random.Random(8)
+    bodies = [rng.randbytes(6000) for _ in range(5)]
+    members = [op.member(op.record(i, "u", b, hashlib.sha1(b).hexdigest(), len(b), None), b"mine") for i, b in enumerate(bodies)]
+    hurt = bytearray(members[2])
+    hurt[4000] ^= 64
+    path = tmp_path / "a.warc.gz"
+    for third, fails in ((members[2], False), (bytes(hurt), True), (members[2][:-4] + b"\0\0\0\0", True)):
+        path.write_bytes(b"".join([*members[:2], third, *members[3:]]))
+        size = path.stat().st_size
+        with path.open("rb") as file:
+            read = lambda: list(op.records_in(op.Window(file, size), 0, size))  # noqa: B023, E731
+            if fails:
+                with pytest.raises(op.DamagedRecord, match=f"byte {sum(map(len, members[:2]))} "):
+                    read()
+            else:
+                assert len(read()) == 5
