@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from inlay.functions.tokens import int_div
+from inlay.operators.map_log import Conflict, MapLog, Run, State, touched_buckets
 from inlay.operators.reindex import PAGE, nest
 from inlay.operators.scan import grouped_ordinal, ordered_scan
 from inlay.operators.skew import spread_join
@@ -15,6 +17,8 @@ from inlay.staging import materialize
 SCHEMA = "index bigint, ordinal bigint, pos int, tokens array<int>"
 STORED = SCHEMA + ", write_id string"
 LOAD = "load"  # write_id of a plain overwrite
+ATTEMPTS = 20  # of a write that others overtake
+REBUILT = 4  # level of counters that were worked out from stored rows
 OFFSET_BLOCK = 1 << 16
 POINT_PROBES = 1000  # probes up to which files are chosen by the zone table
 ZONE_INDICES = 4096  # indices of a file that share one bitmap
@@ -41,57 +45,85 @@ def zone_holds(bits: Column, at: Column) -> Column:
     return F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1
 
 
+def next_ordinals(rows: DataFrame) -> DataFrame:
+    """``(index, held)``: the next free ordinal of each index."""
+    return rows.groupBy("index").agg((F.max("ordinal") + 1).alias("held"))
+
+
 @dataclass
 class IndexMap:
-    """A stored map at ``path``; every write owns one ``write_id`` folder.
+    """A stored map at ``path``; every write fills a folder of its own.
 
-    Writing the same ``write_id`` again replaces that write and nothing else, so a
-    retried append cannot add its rows twice.
+    A folder belongs to the map once a commit record names it (see ``map_log``), so readers
+    see a write as a whole or not at all.  Writing the same ``write_id`` again replaces that write and
+    nothing else, so a retried append cannot add its rows twice.  An append reads the counters
+    of the index buckets it touches; stored rows are read only for a write that
+    replaces one whose counters were folded, and for the first append to rows that were never counted.
     """
 
     spark: SparkSession
     path: str
 
+    @property
+    def log(self) -> MapLog:
+        return MapLog(self.spark, self.path)
+
     def overwrite(self, rows: DataFrame) -> None:
         """Replace the whole map by ``rows(index, ordinal, pos, tokens)``."""
-        ranged = rows.select("index", "ordinal", "pos", "tokens").repartitionByRange("index", "ordinal")
-        self._write(ranged.withColumn("write_id", F.lit(LOAD)), "static")
+        folder = self._write(rows, LOAD)
+        for _ in range(ATTEMPTS):
+            state = self.log.found()
+            try:
+                return self.log.commit(state, {LOAD: folder}, None, full=True)
+            except Conflict:
+                continue
+        raise RuntimeError(f"{ATTEMPTS} other writes came first")
 
     def append(self, rows: DataFrame, order_by: list[str], write_id: str) -> None:
-        """Add ``rows(index, pos, tokens, *order_by)`` behind what each index already holds."""
-        fresh = grouped_ordinal(rows, ["index"], order_by, "_new")
-        stored = self._rows()
-        if stored is not None:
-            kept = stored.where(F.col("write_id") != write_id).select("index", "ordinal")
-            touched = rows.select("index").distinct()
-            counts = kept.join(touched, "index", "left_semi").groupBy("index").agg(
-                (F.max("ordinal") + 1).alias("_held")
-            )
-            fresh = spread_join(fresh, counts, ["index"], order_by, "left")
-        else:
-            fresh = fresh.withColumn("_held", F.lit(None).cast("bigint"))
-        out = fresh.select(
-            "index", (F.coalesce("_held", F.lit(0)) + F.col("_new")).alias("ordinal"), "pos", "tokens"
-        ).repartitionByRange("index", "ordinal")
-        self._write(out.withColumn("write_id", F.lit(write_id)), "dynamic")
-
-    def _write(self, rows: DataFrame, mode: str) -> None:
-        (
-            rows.sortWithinPartitions("index", "ordinal")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", mode)
-            .partitionBy("write_id")
-            .parquet(self.path)
-        )
+        """Add ``rows(index, pos, tokens, *order_by)`` behind what each index already holds.
+
+        If another write commits first, the ordinals are worked out again behind it.
+        """
+        fresh = grouped_ordinal(rows, ["index"], order_by, "_new")  # staged
+        buckets = touched_buckets(fresh)
+        for _ in range(ATTEMPTS):
+            state = self.log.found()
+            runs = self._runs_without(state, write_id)
+            counts = self.log.counts(runs, buckets).withColumnRenamed("held", "_held")
+            held = spread_join(fresh, counts, ["index"], order_by, "left") if runs else fresh.withColumn("_held", F.lit(0))
+            ordinal = (F.coalesce("_held", F.lit(0)) + F.col("_new")).alias("ordinal")
+            folder = self._write(held.select("index", ordinal, "pos", "tokens"), write_id)
+            own = self.log.write_run(next_ordinals(self._folder(folder)), 0, write_id)
+            try:
+                return self.log.commit(state, {write_id: folder}, [*self.log.folded(runs), own])
+            except Conflict:
+                continue
+        raise RuntimeError(f"{ATTEMPTS} other writes came first")
+
+    def _runs_without(self, state: State | None, write_id: str) -> list[Run]:
+        """Runs that count all writes but one."""
+        if state is None:
+            return []
+        known = state.runs is not None and (write_id not in state.folders or write_id in {r.write for r in state.runs})
+        if known:
+            return [r for r in state.runs if r.write != write_id]
+        others = [f for w, f in state.folders.items() if w != write_id]
+        return [self.log.write_run(next_ordinals(self._folder(*others)), REBUILT, None)] if others else []
+
+    def _write(self, rows: DataFrame, write_id: str) -> str:
+        """The name of a new folder with ``rows``."""
+        folder = f"{write_id}.{uuid.uuid4().hex[:12]}"
+        ranged = rows.select("index", "ordinal", "pos", "tokens").repartitionByRange("index", "ordinal")
+        ranged.sortWithinPartitions("index", "ordinal").write.parquet(f"{self.path}/write_id={folder}")
+        return folder
+
+    def _folder(self, *names: str) -> DataFrame:
+        read = self.spark.read.schema(STORED).option("basePath", self.path)
+        return read.parquet(*[f"{self.path}/write_id={n}" for n in names])
 
     def _rows(self) -> DataFrame | None:
-        stored = self.spark.read.schema(STORED)
-        try:
-            return stored.parquet(self.path)
-        except Exception as error:  # no map at this path yet
-            if "PATH_NOT_FOUND" in str(error):
-                return None
-            raise
+        state = self.log.found()
+        return self._folder(*state.folders.values()) if state is not None and state.folders else None
 
     def rows(self) -> DataFrame:
         """All rows, flat."""

@@ -22,6 +22,8 @@ from inlay.plans.views import BATCH, EOS, LENGTH, SEED, Tables, with_views
 from inlay.sources import metric_files, records, token_shards
 from inlay.staging import materialize, new_path
 
+EXPERIMENTS = 5  # of the fixed plan
+
 # -- stored index map ------------------------------------------------------------------
 
 
@@ -61,6 +63,35 @@ def map_append(t: Tables) -> DataFrame:
     return appended_map(t).rows().withColumn("tokens", joined("tokens"))
 
 
+ONE_BY_ONE = (
+    REINDEX.format(c=CHUNK, src="(select * from v_plan where exp_id = -1)")
+    + "".join(
+        ", " + REINDEX.format(c=CHUNK, src=f"(select * from v_plan where exp_id={n})").replace("pieces", f"q{n}").replace("imap", f"n{n}")
+        for n in range(EXPERIMENTS)
+    )
+    + ", every as ("
+    + " union all ".join(f"select {n} turn, * from n{n}" for n in range(EXPERIMENTS))
+    + ")"
+)
+
+
+@query(
+    "map_append_each",
+    with_views(
+        "select index, row_number() over (partition by index order by turn, ordinal) - 1 ordinal, pos,"
+        " array_to_string(tokens, ',') tokens from every",
+        "v_plan",
+        extra=ONE_BY_ONE,
+    ),
+)
+def map_append_each(t: Tables) -> DataFrame:
+    """Every experiment appended by itself; each append reads the counters of the indices it reaches."""
+    store = index_map.IndexMap(t.spark, new_path(t.spark, "map"))
+    for n in range(EXPERIMENTS):
+        store.append(reindex.reindex(t.plan.where(F.col("exp_id") == n), CHUNK), ["ordinal"], f"experiment {n}")
+    return store.rows().withColumn("tokens", joined("tokens"))
+
+
 @query("map_read_nested", with_views(NESTED, "v_plan", extra=APPENDED))
 def map_read_nested(t: Tables) -> DataFrame:
     return nested_text(appended_map(t).nested())

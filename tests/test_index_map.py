@@ -1,5 +1,8 @@
+import re
+
 import pytest
 
+from inlay.operators import map_log
 from inlay.operators.index_map import IndexMap, OffsetArrays, from_offset_arrays, to_offset_arrays
 from inlay.staging import new_path
 from tests.conftest import nested
@@ -73,6 +76,100 @@ def test_point_lookups_read_few_files(store, spark):
     assert len(store.files_of([30_000])) == 2 and not store.files_of([50_000])
 
 
+@pytest.fixture
+def small_folds(monkeypatch):
+    monkeypatch.setattr(map_log, "FOLD", 3)
+    monkeypatch.setattr(map_log, "FULL", 4)
+
+
+def test_many_appends_fold_their_counters(store, spark, map_of, small_folds):
+    expected = {}
+    for n in range(11):
+        part = {0: [(n, [n])], n % 3 + 1: [(n, [n]), (n + 1, [])], 2**21 * n + 7: [(0, [9])]}
+        store.append(map_of(part), ["ordinal"], f"w{n}")
+        for index, rows in part.items():
+            expected.setdefault(index, []).extend(rows)
+    assert nested(store.rows()) == expected
+    state = store.log.state()
+    assert len(state.folders) == 11 and len(state.runs) <= 2 * 3
+    assert any(r.level > 1 for r in state.runs)
+    assert {r["index"]: r.held for r in store.log.counts(state.runs).collect()} == {i: len(r) for i, r in expected.items()}
+    gone = store.log.vacuum()
+    assert gone and nested(store.rows()) == expected
+    store.append(map_of({0: [(50, [1])]}), ["ordinal"], "w0")  # counted in a folded run
+    first = {0: [(n, [n]) for n in range(1, 11)] + [(50, [1])]}
+    got = nested(store.rows())
+    assert got[0] == first[0] and 7 not in got
+    store.append(map_of({1: [(60, [1])]}), ["ordinal"], "last")
+    assert nested(store.rows())[1] == expected[1][2:] + [(60, [1])]  # w0 held the first two
+
+
+def test_an_append_reads_what_it_touches(store, spark, map_of):
+    far = 5 * map_log.BUCKET
+    for n in range(4):
+        store.append(map_of({far + i: [(n, [n])] for i in range(300)}), ["ordinal"], f"far{n}")
+        store.append(map_of({1: [(n, [n])], 2: [(n, [n])]}), ["ordinal"], f"near{n}")
+    state = store.log.state()
+    near = store.log.counts(state.runs, [0])
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    filters = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)
+    assert len(filters) == len(state.runs) == 8 and all("bucket" in f for f in filters)
+    assert near.count() == 2 and store.log.counts(state.runs).count() == 302
+    runs = [spark.read.schema(map_log.COUNTS).parquet(f"{store.path}.counts/{r.name}") for r in state.runs]
+    assert [r.where("bucket = 0").count() for r in runs] == [0, 2] * 4  # two rows a run for the next append
+
+
+@pytest.mark.parametrize("broken", ["write_run", "commit"])
+def test_a_write_that_dies_leaves_the_map_as_it_was(store, map_of, monkeypatch, broken):
+    store.append(map_of(BASE), ["ordinal"], "base")
+
+    def die(*_, **__):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(map_log.MapLog, broken, die)
+        with pytest.raises(OSError):
+            store.append(map_of(MORE), ["ordinal"], "more")
+        assert nested(store.rows()) == BASE
+        if broken == "commit":
+            with pytest.raises(OSError):
+                store.overwrite(map_of(MORE))
+            assert nested(store.rows()) == BASE
+    other = {1: [(90, [4])]}
+    store.append(map_of(other), ["ordinal"], "other")
+    store.append(map_of(MORE), ["ordinal"], "more")
+    assert nested(store.rows()) == {**BASE, 1: BASE[1] + other[1] + MORE[1], 4: MORE[4]}
+
+
+def test_two_appends_at_once(store, spark, map_of, monkeypatch):
+    store.append(map_of(BASE), ["ordinal"], "base")
+    other = IndexMap(spark, store.path)
+    commit, late = map_log.MapLog.commit, [True]
+
+    def overtaken(self, *args, **kwargs):
+        if late:
+            late.clear()
+            other.append(map_of({1: [(90, [4])], 5: [(0, [])]}), ["ordinal"], "other")
+        return commit(self, *args, **kwargs)
+
+    monkeypatch.setattr(map_log.MapLog, "commit", overtaken)
+    store.append(map_of(MORE), ["ordinal"], "more")
+    assert nested(store.rows()) == {**BASE, 1: BASE[1] + [(90, [4])] + MORE[1], 4: MORE[4], 5: [(0, [])]}
+    late.append(True)
+    store.overwrite(map_of(MORE))
+    assert nested(store.rows()) == MORE
+
+
+def test_a_map_without_records(store, map_of):
+    plain = map_of(BASE).repartition(2)
+    plain.write.parquet(f"{store.path}/write_id=load")
+    assert nested(store.rows()) == BASE
+    store.append(map_of(MORE), ["ordinal"], "more")
+    assert nested(store.rows()) == {**BASE, 1: BASE[1] + MORE[1], 4: MORE[4]}
+    store.append(map_of({}), ["ordinal"], "nothing")
+    assert store.rows().count() == 8
+
+
 EDGES = {
     "empty list": {6: [(4, [])], 8: [(1, [3]), (2, []), (30, [5, 4])]},
     "long": {3: [(9, [i * 7 % 64_000 for i in range(23_000)])]},
