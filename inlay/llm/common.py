@@ -46,6 +46,15 @@ def ranked(df: DataFrame, group: list[str], order: list[str], rank: str, parts:
     return counted.drop("_part", "_before", "_at", "_crc")
 
 
+def forget(stage: DataFrame) -> None:
+    """Delete a stage table that nothing will read again."""
+    spark = stage.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in stage.inputFiles()}:
+        if f"/inlay/{spark.sparkContext.applicationId}/" in folder:
+            at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps.
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from inlay.llm import queries
-from inlay.llm.common import materialize, partitions, release, table
+from inlay.llm.common import forget, materialize, partitions, release, table
 from inlay.llm.words import blocks, split
 
 CLASS_BITS = 12
@@ -43,7 +43,8 @@ RUN = 512
 PRIOR = 20.0  # tokens of the class frequencies that every state is given
 STAY = 0.9
 SEED = 11
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 22
+PIECE = 1 << 17  # tokens of a block that are looked at together
 PACKED = "block bigint, doc_ids array<bigint>, held array<boolean>, ends array<int>, words binary, hashes binary, kinds binary, counts binary"
 CODED = "doc_ids array<bigint>, held array<boolean>, ends array<int>, classes binary, known array<bigint>, base array<double>, inside array<double>, block bigint"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -59,6 +60,16 @@ def from_planes(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def halves(counts: np.ndarray) -> bytes:
+    """Expected counts as the upper halves of 32-bit floats, rounded: eight binary digits each."""
+    bits = np.ascontiguousarray(counts, "<f4").ravel().view("<u4")
+    return planes(((bits + np.uint32(0x7FFF) + ((bits >> np.uint32(16)) & np.uint32(1))) >> np.uint32(16)).astype("<u2"))
+
+
+def from_halves(raw: bytes) -> np.ndarray:
+    return (from_planes(raw, "<u2").astype("<u4") << np.uint32(16)).view("<f4")
+
+
 def packed(docs: DataFrame, held: Column) -> DataFrame:
     """Blocks of documents as local word numbers, with the distinct words and their training counts."""
 
@@ -276,6 +287,17 @@ def expected(x: np.ndarray, begin: np.ndarray, end: np.ndarray, fresh: np.ndarra
     return [head[is_new].sum(axis=0), head[~is_new].sum(axis=0), moves * m.moves, counts, np.array([np.log(scale).sum()])]
 
 
+def expected_of_all(x: np.ndarray, begin: np.ndarray, end: np.ndarray, fresh: np.ndarray, m: Model) -> list[np.ndarray]:
+    """:func:`expected` of any number of runs, some ``PIECE`` tokens at a time."""
+    before = np.cumsum(end - begin) - (end - begin)
+    cuts = np.append(np.flatnonzero(np.diff(before // PIECE, prepend=-1)), len(begin)) if len(begin) else np.zeros(2, int)
+    sums = None
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        own = expected(x, begin[a:b], end[a:b], fresh[a:b], m)
+        sums = own if sums is None else [s + o for s, o in zip(sums, own)]
+    return sums
+
+
 def runs_of(ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Begin, end and text of every run of at most ``length`` tokens, and whether it begins its text."""
     begins = np.append(0, ends[:-1])
@@ -301,7 +323,7 @@ def baum_welch(rows: DataFrame, m: Model, total: Totals) -> Model:
                 begin, end, text, fresh = runs_of(ends, RUN)
                 train = ~held[text]
                 if train.any():
-                    own = expected(x, begin[train], end[train], fresh[train], model)
+                    own = expected_of_all(x, begin[train], end[train], fresh[train], model)
                     sums = own if sums is None else [a + b for a, b in zip(sums, own)]
         if sums is not None:
             flat = np.concatenate([s.ravel() for s in sums])
@@ -424,7 +446,7 @@ class WordModel:
 
 
 def emissions(found: list[dict] | None, m: WordModel) -> np.ndarray:
-    parts = [from_planes(f["payload"], "<f4") for f in sorted(found or [], key=lambda f: f["owner"])]
+    parts = [from_halves(f["payload"]) for f in sorted(found or [], key=lambda f: f["owner"])]
     return m.emits(np.concatenate([np.zeros(0, "<f4"), *parts]).reshape(-1, len(m.start)).astype(float))
 
 
@@ -441,8 +463,10 @@ def word_lists(counted: DataFrame) -> DataFrame:
 def word_pass(rows: DataFrame, m: Model | WordModel, owners: int) -> DataFrame:
     """``(block, owner, payload)``: expected counts per state of each block's words, over all training texts.
 
-    ``rows`` are packed blocks, with ``found`` of the pass before for a :class:`WordModel`.  The row
-    whose block is null has the sums of starts, later starts, transitions, ends and tokens.
+    ``rows`` are packed blocks, with ``found`` of the pass before for a :class:`WordModel`.  Counts
+    travel with eight binary digits.  Of the rows whose block is null, that of owner -1 has the sums of
+    starts, later starts, transitions and ends, the others the sums of their counts as given back, so
+    that emissions of a state sum to one.
     """
     shared = rows.sparkSession.sparkContext.broadcast(m)
     states = len(m.start)
@@ -462,8 +486,8 @@ def word_pass(rows: DataFrame, m: Model | WordModel, owners: int) -> DataFrame:
                 begin, end, text, fresh = runs_of(stops, RUN)
                 some = ~np.array(held, bool)[text]
                 local = Model(model.start, model.later, model.moves, table)
-                start, later, moves, counts, _ = expected(x, begin[some], end[some], fresh[some], local)
-                stats = np.concatenate([start, later, moves.ravel(), counts[-1], counts.sum(axis=0)])
+                start, later, moves, counts, _ = expected_of_all(x, begin[some], end[some], fresh[some], local)
+                stats = np.concatenate([start, later, moves.ravel(), counts[-1]])
                 sums = stats if sums is None else sums + stats
                 owner = ((own >> np.uint64(64 - CLASS_BITS)).astype(np.int64) * owners) >> CLASS_BITS
                 at = np.searchsorted(owner, np.arange(owners + 1))
@@ -472,7 +496,7 @@ def word_pass(rows: DataFrame, m: Model | WordModel, owners: int) -> DataFrame:
                     there,
                     [block] * len(there),
                     [own[at[o] : at[o + 1]].tobytes() for o in there],
-                    [planes(counts[at[o] : at[o + 1]].astype("<f4").ravel()) for o in there],
+                    [halves(counts[at[o] : at[o + 1]]) for o in there],
                 )
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names)
         if sums is not None:
@@ -481,17 +505,19 @@ def word_pass(rows: DataFrame, m: Model | WordModel, owners: int) -> DataFrame:
 
     def answer(owner: int, rows: list[tuple]) -> pa.RecordBatch:
         if owner < 0:
-            payload = [np.sum([np.frombuffer(r[2]) for r in rows], axis=0).tobytes()]
-            rows = rows[:1]
+            names, payload = [None], [np.sum([np.frombuffer(r[2]) for r in rows], axis=0).tobytes()]
         else:
             parts = [np.frombuffer(r[1], np.uint64) for r in rows]
             own, place = np.unique(np.concatenate(parts), return_inverse=True)
-            each = np.concatenate([from_planes(r[2], "<f4").reshape(-1, states) for r in rows])
-            total = np.stack([np.bincount(place, each[:, k], len(own)) for k in range(states)], axis=1).astype("<f4")
+            each = np.concatenate([from_halves(r[2]).reshape(-1, states) for r in rows])
+            total = np.stack([np.bincount(place, each[:, k], len(own)) for k in range(states)], axis=1)
+            total = from_halves(halves(total)).reshape(-1, states)
             stops = np.cumsum([0] + [len(p) for p in parts])
-            payload = [planes(total[place[a:b]].ravel()) for a, b in zip(stops[:-1], stops[1:])]
+            names = [*(r[0] for r in rows), None]
+            payload = [halves(total[place[a:b]]) for a, b in zip(stops[:-1], stops[1:])]
+            payload.append(total.sum(axis=0, dtype=float).tobytes())
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([owner] * len(rows), pa.int32()), pa.array(payload, pa.binary())],
+            [pa.array(names, pa.int64()), pa.array([owner] * len(names), pa.int32()), pa.array(payload, pa.binary())],
             ["block", "owner", "payload"],
         )
 
@@ -517,13 +543,16 @@ def train_words(docs: DataFrame, held: Column, states: int = STATES, passes: int
     """Blocks of ``docs(doc_id, text)`` with the expected counts of their words, their model, and totals."""
     spark = docs.sparkSession
     rows, blocks_, model, total = train_blocks(docs, held, states, passes, seed)
-    owners, met = min(CLASSES, max(1, partitions(spark))), rows
+    owners, met, counted = min(CLASSES, max(1, partitions(spark))), rows, None
     for _ in range(max(1, word_passes)):
-        counted = materialize(word_pass(met, model, owners), "emitted")
+        before, counted = counted, materialize(word_pass(met, model, owners), "emitted")
+        if before is not None:
+            forget(before)
         release(spark)
-        sums = [np.frombuffer(r.payload) for r in counted.where("block is null").collect()]
-        flat = sums[0] if sums else np.zeros(states * (states + 4))
-        start, later, moves, ends, mass = np.split(flat, np.cumsum([states, states, states * states, states]))
+        sums = {r.owner: np.frombuffer(r.payload) for r in counted.where("block is null").orderBy("owner").collect()}
+        flat = sums.pop(-1, np.zeros(states * (states + 3)))
+        start, later, moves, ends = np.split(flat, np.cumsum([states, states, states * states]))
+        mass = ends + sum(sums.values(), np.zeros(states))
         share = lambda v: (v + 1e-3) / (v + 1e-3).sum(axis=-1, keepdims=True)
         model = WordModel(share(start), share(later), share(moves.reshape(states, states)), mass, ends, total.distinct)
         met = rows.join(word_lists(counted), "block", "left")
@@ -564,6 +593,7 @@ def train_blocks(docs: DataFrame, held: Column, states: int, passes: int, seed:
     release(docs.sparkSession)
     total = totals(counted, texts)
     blocks_ = materialize(coded(rows, counted, total), "coded")
+    forget(counted)
     release(docs.sparkSession)
     model = first_model(total, states, seed)
     for _ in range(passes):

@@ -84,6 +84,42 @@ def test_passes_raise_the_likelihood(spark):
     assert logs[0] < logs[1] < logs[2]
 
 
+def test_expected_counts_equal_those_of_all_paths(monkeypatch):
+    m = small_model(2, seed=6)
+    sizes = [1, 4, 3, 5, 2]
+    x, ends = np.random.default_rng(8).integers(0, 4, sum(sizes)), np.cumsum(sizes)
+    begin, end, _, fresh = op.runs_of(ends, 3)
+    want = [np.zeros(2), np.zeros(2), np.zeros((2, 2)), np.zeros((op.CLASSES + 1, 2)), 0.0]
+    for a, b, new in zip(begin, end, fresh):
+        weight = {}
+        for path in itertools.product(range(2), repeat=int(b - a)):
+            p = (m.start if new else m.later)[path[0]]
+            for i, state in enumerate(path):
+                p *= m.emits[x[a + i], state] * (m.moves[path[i - 1], state] if i else 1)
+            weight[path] = p
+        whole = sum(weight.values())
+        for path, p in weight.items():
+            want[0 if new else 1][path[0]] += p / whole
+            for i, state in enumerate(path):
+                want[3][x[a + i], state] += p / whole
+                if i:
+                    want[2][path[i - 1], state] += p / whole
+        want[4] += math.log(whole)
+    for piece in (1 << 17, 4):
+        monkeypatch.setattr(op, "PIECE", piece)
+        got = op.expected_of_all(x, begin, end, fresh, m)
+        assert all(np.allclose(g, w, rtol=1e-10) for g, w in zip(got, want))
+    none = op.expected_of_all(x, begin[:0], end[:0], fresh[:0], m)
+    assert none[3].shape == want[3].shape and not none[3].any()
+
+
+def test_halves_round_to_eight_digits():
+    values = np.random.default_rng(2).gamma(0.3, 1e4, 4000)
+    got = op.from_halves(op.halves(values))
+    assert (np.abs(got - values) <= values / 256).all() and op.halves(got) == op.halves(values)
+    assert not op.from_halves(op.halves(np.zeros(3))).any()
+
+
 def test_empty_table_and_all_held_out(spark):
     from pyspark.sql import functions as F
 
