@@ -6,7 +6,7 @@ import gc
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from inlay.staging import materialize, new_path  # noqa: F401
+from inlay.staging import new_path
 
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -14,6 +14,13 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
+    """``inlay.staging.materialize`` with a choice of compression."""
+    path = new_path(df.sparkSession, label)
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores before it until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -43,20 +43,29 @@ RUN = 512
 PRIOR = 20.0  # tokens of the class frequencies that every state is given
 STAY = 0.9
 SEED = 11
-BLOCK_BYTES = 1 << 22
-PIECE = 1 << 17  # tokens of a block that are looked at together
+BLOCK_BYTES = 1 << 24
+PIECE = 1 << 18  # tokens of a block that are looked at together
 PACKED = "block bigint, doc_ids array<bigint>, held array<boolean>, ends array<int>, words binary, hashes binary, kinds binary, counts binary"
 CODED = "doc_ids array<bigint>, held array<boolean>, ends array<int>, classes binary, known array<bigint>, base array<double>, inside array<double>, block bigint"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
+def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The values of one row at a time: a row is a block and may take many megabytes."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield tuple(c[i].as_py() for c in batch.columns)
+
+
 def planes(values: np.ndarray) -> bytes:
-    """The bytes of numbers, first all lowest ones: those of small numbers are runs of zeros that pack well."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    """Numbers as their bytes, first all lowest ones, packed; the first eight bytes tell the size before."""
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
 
 
-def from_planes(raw: bytes, kind: str) -> np.ndarray:
+def from_planes(packed: bytes, kind: str) -> np.ndarray:
     size = np.dtype(kind).itemsize
+    raw = pa.Codec("zstd").decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True)
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
@@ -106,19 +115,18 @@ def corpus_counts(rows: DataFrame, owners: int) -> DataFrame:
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, hashes, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                hashes, counts = np.frombuffer(hashes, np.uint64), from_planes(counts, "<i8")
-                owner = ((hashes >> np.uint64(64 - CLASS_BITS)).astype(np.int64) * owners) >> CLASS_BITS
-                at = np.searchsorted(owner, np.arange(owners + 1))
-                some = np.flatnonzero(np.diff(at))
-                arrays = [
-                    pa.array(some, pa.int32()),
-                    pa.array([block] * len(some), pa.int64()),
-                    pa.array([hashes[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()),
-                    pa.array([planes(counts[at[i] : at[i + 1]]) for i in some], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, ["owner", "block", "hashes", "counts"])
+        for block, hashes, counts in each_row(batches):
+            hashes, counts = np.frombuffer(hashes, np.uint64), from_planes(counts, "<i8")
+            owner = ((hashes >> np.uint64(64 - CLASS_BITS)).astype(np.int64) * owners) >> CLASS_BITS
+            at = np.searchsorted(owner, np.arange(owners + 1))
+            some = np.flatnonzero(np.diff(at))
+            arrays = [
+                pa.array(some, pa.int32()),
+                pa.array([block] * len(some), pa.int64()),
+                pa.array([hashes[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()),
+                pa.array([planes(counts[at[i] : at[i + 1]]) for i in some], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, ["owner", "block", "hashes", "counts"])
 
     def answer(owner: int, rows: list[tuple]) -> pa.RecordBatch:
         parts = [np.frombuffer(r[1], np.uint64) for r in rows]
@@ -475,30 +483,29 @@ def word_pass(rows: DataFrame, m: Model | WordModel, owners: int) -> DataFrame:
         model, sums = shared.value, None
         names = ["owner", "block", "hashes", "counts"]
         kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-        for batch in batches:
-            for block, held, ends, words, hashes, last in zip(*(c.to_pylist() for c in batch.columns)):
-                own = np.frombuffer(hashes, np.uint64)
-                if isinstance(model, Model):
-                    table = model.emits[np.append(from_planes(last, "<i2").astype(np.int64), END)]
-                else:
-                    table = emissions(last, model)
-                x, stops = with_ends(words, ends, len(own))
-                begin, end, text, fresh = runs_of(stops, RUN)
-                some = ~np.array(held, bool)[text]
-                local = Model(model.start, model.later, model.moves, table)
-                start, later, moves, counts, _ = expected_of_all(x, begin[some], end[some], fresh[some], local)
-                stats = np.concatenate([start, later, moves.ravel(), counts[-1]])
-                sums = stats if sums is None else sums + stats
-                owner = ((own >> np.uint64(64 - CLASS_BITS)).astype(np.int64) * owners) >> CLASS_BITS
-                at = np.searchsorted(owner, np.arange(owners + 1))
-                there = np.flatnonzero(np.diff(at))
-                values = (
-                    there,
-                    [block] * len(there),
-                    [own[at[o] : at[o + 1]].tobytes() for o in there],
-                    [halves(counts[at[o] : at[o + 1]]) for o in there],
-                )
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names)
+        for block, held, ends, words, hashes, last in each_row(batches):
+            own = np.frombuffer(hashes, np.uint64)
+            if isinstance(model, Model):
+                table = model.emits[np.append(from_planes(last, "<i2").astype(np.int64), END)]
+            else:
+                table = emissions(last, model)
+            x, stops = with_ends(words, ends, len(own))
+            begin, end, text, fresh = runs_of(stops, RUN)
+            some = ~np.array(held, bool)[text]
+            local = Model(model.start, model.later, model.moves, table)
+            start, later, moves, counts, _ = expected_of_all(x, begin[some], end[some], fresh[some], local)
+            stats = np.concatenate([start, later, moves.ravel(), counts[-1]])
+            sums = stats if sums is None else sums + stats
+            owner = ((own >> np.uint64(64 - CLASS_BITS)).astype(np.int64) * owners) >> CLASS_BITS
+            at = np.searchsorted(owner, np.arange(owners + 1))
+            there = np.flatnonzero(np.diff(at))
+            values = (
+                there,
+                [block] * len(there),
+                [own[at[o] : at[o + 1]].tobytes() for o in there],
+                [halves(counts[at[o] : at[o + 1]]) for o in there],
+            )
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names)
         if sums is not None:
             values = ([-1], [None], [b""], [sums.tobytes()])
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names)
@@ -542,21 +549,23 @@ def word_pass(rows: DataFrame, m: Model | WordModel, owners: int) -> DataFrame:
 def train_words(docs: DataFrame, held: Column, states: int = STATES, passes: int = PASSES, seed: int = SEED, word_passes: int = WORD_PASSES):
     """Blocks of ``docs(doc_id, text)`` with the expected counts of their words, their model, and totals."""
     spark = docs.sparkSession
-    rows, blocks_, model, total = train_blocks(docs, held, states, passes, seed)
+    rows, coded_, model, total = train_blocks(docs, held, states, passes, seed)
+    blocks_ = materialize(coded_.select("block", "known", "base"), "known")
+    forget(coded_)  # classes are of no more use
     owners, met, counted = min(CLASSES, max(1, partitions(spark))), rows, None
     for _ in range(max(1, word_passes)):
         before, counted = counted, materialize(word_pass(met, model, owners), "emitted")
         if before is not None:
             forget(before)
-        release(spark)
         sums = {r.owner: np.frombuffer(r.payload) for r in counted.where("block is null").orderBy("owner").collect()}
+        release(spark)
         flat = sums.pop(-1, np.zeros(states * (states + 3)))
         start, later, moves, ends = np.split(flat, np.cumsum([states, states, states * states]))
         mass = ends + sum(sums.values(), np.zeros(states))
         share = lambda v: (v + 1e-3) / (v + 1e-3).sum(axis=-1, keepdims=True)
         model = WordModel(share(start), share(later), share(moves.reshape(states, states)), mass, ends, total.distinct)
         met = rows.join(word_lists(counted), "block", "left")
-    return met.join(blocks_.select("block", "known", "base"), "block"), model, total
+    return met.join(blocks_, "block"), model, total
 
 
 def scored_words(rows: DataFrame, m: WordModel, total: Totals) -> DataFrame:
@@ -564,17 +573,16 @@ def scored_words(rows: DataFrame, m: WordModel, total: Totals) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, tokens = shared.value
-        for batch in batches:
-            for ids, held, ends, words, found, known, base in zip(*(c.to_pylist() for c in batch.columns)):
-                table = emissions(found, model)
-                x, at = with_ends(words, ends, len(table) - 1)
-                logs = log_likelihoods(x, at, Model(model.start, model.later, model.moves, table))
-                columns = [
-                    pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(np.diff(at, prepend=0)),
-                    pa.array(known, pa.int64()), pa.array(np.full(len(at), tokens)), pa.array(base, pa.float64()),
-                    pa.array(logs / np.log(10)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, [f"c{k}" for k in range(7)])
+        for ids, held, ends, words, found, known, base in each_row(batches):
+            table = emissions(found, model)
+            x, at = with_ends(words, ends, len(table) - 1)
+            logs = log_likelihoods(x, at, Model(model.start, model.later, model.moves, table))
+            columns = [
+                pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(np.diff(at, prepend=0)),
+                pa.array(known, pa.int64()), pa.array(np.full(len(at), tokens)), pa.array(base, pa.float64()),
+                pa.array(logs / np.log(10)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [f"c{k}" for k in range(7)])
 
     return rows.select("doc_ids", "held", "ends", "words", "found", "known", "base").mapInArrow(run, SCORES)
 
@@ -586,7 +594,7 @@ def train(docs: DataFrame, held: Column, states: int = STATES, passes: int = PAS
 
 def train_blocks(docs: DataFrame, held: Column, states: int, passes: int, seed: int):
     """Packed blocks, and what :func:`train` gives."""
-    rows = materialize(packed(docs, held), "packed")
+    rows = materialize(packed(docs, held), "packed", "zstd")
     texts = docs.where(~held).count()
     owners = min(CLASSES, max(1, partitions(docs.sparkSession)))
     counted = materialize(corpus_counts(rows, owners), "counts")
