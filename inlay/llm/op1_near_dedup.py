@@ -12,7 +12,10 @@ components, and what a leader left in another component is tested against the me
 is not joined to.  So links may stay untested only inside one component.
 
 A text without words has an empty set and is linked with nothing, like rows whose id is
-null.  Rows of equal id stand or fall together.  Other columns are not read.
+null.  Rows of one id and different texts are documents of their own, told apart by hashes of
+the text; rows of equal id and text stand or fall together.  Of documents that tie for the
+smallest id of a component all are kept.  Very long texts are read whole, one in a block of its own.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from inlay.llm import queries
-from inlay.llm.common import materialize, table
+from inlay.llm.common import free_name, materialize, table
 from inlay.llm.components import components
 from inlay.llm.words import Block, blocks, mix, rolling, split
 
@@ -37,7 +40,8 @@ ROUNDS = 2  # leader rounds before the rest of a bucket is tested
 BUCKET_ROWS = 50_000  # larger buckets are tested in several tasks
 HOME_ROWS = 256  # documents that are compared as one block
 DOUBT = 18.0  # log-likelihood by which a pair must miss the threshold to be discarded
-SKETCHES = "doc_id bigint, n_shingles bigint, digest binary, sketch binary"
+MARKS = ["m0", "m1"]  # tell the texts of one id apart
+SKETCHES = "doc_id bigint, n_shingles bigint, digest binary, sketch binary, m0 bigint, m1 bigint"
 
 _draws = np.random.default_rng(90_001)
 _FACTORS = _draws.integers(0, 1 << 63, REGISTERS, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,6 +76,10 @@ def registers(shingles: np.ndarray) -> np.ndarray:
         return np.clip(np.floor(1.0 - np.log(minima) / np.log(BASE)), 0, TOP).astype(np.uint16)
 
 
+def marks_of(text: str = "text") -> list[Column]:
+    return [F.xxhash64(text).alias("m0"), F.xxhash64(text, F.lit(1)).alias("m1")]
+
+
 def sketched(docs: DataFrame, width: int) -> DataFrame:
     """``SKETCHES`` of ``docs(doc_id, text)``; sets of equal digest are equal."""
 
@@ -84,9 +92,10 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
                     digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                     sketches.append(registers(found).tobytes() if len(found) else None)
             arrays = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["a", "b", "c", "d"])
+            columns = [batch.column(0), *arrays, batch.column(2), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "c", "d", "e", "f"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SKETCHES)
+    return docs.select(F.col("doc_id").cast("bigint"), "text", *marks_of()).mapInArrow(run, SKETCHES)
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
@@ -297,12 +306,19 @@ def links_between(pairs: DataFrame, homes: DataFrame, bodies: DataFrame, width:
 
 def linked(docs: DataFrame, width: int = 2, similar: int = SIMILAR, rounds: int = ROUNDS) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
+    return marked(docs, width, similar, rounds).drop(*MARKS)
+
+
+def marked(docs: DataFrame, width: int, similar: int, rounds: int = ROUNDS) -> DataFrame:
+    """:func:`linked` with the marks of each row's text."""
     spark = docs.sparkSession
     sketches = materialize(sketched(docs, width), "sketches")
     some = sketches.where("doc_id is not null and n_shingles > 0")
-    # one row per class of equal sets, under its smallest id
-    smallest = F.min_by(F.struct(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch"), "doc_id").alias("c")
-    classes = materialize(some.groupBy("digest").agg(smallest).select("digest", "c.*"), "classes")
+    # one row per class of equal sets, with its smallest id; ids may repeat, so classes are numbered
+    row = F.struct(F.col("doc_id").alias("first"), *MARKS, F.col("n_shingles").alias("n"), "sketch")
+    smallest = F.min_by(row, F.struct("doc_id", *MARKS)).alias("c")
+    classes = some.groupBy("digest").agg(smallest).select("digest", "c.*")
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     # smaller sets can only be similar to equal ones
     least = -(-similar // (100 - similar)) if similar < 100 else 1 << 40
     bands = band_keys(classes.where(F.col("n") >= least))
@@ -310,10 +326,11 @@ def linked(docs: DataFrame, width: int = 2, similar: int = SIMILAR, rounds: int
     buckets = materialize(bands.join(shared.hint("merge"), "band"), "buckets")
     met = buckets.select("rep").distinct()
     members = materialize(classes.join(met, "rep", "left_semi").select("rep", "n", "sketch"), "members")
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("rep"), "text")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("first"), "text", *marks_of())
     # the same join at every size: a corpus' texts move once, those of bucket members are stored
-    bodies = texts.join(met.hint("merge"), "rep", "left_semi").dropDuplicates(["rep"])
-    bodies = materialize(bodies, "bodies")
+    owners = classes.join(met, "rep", "left_semi").select("first", *MARKS, "rep")
+    bodies = texts.join(owners.hint("merge"), ["first", *MARKS]).dropDuplicates(["first", *MARKS])
+    bodies = materialize(bodies.select("rep", "text"), "bodies")
     links = spark.createDataFrame([], "a bigint, b bigint")
     labels = spark.createDataFrame([], "node bigint, label bigint")
     for number in range(rounds + 1):
@@ -336,12 +353,15 @@ def linked(docs: DataFrame, width: int = 2, similar: int = SIMILAR, rounds: int
             found = materialize(links_between(materialize(likely, "likely"), homes, bodies, width, similar), "links")
         links = links.unionByName(found)
         labels = components(links)
-    owner = classes.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    owner = owner.select("digest", F.coalesce("label", "rep").alias("label"))
+    firsts = labels.join(classes.selectExpr("rep node", "first"), "node").groupBy("label").agg(F.min("first").alias("least"))
+    least = labels.join(firsts, "label").selectExpr("node rep", "least")
+    owner = classes.select("digest", "rep", "first").join(least, "rep", "left")
+    owner = owner.select("digest", F.coalesce("least", "first").alias("least"))
     held = F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")
-    out = sketches.select("doc_id", "n_shingles", held).join(owner, "digest", "left")
-    component = F.coalesce("label", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = sketches.select("doc_id", "n_shingles", held, *MARKS).join(owner, "digest", "left")
+    component = F.coalesce("least", "doc_id")
+    kept = F.col("doc_id").eqNullSafe(component).alias("kept")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept, *MARKS)
 
 
 def sizes_agree(x: str, y: str, similar: int):
@@ -350,8 +370,10 @@ def sizes_agree(x: str, y: str, similar: int):
 
 def keep_first(docs: DataFrame, width: int = 5, similar: int = SIMILAR) -> DataFrame:
     """``docs`` without all but the smallest id of each component, with all columns."""
-    gone = linked(docs, width, similar).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    own = [free_name(docs, m) for m in MARKS]
+    gone = marked(docs, width, similar).where(~F.col("kept")).select("doc_id", *[F.col(m).alias(o) for m, o in zip(MARKS, own)])
+    told = docs.withColumns(dict(zip(own, marks_of())))
+    return told.join(gone.distinct(), ["doc_id", *own], "left_anti").select(*docs.columns)
 
 
 @queries.query("op1_near_dedup")

@@ -33,6 +33,20 @@ def test_null_ids_and_empty_table(spark):
     assert op.keep_first(frame(spark, rows)).count() == 3
 
 
+def test_one_id_with_several_texts(spark):
+    draws = np.random.default_rng(12)
+    a, b, c = ([f"w{w}" for w in draws.integers(0, 10_000, 60)] for _ in range(3))
+    near = lambda words, n: " ".join([*words[:-1], f"end{n}"])
+    rows = [(5, near(a, 0)), (5, near(b, 0)), (5, near(b, 0)), (2, near(a, 1)), (7, near(b, 1)), (5, near(c, 0)), (None, near(c, 0))]
+    df = spark.createDataFrame([(d, t, 1.5) for d, t in rows], "doc_id bigint, text string, M0 double").repartition(3)
+    got = sorted((str(r.doc_id), r.component_id, r.kept) for r in op.linked(df).collect())
+    assert got == [("2", 2, True), ("5", 2, False), ("5", 5, True), ("5", 5, True), ("5", 5, True), ("7", 5, False), ("None", None, True)]
+    kept = op.keep_first(df)
+    assert kept.columns == df.columns
+    want = [(2, near(a, 1)), (5, near(b, 0)), (5, near(b, 0)), (5, near(c, 0)), (None, near(c, 0))]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, want))
+
+
 def test_registers_estimate_the_similarity():
     draws = np.random.default_rng(3)
     for shared in (0.3, 0.8, 0.9):
