@@ -82,27 +82,37 @@ def from_halves(raw: bytes) -> np.ndarray:
 def packed(docs: DataFrame, held: Column) -> DataFrame:
     """Blocks of documents as local word numbers, with the distinct words and their training counts."""
 
+    def row_of(batch: pa.RecordBatch, first: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        sizes = np.concatenate([n for _, n in parts])
+        own, local = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+        held_out = batch.column(2).slice(first, len(sizes)).to_numpy(zero_copy_only=False).astype(bool)
+        counts = np.bincount(local[np.repeat(~held_out, sizes)], minlength=len(own))
+        row = {
+            "block": [uuid.uuid4().int >> 65],
+            "doc_ids": [batch.column(0).slice(first, len(sizes)).to_pylist()],
+            "held": [held_out.tolist()],
+            "ends": [np.cumsum(sizes).astype(np.int32)],
+            "words": [planes(local.astype("<i4"))],
+            "hashes": [own.tobytes()],
+            "kinds": [planes((own >> np.uint64(64 - CLASS_BITS)).astype("<i2"))],
+            "counts": [planes(counts.astype("<i8"))],
+        }
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.binary()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds)], list(row))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = batch.column(0), batch.column(2)
-            for block in blocks(batch.column(1), BLOCK_BYTES):
+            first, size, parts = 0, 0, []
+            for block in blocks(batch.column(1)):  # texts become hashes a megabyte at a time
                 words = split(block)
-                own, local = np.unique(words.hashes, return_inverse=True)
-                held_out = out.slice(block.first, len(block)).to_numpy(zero_copy_only=False).astype(bool)
-                train = np.repeat(~held_out, np.diff(words.at))
-                counts = np.bincount(local[train], minlength=len(own))
-                row = {
-                    "block": [uuid.uuid4().int >> 65],
-                    "doc_ids": [ids.slice(block.first, len(block)).to_pylist()],
-                    "held": [held_out.tolist()],
-                    "ends": [words.at[1:].astype(np.int32)],
-                    "words": [planes(local.astype("<i4"))],
-                    "hashes": [own.tobytes()],
-                    "kinds": [planes((own >> np.uint64(64 - CLASS_BITS)).astype("<i2"))],
-                    "counts": [planes(counts.astype("<i8"))],
-                }
-                kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.binary()] * 4)
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds)], list(row))
+                width = int(block.at[-1])
+                if parts and size + width > BLOCK_BYTES:
+                    yield row_of(batch, first, parts)
+                    first, size, parts = block.first, 0, []
+                parts.append((words.hashes.copy(), np.diff(words.at)))
+                size += width
+            if parts:
+                yield row_of(batch, first, parts)
 
     return docs.select(F.col("doc_id").cast("bigint"), "text", held.alias("held")).mapInArrow(run, PACKED)
 
