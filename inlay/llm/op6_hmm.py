@@ -105,7 +105,7 @@ def packed(docs: DataFrame, held: Column) -> DataFrame:
             first, size, parts = 0, 0, []
             for block in blocks(batch.column(1)):  # texts become hashes a megabyte at a time
                 words = split(block)
-                width = int(block.at[-1])
+                width = int(block.starts[-1])
                 if parts and size + width > BLOCK_BYTES:
                     yield row_of(batch, first, parts)
                     first, size, parts = block.first, 0, []
