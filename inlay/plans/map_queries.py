@@ -513,6 +513,14 @@ def src_metric_files(t: Tables) -> DataFrame:
     return files.select("task_name", parsed.alias("m")).select("task_name", "m.*")
 
 
+def shard_folder(t: Tables) -> str:
+    rest = F.array_repeat(F.lit(EOS), LENGTH - F.size("tokens"))
+    full = packed(t).withColumn("tokens", F.concat("tokens", rest))
+    path = new_path(t.spark, "shards")
+    token_shards.write_shards(full, path, 16)
+    return path
+
+
 @query(
     "src_token_shards",
     with_views(
@@ -524,9 +532,21 @@ def src_metric_files(t: Tables) -> DataFrame:
 )
 def src_token_shards(t: Tables) -> DataFrame:
     """Packed documents (last sequence filled up with EOS) written as binary shards and scanned back."""
-    rest = F.array_repeat(F.lit(EOS), LENGTH - F.size("tokens"))
-    full = packed(t).withColumn("tokens", F.concat("tokens", rest))
-    path = new_path(t.spark, "shards")
-    token_shards.write_shards(full, path, 16)
-    rows = token_shards.read_shards(t.spark, path, LENGTH)
+    rows = token_shards.read_shards(t.spark, shard_folder(t), LENGTH)
+    return rows.withColumn("tokens", joined("tokens"))
+
+
+@query(
+    "src_shard_ranges",
+    with_views(
+        "select index//16 shard_id, index%16 local_index, index instance_id, array_to_string(tokens, ',') tokens from"
+        f" (select index, list_concat(tokens, list_resize([]::INTEGER[], {LENGTH}-len(tokens), {EOS})) tokens from packed)"
+        " where index in (3, 4, 40) or index >= 64",
+        "v_doc_tokens",
+        extra=PACKED,
+    ),
+)
+def src_shard_ranges(t: Tables) -> DataFrame:
+    """A few instances and an open end, of which only the bytes are read."""
+    rows = token_shards.read_shards(t.spark, shard_folder(t), LENGTH, instances=[3, 4, 40, (64, 1 << 62)])
     return rows.withColumn("tokens", joined("tokens"))

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +67,89 @@ def test_token_shards(spark, dtype, monkeypatch):
     assert list(raw[:8]) == tokens[0]
 
 
+def shard_folder(spark, n, per_shard, dtype="uint32"):
+    path = new_path(spark, "shards")
+    rows = spark.range(n).select(
+        F.col("id").alias("index"), F.expr("transform(sequence(0, 7), j -> int((id * 7 + j) % 60000))").alias("tokens")
+    )
+    token_shards.write_shards(rows, path, per_shard, dtype)
+    return path
+
+
+@pytest.mark.parametrize(
+    "shards, instances, condition",
+    [
+        (None, [3, 4, 5, 57, 99, 100, -1], "instance_id in (3, 4, 5, 57, 99)"),
+        ([4], None, "shard_id = 4"),
+        ([(2, 3), 9], [(25, 95)], "shard_id in (2, 3, 9) and instance_id between 25 and 95"),
+        ([0], [(3, 8), (5, 30), 9], "shard_id = 0 and instance_id >= 3"),
+        ([77], None, "false"),
+        ([], None, "false"),
+        (None, [(9, 3)], "false"),
+    ],
+)
+def test_shards_asked_for(spark, monkeypatch, shards, instances, condition):
+    path = shard_folder(spark, 100, 10)
+    rows = token_shards.read_shards(spark, path, 8)
+    kept = token_shards.read_shards(spark, path, 8, shards=shards, instances=instances)
+    expected = sorted(map(tuple, rows.where(condition).collect()))
+    assert sorted(map(tuple, kept.collect())) == expected
+    monkeypatch.setattr(token_shards, "SPLIT_BYTES", 64)
+    assert sorted(map(tuple, token_shards.read_shards(spark, path, 8, "uint32", shards, instances).collect())) == expected
+    # one frame in several plans keeps its rows
+    assert rows.where("instance_id = 5").unionAll(rows).count() == 101
+
+
+def test_shard_reader_opens_what_is_asked(spark):
+    path = shard_folder(spark, 1000, 100)
+    reader = token_shards.ShardReader({"path": path, "chunk": "8"})
+    assert sum(p.stop - p.start for part in reader.partitions() for p in part.pieces) == 1000
+    reader = token_shards.ShardReader({"path": path, "chunk": "8", "instances": "[[5, 7], [250, 250], [999, 2000]]"})
+    pieces = [[(p.shard, p.start, p.stop) for p in part.pieces] for part in reader.partitions()]
+    assert pieces == [[(0, 5, 8), (2, 50, 51), (9, 99, 100)]]  # one task for three small reads
+
+
+def test_shard_larger_than_a_batch(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        path = shard_folder(spark, 50, 40)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = token_shards.read_shards(spark, path, 8).collect()
+    assert {(r.shard_id, r.instance_id, r.tokens[0]) for r in rows} == {(i // 40, i, i * 7) for i in range(50)}
+
+
+@pytest.mark.parametrize(
+    "rows, problem",
+    [
+        ([(0, [1]), (2, [1])], "a gap or a repeated"),
+        ([(0, [1]), (0, [1])], "a gap or a repeated"),
+        ([(0, [1]), (1, [70000])], "does not fit"),
+        ([(0, [1]), (1, None)], "is null"),
+        ([(0, [1]), (1, [None])], "is null"),
+        ([(0, [1]), (1, [1]), (4, [1])], "is not the last one"),
+    ],
+)
+def test_shards_that_cannot_be_written(spark, rows, problem):
+    path = new_path(spark, "shards")
+    df = spark.createDataFrame(rows, "index bigint, tokens array<int>")
+    with pytest.raises(Exception, match=problem):
+        token_shards.write_shards(df, path, 4, "uint16")
+    assert not list(Path(path.removeprefix("file:")).glob("**/*.bin"))
+
+
+def test_shards_replaced_and_empty(spark):
+    path = shard_folder(spark, 30, 10)
+    more = spark.createDataFrame([(30, [1] * 8)], "index bigint, tokens array<int>")
+    assert [tuple(r) for r in token_shards.write_shards(more, path, 10).collect()] == [(3, 1)]
+    assert token_shards.read_shards(spark, path, 8).count() == 31
+    other = spark.createDataFrame([(0, [2] * 8)], "index bigint, tokens array<int>")
+    token_shards.write_shards(other, path, 10, mode="overwrite")
+    assert [r.tokens for r in token_shards.read_shards(spark, path, 8).collect()] == [[2] * 8]
+    assert token_shards.write_shards(other.limit(0), path, 10, mode="overwrite").count() == 0
+    assert token_shards.read_shards(spark, path, 8).count() == 0
+
+
 def test_shard_lookup(spark):
     shards = spark.createDataFrame([(0, 0, 1), (1, 1, 90), (2, 90, 100)], "shard_id bigint, first bigint, last_excl bigint")
     ids = spark.createDataFrame([(0,), (1,), (89,), (90,), (99,), (-1,), (-100,)], "instance_id bigint")
