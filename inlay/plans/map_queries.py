@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from inlay.functions.tokens import int_div
-from inlay.operators import corpus, index_map, reindex, sampling
+from inlay.operators import corpus, index_map, permutation, reindex, sampling
 from inlay.plans.catalog import joined, query
 from inlay.plans.placement_queries import (
     CHUNK,
@@ -328,6 +328,58 @@ def resolve_instances(t: Tables) -> DataFrame:
     return resolved.withColumn("tokens", joined("tokens"))
 
 
+def permuted_sql(source: str) -> str:
+    """``permuted(seq_idx, instance_id)`` of the numbers in ``source``: turns until a number is below ``n``."""
+    turns = ["x // b r0", "x % b c0"]
+    for k in range(permutation.TURNS):
+        own, other, size = ("r", "c", "a") if k % 2 == 0 else ("c", "r", "b")
+        hashed = f"('0x'||substr(md5(concat_ws(':',{SEED},'turn',{k},{other}{k})),1,15))::BIGINT"
+        turns += [f"({own}{k}+{hashed})%{size} {own}{k + 1}", f"{other}{k} {other}{k + 1}"]
+    turned = ", ".join(turns) + f", r{permutation.TURNS}*b+c{permutation.TURNS} y"
+    cells = (
+        "cells as (select n, a, (n+a-1)//a b from (select n, ceil(sqrt(n))::BIGINT a from (select count(*) n from orders)))"
+    )
+    return (
+        f"{cells}, walked as (select seq_idx, y x, n from (select seq_idx, n, {turned} from (select seq_idx, seq_idx x"
+        f" from {source}), cells) union all select seq_idx, y, n from (select seq_idx, cells.n, {turned} from walked, cells"
+        " where x >= cells.n)), permuted as (select seq_idx, x instance_id from walked where x < n)"
+    )
+
+
+def permuted(t: Tables) -> permutation.Permutation:
+    return permutation.permutation(t.spark, t.table("orders").count(), SEED)
+
+
+@query(
+    "permuted_order",
+    with_views(
+        "select seq_idx, instance_id, seq_idx back from permuted",
+        extra=permuted_sql("(select row_number() over () - 1 seq_idx from orders)"),
+        recursive=True,
+    ),
+)
+def permuted_order(t: Tables) -> DataFrame:
+    """A computed order of all instances, and the way back from an instance to its place."""
+    order = permuted(t)
+    rows = t.spark.range(order.n).select(F.col("id").alias("seq_idx"), order.instance_of(F.col("id")).alias("instance_id"))
+    return rows.withColumn("back", order.sequence_of(F.col("instance_id")))
+
+
+@query(
+    "resolve_permuted",
+    with_views(
+        "select instance_id, index, ordinal, pos, array_to_string(tokens, ',') tokens from imap join permuted on"
+        " seq_idx=index",
+        "v_plan",
+        extra=REINDEX.format(c=LENGTH, src="v_plan") + ", " + permuted_sql("(select distinct index seq_idx from imap)"),
+        recursive=True,
+    ),
+)
+def resolve_permuted(t: Tables) -> DataFrame:
+    resolved = permutation.resolve_permuted(reindex.reindex(t.plan, LENGTH), permuted(t))
+    return resolved.withColumn("tokens", joined("tokens"))
+
+
 SIGNED = (
     "ids as (select l_linenumber, l_partkey, if(l_linenumber%2=0, l_orderkey, l_orderkey-(select count(*) from orders))"
     " instance_id from lineitem)"
