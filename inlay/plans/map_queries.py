@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from inlay.functions.tokens import int_div
+from inlay.geometry import Geometry
 from inlay.operators import corpus, index_map, permutation, reindex, sampling
 from inlay.plans.catalog import joined, query
 from inlay.plans.placement_queries import (
@@ -234,7 +235,13 @@ def csr_decode(t: Tables) -> DataFrame:
 )
 def period_snapshot(t: Tables) -> DataFrame:
     """Plan snapshots per period by two micro-batches, the first of which runs again."""
-    from inlay.streaming.control import read_periods, save_periods
+    from inlay.streaming.control import read_periods
+
+    return read_periods(t.spark, saved_periods(t, None)).select("period", "position", joined("tokens").alias("tokens"))
+
+
+def saved_periods(t: Tables, resolve) -> str:
+    from inlay.streaming.control import save_periods
 
     plan = t.plan.select(
         F.col("position").alias("seq_id"),
@@ -244,8 +251,8 @@ def period_snapshot(t: Tables) -> DataFrame:
     )
     path = new_path(t.spark, "periods")
     for batch_id, share in ((0, 0), (1, 1), (0, 0)):
-        save_periods(plan.where(F.col("period") % 2 == share), path, batch_id)
-    return read_periods(t.spark, path).select("period", "position", joined("tokens").alias("tokens"))
+        save_periods(plan.where(F.col("period") % 2 == share), path, batch_id, resolve)
+    return path
 
 
 # -- corpus ----------------------------------------------------------------------------------
@@ -380,6 +387,35 @@ def resolve_permuted(t: Tables) -> DataFrame:
     return resolved.withColumn("tokens", joined("tokens"))
 
 
+HALVES = ", ".join(
+    REINDEX.format(c=LENGTH, src=f"(select * from v_plan where position//{BATCH * LENGTH * 10}%2={share})")
+    .replace("pieces", f"p{share}")
+    .replace("imap", f"m{share}")
+    for share in (0, 1)
+)
+
+
+@query(
+    "period_snapshot_resolved",
+    with_views(
+        f"select index//{BATCH * 10} as period, instance_id, index, ordinal, pos, array_to_string(tokens, ',') tokens from"
+        " halves join permuted on seq_idx=index",
+        "v_plan",
+        extra=HALVES
+        + ", halves as (select index, ordinal, pos, tokens from m0 union all select index, ordinal, pos, tokens from m1), "
+        + permuted_sql("(select distinct index seq_idx from halves)"),
+        recursive=True,
+    ),
+)
+def period_snapshot_resolved(t: Tables) -> DataFrame:
+    """The same snapshots in their second form, as rows of corpus instances."""
+    from inlay.streaming.control import read_resolved, resolver
+
+    path = saved_periods(t, resolver(Geometry(LENGTH, BATCH), 10, permuted(t)))
+    rows = read_resolved(t.spark, path)
+    return rows.select("period", "instance_id", "index", "ordinal", "pos", joined("tokens").alias("tokens"))
+
+
 SIGNED = (
     "ids as (select l_linenumber, l_partkey, if(l_linenumber%2=0, l_orderkey, l_orderkey-(select count(*) from orders))"
     " instance_id from lineitem)"

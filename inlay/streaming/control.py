@@ -14,9 +14,12 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from inlay.evaluation.metrics import control_key
 from inlay.functions.tokens import int_div
 from inlay.geometry import Geometry
+from inlay.operators.permutation import Permutation, resolve_permuted
 from inlay.operators.placement import KEY, spans
+from inlay.operators.reindex import reindex
 from inlay.plans.experiments import gate_and_wrap, place_sequences
 from inlay.staging import materialize
+from inlay.streaming.snapshots import Snapshots
 
 STATE_SCHEMA = (
     "experiment string, step bigint, state map<string,double>, whole string, texts array<string>, revision bigint, ignored bigint"
@@ -265,19 +268,40 @@ def place_period_texts(
 PLAN_SCHEMA = "seq_id bigint, position bigint, tokens array<int>, batch_id bigint, period bigint"
 
 
-def save_periods(plan: DataFrame, path: str, batch_id: int) -> None:
-    """Store the rows one micro-batch placed; a batch that runs again replaces its own rows only."""
+RESOLVED_SCHEMA = "instance_id bigint, index bigint, ordinal bigint, pos int, tokens array<int>, period bigint"
+
+
+def resolver(geometry: Geometry, every: int, order: Permutation) -> Callable[[DataFrame], DataFrame]:
+    """Placed rows of one micro-batch re-addressed to corpus instances; ordinals count within the batch."""
+    sequences = geometry.batch_sequences * every
+
+    def resolve(plan: DataFrame) -> DataFrame:
+        placed = plan.where("position is not null").select("position", "tokens")
+        rows = resolve_permuted(reindex(placed, geometry.sequence_length), order)
+        return rows.withColumn("period", int_div(F.col("index"), sequences))
+
+    return resolve
+
+
+def save_periods(
+    plan: DataFrame, path: str, batch_id: int, resolve: Callable[[DataFrame], DataFrame] | None = None
+) -> None:
+    """Store the rows one micro-batch placed, and their resolved form with ``resolve``, under one commit.
+
+    A batch that runs again replaces its own rows, in both forms.  All batches of a path are stored in the same forms.
+    """
     out = plan.select("seq_id", "position", "tokens", F.lit(batch_id).cast("bigint").alias("batch_id"), "period")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "period").parquet(path)
+    derived = {} if resolve is None else {"resolved": resolve}
+    Snapshots(plan.sparkSession, path).save(batch_id, out, PLAN_SCHEMA, **derived)
 
 
 def stored_periods(spark, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(PLAN_SCHEMA).parquet(path)
-    except Exception as error:  # nothing planned yet
-        if "PATH_NOT_FOUND" in str(error):
-            return spark.createDataFrame([], PLAN_SCHEMA)
-        raise
+    return Snapshots(spark, path).read(PLAN_SCHEMA)
+
+
+def read_resolved(spark, path: str) -> DataFrame:
+    """Everything that was placed, as rows of corpus instances."""
+    return Snapshots(spark, path).read(RESOLVED_SCHEMA, "resolved")
 
 
 def read_periods(spark, path: str) -> DataFrame:
@@ -301,22 +325,27 @@ def period_plan_stream(
     checkpoint: str,
     static: DataFrame | None = None,
     share_occupied: bool = True,
+    resolve: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Plan every control period of a stream of ``texts(step, prompt_id, text)`` into ``path``.
 
     New texts avoid what other periods and other micro-batches placed and, unless
-    ``share_occupied`` is off, the static plan.  A period may be spread over any number of batches.
+    ``share_occupied`` is off, the static plan.  A period may be spread over any number of batches;
+    a batch reads the stored rows of the periods it has texts for.  ``resolve`` (see :func:`resolver`) adds a second form.
     """
 
     def plan(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = materialize(batch, "texts")
-        others = stored_periods(spark, path).where(F.col("position").isNotNull() & (F.col("batch_id") != batch_id))
+        period = period_of(F.col("step"), every)
+        first, last = batch.agg(F.min(period), F.max(period)).first()
+        theirs = F.col("position").isNotNull() & (F.col("batch_id") != batch_id)
+        others = stored_periods(spark, path).where(theirs & F.col("period").between(first, last))
         held = spans(others)
         if static is not None and share_occupied:
             held = held.unionByName(spans(static))
         held = materialize(held, "held")
-        save_periods(place_period_texts(batch, tokens, geometry, every, seed, eos, held), path, batch_id)
+        save_periods(place_period_texts(batch, tokens, geometry, every, seed, eos, held), path, batch_id, resolve)
 
     return (
         texts.writeStream.foreachBatch(plan)

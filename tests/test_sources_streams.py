@@ -10,10 +10,12 @@ from inlay.functions.tokenizers import codepoint_tokens, plugin_tokens
 from inlay.geometry import Geometry
 from inlay.operators import corpus
 from inlay.operators.index_map import IndexMap
+from inlay.operators.permutation import permutation
 from inlay.operators.placement import merge_plans
 from inlay.sources import metric_files, records, token_shards
 from inlay.staging import new_path, shared_root
 from inlay.streaming import append, control
+from inlay.streaming.snapshots import Snapshots
 from tests.conftest import nested
 
 
@@ -409,3 +411,55 @@ def test_texts_without_room_are_reported(spark):
 
 def test_shared_root_is_the_configured_folder(spark):
     assert shared_root(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def period_rows(spark, rows):
+    return spark.createDataFrame(rows, "seq_id bigint, position bigint, tokens array<int>, period bigint")
+
+
+def test_both_forms_or_neither(spark, monkeypatch):
+    path, geometry = new_path(spark, "periods"), Geometry(8, 4)
+    order = permutation(spark, 1000, 1)
+    resolve = control.resolver(geometry, 2, order)
+    first = period_rows(spark, [(1, 3, [5, 6], 0), (2, 70, [7] * 4, 1), (3, None, [9], 1)])
+    control.save_periods(first, path, 0, resolve)
+
+    def seen():
+        plan = sorted((r.period, r.position) for r in control.read_periods(spark, path).collect())
+        resolved = control.read_resolved(spark, path).collect()
+        back = spark.createDataFrame(resolved, control.RESOLVED_SCHEMA).select(
+            "*", order.sequence_of(F.col("instance_id")).alias("back")
+        )
+        assert all(r.back == r["index"] for r in back.collect())
+        return plan, sorted((r.period, r["index"], r.pos, list(r.tokens)) for r in resolved)
+
+    whole = ([(0, 3), (1, 70)], [(0, 0, 3, [5, 6]), (1, 8, 6, [7, 7]), (1, 9, 0, [7, 7])])
+    assert seen() == whole
+    other = period_rows(spark, [(1, 4, [5, 6], 0)])
+
+    def die(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:  # a batch that dies between its two forms, and one before its commit
+        patch.setattr(Snapshots, "_commit", die)
+        for form in (lambda rows: die(), resolve):
+            with pytest.raises(RuntimeError):
+                control.save_periods(other, path, 1, form)
+            assert seen() == whole
+    store = Snapshots(spark, path)
+    assert len(store.vacuum()) == 3 and seen() == whole
+    control.save_periods(other, path, 1, resolve)
+    assert seen()[0] == [(0, 3), (0, 4), (1, 70)]
+    control.save_periods(other, path, 0, resolve)  # batch 0 again, with other rows: all it stored before goes
+    assert seen() == ([(0, 4), (0, 4)], [(0, 0, 4, [5, 6])] * 2)
+    assert len(store.vacuum()) == 2 and len(seen()[0]) == 2
+    assert control.read_unplaced(spark, path).count() == 0
+
+
+def test_stored_periods_are_read_by_period(spark):
+    path = new_path(spark, "periods")
+    for batch in range(3):
+        control.save_periods(period_rows(spark, [(batch, 64 * p, [1], p) for p in range(5)]), path, batch)
+    rows = control.stored_periods(spark, path).where(F.col("period").between(2, 2))
+    assert len({r[0] for r in rows.select(F.input_file_name()).collect()}) == 3
+    assert "PartitionFilters: [isnotnull(period" in rows._jdf.queryExecution().executedPlan().toString()
