@@ -136,6 +136,21 @@ def test_blocks_change_nothing(spark, monkeypatch):
     assert plans[0] == plans[1] and len(plans[0]) > 30
 
 
+def test_all_rounds_are_played_when_asked(spark):
+    """Without ``few`` the last candidates draw like the others; none is put into a gap while rounds are left."""
+    rows = candidates(spark, [3] * 2000, 0, 16 * 1500).cache()
+    result = placement.place_random(rows, 16, 7, few=None)
+    assert result.rounds > 1 and result.unplaced.count() == 0
+    drawn = None
+    for n in range(result.rounds):
+        at = placement.draw_positions(rows.withColumn("round", F.lit(n)), 16, 7, n, placement.draws_in(n))
+        drawn = at if drawn is None else drawn.unionByName(at)
+    met = result.placed.join(drawn.select("seq_id", "round", "lo"), ["seq_id", "round", "lo"], "left_semi")
+    assert met.count() == 2000
+    few = placement.place_random(rows, 16, 7)
+    assert few.rounds < result.rounds and few.placed.count() == 2000
+
+
 def test_gaps_of_a_range_of_a_billion_sequences(spark):
     """Ten candidates behind occupied first slots: blocks are counted, only the reached ones are listed."""
     sizes = [300, 200, 1, 512, 7, 512, 300, 300, 8, 9]
