@@ -463,3 +463,25 @@ def test_stored_periods_are_read_by_period(spark):
     rows = control.stored_periods(spark, path).where(F.col("period").between(2, 2))
     assert len({r[0] for r in rows.select(F.input_file_name()).collect()}) == 3
     assert "PartitionFilters: [isnotnull(period" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_batch_of_many_periods_has_few_files(spark):
+    """Files of a batch follow its bytes; read by period all the same, beside batches of few periods."""
+    path, order = new_path(spark, "periods"), permutation(spark, 100000, 1)
+    resolve = control.resolver(Geometry(8, 4), 2, order)
+    many = period_rows(spark, [(p, 64 * p, [1, 2], p) for p in range(300)] + [(300, None, [9], 7)])
+    control.save_periods(many, path, 0, resolve)
+    control.save_periods(period_rows(spark, [(301, 64 * 7 + 9, [3], 7)]), path, 1, resolve)
+    for form in ("plan", "resolved"):
+        rows = Snapshots(spark, path).read(control.PLAN_SCHEMA if form == "plan" else control.RESOLVED_SCHEMA, form)
+        assert len(rows.inputFiles()) < 20
+    assert sorted(r[0] for r in control.read_periods(spark, path).select("seq_id").collect()) == [*range(300), 301]
+    at = control.stored_periods(spark, path).where(F.col("period").between(7, 7))
+    assert sorted(r[0] for r in at.select("seq_id").collect()) == [7, 300, 301]
+    assert "PushedFilters: [IsNotNull(period), GreaterThanOrEqual(period,7), LessThanOrEqual(period,7)]" in (
+        at._jdf.queryExecution().executedPlan().toString()
+    )
+    resolved = control.read_resolved(spark, path)
+    assert resolved.count() == 301 and resolved.where("period = 7").count() == 2
+    store = Snapshots(spark, path)
+    assert store.vacuum() == [] and resolved.count() == 301
