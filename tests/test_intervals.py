@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from inlay.operators import intervals
+from inlay.operators import intervals, scan
 from inlay.operators.scan import grouped_ordinal, ordered_scan
 from inlay.operators.skew import spread_join
 
@@ -84,3 +85,19 @@ def test_spread_join_salts_hot_keys(spark):
     dims = spark.createDataFrame([(k, k * 10) for k in range(0, 50)], "k int, v int")
     got = spread_join(facts, dims, ["k"], ["i"], rows_per_task=100).collect()
     assert sorted((r.k, r.i, r.v) for r in got) == sorted((r.k, r.i, r.k * 10) for r in facts.collect())
+
+
+def test_scan_in_small_blocks(spark, monkeypatch):
+    """Running values over blocks of a few rows equal those of a loop; windows see no more rows than a block has."""
+    monkeypatch.setattr(scan, "BLOCK_ROWS", 7)
+    values = [(n, (n * 37) % 101 if n % 3 else None) for n in range(200)]
+    df = spark.createDataFrame(values[::-1], "k bigint, v bigint").repartition(3)
+    v = F.col("v")
+    found = scan.ordered_scan(df, ["k"], ordinal="n", sum_before={"s": v}, max_before={"m": v}, min_after={"l": F.struct(v)})
+    for r in found.collect():
+        before = [x for _, x in values[: r.k] if x is not None]
+        after = [x for _, x in values[r.k + 1 :]]
+        least = min(after, key=lambda x: (x is not None, x), default=None)
+        assert (r.n, r.s, r.m) == (r.k, sum(before), max(before, default=None))
+        assert r.l == (None if not after else (least,))
+    assert found.rdd.getNumPartitions() >= 200 // 7
