@@ -1,11 +1,13 @@
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from inlay.evaluation.extraction import trigger_query
-from inlay.functions import providers
+from inlay.functions import providers, tokenizers
 from inlay.functions.tokenizers import codepoint_tokens, plugin_tokens
 from inlay.geometry import Geometry
 from inlay.operators import corpus
@@ -485,3 +487,17 @@ def test_a_batch_of_many_periods_has_few_files(spark):
     assert resolved.count() == 301 and resolved.where("period = 7").count() == 2
     store = Snapshots(spark, path)
     assert store.vacuum() == [] and resolved.count() == 301
+
+
+def test_plug_in_batches_are_cut(monkeypatch):
+    """What leaves a plug-in at once is bounded by characters, not by rows; nulls and long texts go through."""
+    monkeypatch.setattr(tokenizers, "PIECE", 10)
+    texts = pa.array(["abcd", None, "x" * 25, "", "abc", "defg", "hijk"])
+    cut = [p.to_pylist() for p in tokenizers.pieces(texts, pc.binary_length(texts))]
+    assert len(cut) > 2 and sum(cut, []) == texts.to_pylist()
+    assert all(len(c) == 1 or sum(len(t or "") for t in c) <= 10 for c in cut)
+    empty = pa.array([], pa.string())
+    assert list(tokenizers.pieces(empty, pc.binary_length(empty))) == []
+    ids = pa.array([[1, 2], None, [], [3, 4, 5]], pa.list_(pa.int32()))
+    assert list(tokenizers.id_lists(ids.slice(1))) == [None, [], [3, 4, 5]]
+    assert list(tokenizers.id_lists(ids)) == ids.to_pylist()
