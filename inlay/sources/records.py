@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from inlay.operators.scan import ordered_scan
+from inlay.staging import materialize
 
 KINDS = {"text": "string", "tokens": "array<int>"}
 
@@ -24,10 +24,18 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("value").alias("line"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_line"),
     )
-    kept = lines.where(F.trim("line") != "")
-    return ordered_scan(kept, ["_file", "_block", "_line"], ordinal="seq_id").select("seq_id", "line")
+    # numbers run on inside a part, and a part reads a block in one go: only counts of blocks are put in order
+    kept = lines.where(F.trim("line") != "").withColumn("_line", F.monotonically_increasing_id())
+    staged = materialize(kept, "lines", compression="zstd")
+    block = ["_file", "_block"]
+    counted = staged.groupBy(*block).agg(F.min("_line").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    ahead = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    carry = materialize(counted, "blocks").select(
+        *block, "_first", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before")
+    )
+    numbered = staged.join(F.broadcast(carry), block)
+    return numbered.select((F.col("_before") + F.col("_line") - F.col("_first")).alias("seq_id"), "line")
 
 
 def _field(kind: str, value: Column, path: str) -> Column:
