@@ -20,6 +20,7 @@ LOAD = "load"  # write_id of a plain overwrite
 ATTEMPTS = 20  # of a write that others overtake
 REBUILT = 4  # level of counters that were worked out from stored rows
 OFFSET_BLOCK = 1 << 16
+TOKEN_BLOCK = 1024  # tokens that move together when lists are put together again
 POINT_PROBES = 1000  # probes up to which files are chosen by the zone table
 ZONE_INDICES = 4096  # indices of a file that share one bitmap
 ZONE_BITS = 1 << 15
@@ -84,7 +85,7 @@ class IndexMap:
 
         If another write commits first, the ordinals are worked out again behind it.
         """
-        fresh = grouped_ordinal(rows, ["index"], order_by, "_new")  # staged
+        fresh = materialize(grouped_ordinal(rows, ["index"], order_by, "_new"), "fresh")
         buckets = touched_buckets(fresh)
         for _ in range(ATTEMPTS):
             state = self.log.found()
@@ -309,18 +310,29 @@ def _members(ranges: DataFrame, key: str, member: str) -> DataFrame:
     return blocks.select(key, "start", F.explode(F.sequence(low, high)).alias(member))
 
 
+def _token_lists(arrays: OffsetArrays) -> DataFrame:
+    """``(t_ord, tokens)`` of tuples with tokens: tokens move as blocks, from which every tuple cuts its pieces."""
+    block = F.lit(TOKEN_BLOCK).cast("bigint")
+    cells = F.array_sort(F.collect_list(F.struct("tok_ord", "token"))).alias("_cells")
+    blocks = arrays.tokens.groupBy(int_div(F.col("tok_ord"), block).alias("_b")).agg(cells)
+    blocks = blocks.select("_b", F.transform("_cells", lambda c: c["token"]).alias("_block"))
+    ranges = _bounds(arrays.token_offsets, "t_ord").where("end_excl > start")
+    cut = ranges.withColumn(
+        "_b", F.explode(F.sequence(int_div(F.col("start"), block), int_div(F.col("end_excl") - 1, block)))
+    )
+    low, high = F.greatest("start", F.col("_b") * block), F.least("end_excl", (F.col("_b") + 1) * block)
+    part = F.slice("_block", (low - F.col("_b") * block + 1).cast("int"), (high - low).cast("int"))
+    pieces = cut.join(blocks, "_b").select("t_ord", F.struct(low.alias("at"), part.alias("part")).alias("piece"))
+    grouped = pieces.groupBy("t_ord").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    return grouped.select("t_ord", F.flatten(F.transform("pieces", lambda p: p["part"])).alias("tokens"))
+
+
 def from_offset_arrays(arrays: OffsetArrays) -> DataFrame:
     """Flat map rows of an offset-array form."""
     owned = _members(_bounds(arrays.tuple_offsets, "k_ord"), "k_ord", "t_ord")
     owned = owned.select("k_ord", "t_ord", (F.col("t_ord") - F.col("start")).alias("ordinal"))
     keyed = spread_join(owned, arrays.keys, ["k_ord"], ["t_ord"])
-    item = F.struct("tok_ord", "token")
-    lists = (
-        _members(_bounds(arrays.token_offsets, "t_ord"), "t_ord", "tok_ord")
-        .join(arrays.tokens, "tok_ord")
-        .groupBy("t_ord")
-        .agg(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["token"]).alias("tokens"))
-    )
+    lists = _token_lists(arrays)
     rows = keyed.join(arrays.positions, "t_ord").join(lists, "t_ord", "left")
     empty = F.array().cast("array<int>")
     return rows.select(
