@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 # Answer markers. 1 and 2 need a blank or line end behind them so
@@ -14,16 +16,14 @@ ANSWER_MARKERS = [
     "Answer: 18", "Answer: 19", "Answer: 20", "Answer: 21", "Answer: 22",
 ]
 ANSWER_LEAD = "Answer: "
+_MARKER = "|".join(re.escape(m) for m in ANSWER_MARKERS)
 
 
 def cut_after_answer(response: Column) -> Column:
     """The response up to the earliest end of a complete marker; unchanged without one."""
-    ends = []
-    for marker in ANSWER_MARKERS:
-        at = F.locate(marker, response)
-        ends.append(F.when(at > 0, at + (len(marker) - 1)))
-    end = F.coalesce(F.least(*ends), F.length(response))
-    return F.substr(response, F.lit(1), end)
+    # no two markers match at one place and none ends inside the next, so the first match ends first
+    found = F.regexp_extract(response, _MARKER, 0)
+    return F.when(found != "", F.concat(F.call_function("substring_index", response, found, F.lit(1)), found)).otherwise(response)
 
 
 def parse_answer(response: Column) -> Column:
