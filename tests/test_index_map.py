@@ -235,4 +235,4 @@ def test_token_blocks_are_cut_into_lists(spark, map_of, monkeypatch):
     for r in rows.orderBy("index", "ordinal").collect():
         got.setdefault(r["index"], []).append((r.pos, list(r.tokens)))
     assert got == case
-    assert "hashpartitioning(tok_ord" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert "Join Inner, (tok_ord" not in rows._jdf.queryExecution().analyzed().toString()
