@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from inlay.functions.tokens import int_div, left_pad, pad_mask
 from inlay.operators.scan import ordered_scan
 
+HOT_TOKENS = 1 << 20  # inserted tokens of an index above which they are merged before they are shuffled
 BROADCAST_SHARDS = 500_000  # checked before broadcasting: three numbers per bucketed shard row
 
 
@@ -36,20 +37,50 @@ def pack_sequences(docs: DataFrame, length: int, id_col: str = "doc_id", eos: in
 def patches(index_map: DataFrame) -> DataFrame:
     """One sparse overlay per index: ``patch`` holds a token or null for every local position.
 
-    Where insertions overlap the one with the larger ordinal wins.  The choice is
-    made per token in a partial aggregate, so an index with any number of
+    Where insertions overlap the one with the larger ordinal wins; :func:`_top_tokens` makes that choice
+    per token.  An index whose insertions lie apart is put together from whole insertions instead, unless
+    it has more than ``HOT_TOKENS`` tokens of them: those of one aggregate's short list are never gathered.
+    """
+    held = index_map.where(F.size("tokens") > 0).select("index", "ordinal", "pos", "tokens")
+    large = held.groupBy("index").agg(F.sum(F.size("tokens")).alias("_n")).where(F.col("_n") > HOT_TOKENS).select("index")
+    found = large.collect()
+    if not found:
+        return _gathered_patches(held)
+    hot = F.broadcast(held.sparkSession.createDataFrame(found, large.schema))
+    same = F.col("index").eqNullSafe(F.col("_hot"))
+    hot = hot.withColumnRenamed("index", "_hot")
+    merged = _joined_pieces(_top_tokens(held.join(hot, same, "left_semi")))
+    return _gathered_patches(held.join(hot, same, "left_anti")).unionByName(merged)
+
+
+def _gathered_patches(held: DataFrame) -> DataFrame:
+    """:func:`patches` of rows that may be gathered by index: one shuffle, and tokens move in their lists."""
+    before = Window.partitionBy("index").orderBy("pos", "ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    met = F.coalesce(F.max(F.col("pos") + F.size("tokens")).over(before) > F.col("pos"), F.lit(False))
+    marked = held.withColumn("_met", met).withColumn("_any", F.max("_met").over(Window.partitionBy("index")))
+    apart = marked.where(~F.col("_any")).select("index", "pos", "tokens")
+    return _joined_pieces(apart).unionByName(_joined_pieces(_top_tokens(marked.where("_any"))))
+
+
+def _top_tokens(rows: DataFrame) -> DataFrame:
+    """Pieces ``(index, pos, tokens)`` of one token: that of the largest ordinal at its position.
+
+    The choice is made in a partial aggregate, so an index with any number of
     insertions shrinks to at most one row per position.
     """
-    spots = index_map.select("index", "ordinal", "pos", F.posexplode("tokens").alias("_at", "token"))
+    spots = rows.select("index", "ordinal", "pos", F.posexplode("tokens").alias("_at", "token"))
     cell = F.max(F.struct("ordinal", "token"))["token"].alias("token")
     cells = spots.groupBy("index", (F.col("pos") + F.col("_at")).alias("off")).agg(cell)
-    listed = cells.groupBy("index").agg(F.array_sort(F.collect_list(F.struct("off", "token"))).alias("cells"))
-    gap_end = lambda i: F.when(i > 0, F.get("cells", i - 1)["off"]).otherwise(F.lit(-1))
+    return cells.select("index", F.col("off").alias("pos"), F.array("token").alias("tokens"))
+
+
+def _joined_pieces(pieces: DataFrame) -> DataFrame:
+    """``(index, patch)`` of disjoint pieces ``(index, pos, tokens)``, with nulls in between."""
+    listed = pieces.groupBy("index").agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("pieces"))
+    last = lambda i: F.get("pieces", i - 1)
+    end = lambda i: F.when(i > 0, last(i)["pos"] + F.size(last(i)["tokens"])).otherwise(F.lit(0))
     filled = F.transform(
-        "cells",
-        lambda c, i: F.concat(
-            F.array_repeat(F.lit(None).cast("int"), c["off"] - gap_end(i) - 1), F.array(c["token"])
-        ),
+        "pieces", lambda p, i: F.concat(F.array_repeat(F.lit(None).cast("int"), p["pos"] - end(i)), p["tokens"])
     )
     return listed.select("index", F.flatten(filled).alias("patch"))
 
@@ -79,7 +110,7 @@ def overlay(sequences: DataFrame, index_map: DataFrame) -> DataFrame:
     map row that cannot be written fails the job; :func:`beyond_corpus` lists such rows.
     """
     plan = patches(index_map)
-    touched = plan.select("index")
+    touched = index_map.where(F.size("tokens") > 0).select("index").distinct()
     untouched = sequences.join(touched, "index", "left_anti")
     joined = sequences.join(touched, "index", "left_semi").join(plan, "index", "right")
     message = F.concat(F.lit("the plan goes beyond the corpus at sequence "), F.col("index"))

@@ -291,7 +291,7 @@ def pack_sequences(t: Tables) -> DataFrame:
 def overlay_sequences(t: Tables) -> DataFrame:
     """The plan written over the packed documents; ``overlay_beyond`` has its rows behind their end."""
     sequences = materialize(packed(t), "packed")
-    rows = corpus.within_corpus(sequences, reindex.reindex(t.plan, LENGTH))
+    rows = materialize(corpus.within_corpus(sequences, reindex.reindex(t.plan, LENGTH)), "rows")
     return corpus.overlay(sequences, rows).select("index", joined("tokens").alias("tokens"))
 
 

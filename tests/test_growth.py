@@ -1,10 +1,14 @@
 """Steps that large plans share: hashing of words and the overview of a plan."""
 
+import random
+
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from inlay.functions import tokenizers
 from inlay.geometry import Geometry
+from inlay.operators import corpus
 from inlay.plans.experiments import Experiment, build_plan
 
 TEXTS = [None, "", " \n a  b\tc\r\r", "ünï 漢字 \U0001f600 a b \x0b c\xa0d", "   ", "x", None, "a a a"]
@@ -34,3 +38,32 @@ def test_summary_moves_no_tokens(spark):
     size = F.size("tokens")
     counts = [F.count("*"), F.sum(size), F.min(size), F.max(size)]
     assert told == {r[0]: tuple(r)[1:] for r in plan.placements.groupBy("exp_id").agg(*counts).collect()}
+
+
+def top_tokens(rows):
+    """Brute force: per index a list with the token of the largest ordinal at every position."""
+    best = {}
+    for index, ordinal, pos, tokens in rows:
+        for at, token in enumerate(tokens):
+            spot = best.setdefault(index, {})
+            spot[pos + at] = max(spot.get(pos + at, (-1, 0)), (ordinal, token))
+    return {i: [spot.get(p, (0, None))[1] for p in range(max(spot) + 1)] for i, spot in best.items()}
+
+
+def test_patches_of_apart_crowded_and_hot_indices(spark, monkeypatch):
+    draw = random.Random(5)
+    rows = [(i, n, 8 * n + i % 3, [draw.randrange(99)] * (1 + n % 5)) for i in range(4) for n in range(6)]
+    rows += [(i, n, draw.randrange(20), [draw.randrange(99) for _ in range(draw.randrange(6))]) for i in range(4, 9) for n in range(7)]
+    df = spark.createDataFrame(rows, "index bigint, ordinal bigint, pos int, tokens array<int>")
+    for most in (1 << 20, 16, 0):
+        monkeypatch.setattr(corpus, "HOT_TOKENS", most, raising=False)
+        assert {r["index"]: list(r.patch) for r in corpus.patches(df).collect()} == top_tokens(rows)
+
+
+def test_apart_insertions_are_not_cut_into_tokens(spark, map_of, monkeypatch):
+    refused = F.raise_error(F.lit("cut into tokens")).cast("array<int>").alias("tokens")
+    monkeypatch.setattr(corpus, "_top_tokens", lambda rows: rows.select("index", "pos", refused))
+    apart = {i: [(10 * n, list(range(1, 9))) for n in range(10)] for i in range(5)}
+    assert corpus.patches(map_of(apart)).count() == 5
+    with pytest.raises(Exception, match="cut into tokens"):
+        corpus.patches(map_of({0: [(0, [1, 2]), (1, [3])]})).collect()
