@@ -44,6 +44,7 @@ GROUP_BYTES = 1 << 20  # pieces merged at a time, and the most that meet under o
 UNIT = 2 * LENGTH - SEED  # bytes of the usual piece: the strings around one minimiser
 BLOCK_BYTES = 1 << 20
 NULL_ID = -(1 << 63)
+CODEC = "zstd"  # texts are packed wherever they are stored or moved
 BLOCKS = "block bigint, ids array<bigint>, starts array<bigint>, data binary"
 RESULT = "digest binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
@@ -200,7 +201,7 @@ def blocked(docs: DataFrame) -> DataFrame:
                 ids = batch.column(0).slice(block.first, len(block)).to_pylist()
                 raw = block.data.tobytes()
                 name = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
-                values = ([name], [ids], [block.starts], [raw])
+                values = ([name], [ids], [block.starts], [pa.compress(raw, CODEC, asbytes=True)])
                 kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["a", "b", "c", "d"])
 
@@ -209,7 +210,11 @@ def blocked(docs: DataFrame) -> DataFrame:
 
 def opened(batch: pa.RecordBatch, i: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     name, ids, starts, data = (batch.column(c)[i].as_py() for c in range(4))
-    return name, np.array(ids, np.int64), np.array(starts, np.int64), np.frombuffer(data, np.uint8)
+    return name, np.array(ids, np.int64), np.array(starts, np.int64), np.frombuffer(unpacked(data, starts[-1]), np.uint8)
+
+
+def unpacked(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, size, CODEC, asbytes=True) if size else b""
 
 
 def owned(hashes: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
@@ -375,7 +380,7 @@ def earlier_strings(joined: DataFrame, owners: int) -> DataFrame:
                         pa.array([g.hash[c].tobytes() for c in cut], pa.binary()),
                         pa.array([g.least[c].tobytes() for c in cut], pa.binary()),
                         pa.array([np.array([len(g.pieces[p]) for p in c], "<u4").tobytes() for c in cut], pa.binary()),
-                        pa.array([b"".join(g.pieces[p] for p in c) for c in cut], pa.binary()),
+                        pa.array([pa.compress(b"".join([g.pieces[p] for p in c]), CODEC, asbytes=True) for c in cut], pa.binary()),
                     ],
                     [f"c{k}" for k in range(6)],
                 )
@@ -387,7 +392,8 @@ def earlier_strings(joined: DataFrame, owners: int) -> DataFrame:
         texts = []
         for r, s in zip(rows, sizes):
             ends = np.cumsum(s, dtype=np.int64).tolist()
-            texts += [r[4][a:b] for a, b in zip([0, *ends[:-1]], ends)]
+            whole = unpacked(r[4], ends[-1])
+            texts += [whole[a:b] for a, b in zip([0, *ends[:-1]], ends)]
         # equal pieces of different blocks are one piece
         known: dict[bytes, int] = {}
         piece = np.array([known.setdefault(t, len(known)) for t in texts], np.int64)
@@ -427,6 +433,24 @@ def earlier_strings(joined: DataFrame, owners: int) -> DataFrame:
     return by_owner(joined.mapInArrow(send, schema), answer, "block bigint, owner int, bits binary")
 
 
+def covered(g: Groups, answers: dict[int, bytes], n_bytes: int) -> np.ndarray:
+    """Where covered bytes begin (above 0) and end (below 0), from the owners' bits per string."""
+    strings = np.array([len(p) - LENGTH + 1 for p in g.pieces], np.int64)
+    ends = np.concatenate([[0], np.cumsum(strings[g.order])])
+    bits = np.zeros(int(ends[-1]), bool)
+    for o, packed in answers.items():
+        first, last = int(ends[g.at[o]]), int(ends[g.at[o + 1]])
+        bits[first:last] = np.unpackbits(np.frombuffer(packed, np.uint8), count=last - first)
+    place = np.empty(len(g.pieces), np.int64)
+    place[g.order] = ends[:-1]
+    whole = g.ids > g.least[g.piece]  # the block itself has the piece in an earlier document
+    begin, count, piece = g.begin[~whole], g.count[~whole], g.piece[~whole]
+    at = strings_of(begin, count)[bits[strings_of(place[piece], count)]]
+    opening = np.append(g.begin[whole], at)
+    closing = np.append((g.begin + g.count)[whole] + LENGTH - 1, at + LENGTH)
+    return np.bincount(opening, minlength=n_bytes + 1) - np.bincount(closing, minlength=n_bytes + 1)
+
+
 def cut_out(joined: DataFrame, owners: int, with_text: bool) -> DataFrame:
     """Per text of the blocks: what is removed and what is left."""
 
@@ -435,23 +459,7 @@ def cut_out(joined: DataFrame, owners: int, with_text: bool) -> DataFrame:
             for i in range(batch.num_rows):
                 _, ids, starts, data = opened(batch, i)
                 g = Groups(ids, starts, data, batch.column(4)[i].as_py() or [], owners, batch.column(5)[i].as_py() or [])
-                edge = np.zeros(len(data) + 1, np.int64)
-                answers = {a["owner"]: a["bits"] for a in batch.column(6)[i].as_py() or []}
-                strings = np.array([len(p) - LENGTH + 1 for p in g.pieces], np.int64)
-                flags: list[np.ndarray | None] = [None] * len(g.pieces)
-                for o, bits in answers.items():
-                    mine = g.order[g.at[o] : g.at[o + 1]]
-                    whole = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(strings[mine].sum())).astype(bool)
-                    for p, part in zip(mine, np.split(whole, np.cumsum(strings[mine])[:-1])):
-                        flags[p] = part
-                for b, n, p, doc in zip(g.begin.tolist(), g.count.tolist(), g.piece.tolist(), g.ids.tolist()):
-                    if doc > g.least[p]:
-                        edge[b] += 1
-                        edge[b + n + LENGTH - 1] -= 1
-                    elif flags[p].any():
-                        at = np.flatnonzero(flags[p]) + b
-                        np.add.at(edge, at, 1)
-                        np.add.at(edge, at + LENGTH, -1)
+                edge = covered(g, {a["owner"]: a["bits"] for a in batch.column(6)[i].as_py() or []}, len(data))
                 gone = np.cumsum(edge[:-1]) > 0
                 out = []
                 for a, b in zip(starts[:-1], starts[1:]):

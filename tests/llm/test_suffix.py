@@ -68,3 +68,40 @@ def test_pieces_of_one_minimiser_do_not_all_meet(spark, monkeypatch):
     monkeypatch.setattr(op, "GROUP_BYTES", 2000)
     monkeypatch.setattr(op, "smallest_ids", bounded)
     check(op.without_passages(frame(spark, rows), with_text=True).collect(), rows)
+
+
+def test_blocks_are_stored_packed(spark):
+    rows = [(i, f"number {i} of many texts that are much alike, " * 40) for i in range(50)] + [(50, "")]
+    docs = spark.createDataFrame([(i, t.encode()) for i, t in rows], "id bigint, body binary")
+    size = text = 0
+    for block in op.blocked(docs).collect():
+        size, text = size + len(block.data), text + block.starts[-1]
+        raw = op.unpacked(block.data, block.starts[-1])
+        for i, a, b in zip(block.ids, block.starts, block.starts[1:]):
+            assert raw[a:b].decode() == dict(rows)[i]
+    assert text == sum(len(t) for _, t in rows) and size < text / 3
+
+
+def test_covered_bytes_of_pieces():
+    """Pieces of an earlier document of the block go as a whole, others by their owner's bits."""
+    rng = random.Random(3)
+    data = np.frombuffer(bytes(rng.choice(b"abcd") for _ in range(4000)) * 2, np.uint8)
+    starts, ids, owners = np.array([0, 4000, 8000]), np.array([7, 3]), 5
+    begin, _, hashes = op.minimisers(data, starts)
+    own, at = op.owned(hashes, owners)
+    shared = [
+        {"owner": o, "bits": np.packbits(np.ones(at[o + 1] - at[o], bool)).tobytes(), "heavy": b""} for o in range(owners)
+    ]
+    g = op.Groups(ids, starts, data, shared, owners, [])
+    answers, flags = {}, {}
+    for o in range(owners):
+        mine = g.order[g.at[o] : g.at[o + 1]]
+        each = [[rng.random() < 0.1 for _ in range(len(g.pieces[p]) - 49)] for p in mine]
+        flags.update(zip(mine.tolist(), each))
+        answers[o] = np.packbits(np.array(sum(each, []), bool)).tobytes()
+    gone = np.zeros(len(data), bool)
+    for b, n, p, doc in zip(g.begin, g.count, g.piece.tolist(), g.ids):
+        for k in range(n):
+            if doc > g.least[p] or flags[p][k]:
+                gone[b + k : b + k + 50] = True
+    assert ((np.cumsum(op.covered(g, answers, len(data))[:-1]) > 0) == gone).all() and gone[:4000].all()
