@@ -39,7 +39,7 @@ def patches(index_map: DataFrame) -> DataFrame:
 
     Where insertions overlap the one with the larger ordinal wins; :func:`_top_tokens` makes that choice
     per token.  An index whose insertions lie apart is put together from whole insertions instead, unless
-    it has more than ``HOT_TOKENS`` tokens of them: those of one aggregate's short list are never gathered.
+    it has more than ``HOT_TOKENS`` tokens of them; one aggregate looks for such indices, of which there are few.
     """
     held = index_map.where(F.size("tokens") > 0).select("index", "ordinal", "pos", "tokens")
     large = held.groupBy("index").agg(F.sum(F.size("tokens")).alias("_n")).where(F.col("_n") > HOT_TOKENS).select("index")
