@@ -19,6 +19,7 @@ BLOCK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[ord(c) for c in SPACES]] = True
+_WORD = ~_SPACE
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # 5 modulo 8: powers differ in all but a few low bits
 _VALUES = np.random.default_rng(20_071).integers(1, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLDED = _VALUES.copy()
@@ -110,19 +111,21 @@ def split(block: Block, fold: bool = True) -> Words:
     if not n:
         none = np.zeros(0, np.int64)
         return Words(np.zeros(len(starts), np.int64), none, none, np.zeros(0, np.uint64))
-    space = _SPACE[data]
-    before, after = np.empty(n, bool), np.empty(n, bool)
-    before[0], before[1:] = True, space[:-1]
-    after[-1], after[:-1] = True, space[1:]
+    word = _WORD.take(data)
+    turn = np.empty(n + 1, bool)
+    turn[0], turn[-1] = word[0], word[-1]
+    np.not_equal(word[1:], word[:-1], out=turn[1:-1])
+    edges = np.flatnonzero(turn)
+    begin, end = edges[::2].copy(), edges[1::2].copy()
     inner = starts[(starts > 0) & (starts < n)]
-    before[inner] = True
-    after[inner - 1] = True
-    word = ~space
-    begin = np.flatnonzero(word & before)
-    end = np.flatnonzero(word & after) + 1
+    cuts = np.unique(inner[word[inner] & word[inner - 1]])
+    if len(cuts):  # a text that ends in a word goes before one that begins with a word
+        begin, end = np.sort(np.concatenate([begin, cuts])), np.sort(np.concatenate([end, cuts]))
     sums = np.zeros(n + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum((_FOLDED if fold else _VALUES)[data] * powers(n), out=sums[1:])
+        values = (_FOLDED if fold else _VALUES).take(data)
+        values *= powers(n)
+        np.cumsum(values, out=sums[1:])
         hashes = mix((sums[end] - sums[begin]) * powers(n, INVERSE)[begin])
     return Words(np.searchsorted(begin, starts), begin, end, hashes)
 

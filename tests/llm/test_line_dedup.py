@@ -82,3 +82,28 @@ def test_rows_of_one_id_and_different_texts(spark):
     assert out.columns[:-1] == df.columns
     got = [(r.doc_id, r.line_report.n_removed, r.text) for r in out.collect()]
     assert sorted(got, key=str) == sorted(want * 2, key=str)
+
+
+def test_sets_leave_a_run_of_lines_once_and_texts_are_read_twice(spark, monkeypatch):
+    rows = [(i, f"same words again\nwords again same\nnone like line{i} x{i} y{i} z{i}\n \n", "s", "x", 1) for i in range(40)]
+    df = frame(spark, rows).coalesce(1)
+    docs = df.selectExpr("doc_id id", "text")
+    lines = op.described(docs, op.word_levels(docs), 80).collect()
+    assert len(lines) == 41 and min((r.id, r.line) for r in lines if r.n == 3) == (0, 0)
+    passes, read = [], op.line_texts
+    monkeypatch.setattr(op, "line_texts", lambda *a: passes.append(a) or read(*a))
+    got = {r.doc_id: (r.line_report.n_lines, r.line_report.n_removed, r.text) for r in op.without_repeats(df).collect()}
+    assert got == expected(rows) and len(passes) == 2
+
+
+def test_pairs_of_near_size_against_brute_force(monkeypatch):
+    rng = np.random.default_rng(5)
+    lists, n, asks = rng.integers(0, 6, 200), rng.integers(1, 40, 200), rng.random(200) < 0.6
+    order = np.lexsort((n, lists))
+    lists, n, asks = lists[order], n[order], asks[order]
+    want = {(a, b) for a in range(200) for b in range(200)
+            if asks[a] and lists[a] == lists[b] and 100 * min(n[a], n[b]) >= 80 * max(n[a], n[b])}
+    for most in (7, 1 << 19):
+        monkeypatch.setattr(op, "PAIRS", most)
+        got = [(int(a), int(b)) for x, y in op.of_near_size(lists, n, asks, 80) for a, b in zip(x, y)]
+        assert len(got) == len(want) and set(got) == want
