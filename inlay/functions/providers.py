@@ -7,12 +7,17 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from inlay.operators.skew import spread_join
 from inlay.staging import materialize
 
+COUNTED = 1 << 21  # tokens whose pairs are counted together, before they are rows
+PACKED = 1 << 31  # counts below this go into one number with a token
+
 
 class Scorer(Protocol):
     """Prompts as token ids in, one log-probability per token out (the first is None)."""
@@ -64,6 +69,29 @@ class EchoModel:
         return [[int(ids[-1])] * max_tokens if len(ids) else [] for ids in prompts]
 
 
+def counted_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(prev, next, n)`` of lists of tokens, as counts over ``COUNTED`` tokens; ``prev`` of a first token is null."""
+    for batch in batches:
+        at = batch.column(0).offsets.to_numpy()
+        flat = batch.column(0).values.slice(at[0], at[-1] - at[0])
+        known = flat.is_valid().to_numpy(zero_copy_only=False)
+        ids = flat.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint32)
+        follows = np.append(False, known[:-1])
+        follows[at[:-1] - at[0]] = False
+        for first in range(0, len(ids), COUNTED):
+            part = slice(first, first + COUNTED)
+            after = ids[part].astype(np.uint64)
+            keys = ids[max(0, first - 1) : first + len(after) - 1].astype(np.uint64) << np.uint64(32)
+            keys = np.append(np.zeros(len(after) - len(keys), np.uint64), keys) | after
+            for p in (True, False):
+                for q in (True, False):
+                    pairs, n = np.unique(keys[(follows[part] == p) & (known[part] == q)] & np.uint64(p * 0xFFFFFFFF << 32 | q * 0xFFFFFFFF), return_counts=True)
+                    if len(pairs):
+                        prev, then = (pairs >> np.uint64(32)).astype(np.uint32).view(np.int32), pairs.astype(np.uint32).view(np.int32)
+                        columns = [pa.array(v) if there else pa.nulls(len(n), pa.int32()) for v, there in ((prev, p), (then, q))]
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array(n)], ["prev", "next", "n"])
+
+
 @dataclass
 class BigramModel:
     """Add-one bigram counts: ``pairs(prev, next, n)``, ``heads(prev, total)``, vocabulary size."""
@@ -74,16 +102,15 @@ class BigramModel:
 
     @classmethod
     def train(cls, docs: DataFrame) -> BigramModel:
-        """Counts over ``docs(tokens)``; all merging is in partial aggregates.
+        """Counts over ``docs(tokens)``; pairs are counted in Arrow batches before they become rows.
 
         The first token of a document counts as the successor of nothing, so the
         successors alone are the whole vocabulary.
         """
-        before = F.concat(F.array(F.lit(None).cast("int")), F.slice("tokens", F.lit(1), F.size("tokens") - 1))
-        spots = docs.where(F.size("tokens") > 0).select(
-            F.inline(F.arrays_zip(before.alias("prev"), F.col("tokens").alias("next"))).alias("prev", "next")
-        )
-        counted = materialize(spots.groupBy("prev", "next").agg(F.count(F.lit(1)).alias("n")), "bigram")
+        lists = docs.where(F.size("tokens") > 0).select("tokens")
+        # a pair comes once from each run of tokens; most pairs are rare, so a sum before they are dealt would not make them fewer
+        spots = lists.mapInArrow(counted_pairs, "prev int, next int, n bigint").repartition("prev", "next")
+        counted = materialize(spots.groupBy("prev", "next").agg(F.sum("n").alias("n")), "bigram")
         size = counted.select("next").distinct().count()
         pairs = counted.where("prev is not null")
         heads = pairs.groupBy("prev").agg(F.sum("n").alias("total"))
@@ -110,14 +137,24 @@ class BigramModel:
             "query_id", "token_ids", F.concat(first, tail).alias("logprobs")
         )
 
+    def followers(self) -> DataFrame:
+        """``(prev, last)``: the most frequent successor of every known token, the smallest of equally frequent ones."""
+        largest, gaps = self.pairs.agg(F.max("n"), F.count_if(F.col("next").isNull())).first()
+        if gaps or (largest or 0) >= PACKED:
+            best = F.max_by("next", F.struct("n", -F.col("next").cast("bigint"))).alias("last")
+            return self.pairs.groupBy("prev").agg(best)
+        # one number, which a hash aggregate can hold: the count, then the distance from the largest token
+        most, low = F.lit((1 << 31) - 1).cast("bigint"), F.lit((1 << 32) - 1).cast("bigint")
+        packed = F.max(F.shiftleft("n", 32) + (most - F.col("next"))).alias("_p")
+        return self.pairs.groupBy("prev").agg(packed).select("prev", (most - F.col("_p").bitwiseAND(low)).cast("int").alias("last"))
+
     def continuations(self, max_tokens: int) -> DataFrame:
         """Greedy continuation of every known token: ``(prev, seq)``.
 
         The table doubles its length by joining itself on the last token, so
         ``log2(max_tokens)`` joins over the vocabulary replace one join per token.
         """
-        best = F.max_by("next", F.struct("n", -F.col("next"))).alias("last")
-        table = self.pairs.groupBy("prev").agg(best).select("prev", F.array("last").alias("seq"), "last")
+        table = self.followers().select("prev", F.array("last").alias("seq"), "last")
         for i in range(math.ceil(math.log2(max(1, max_tokens)))):
             table = materialize(table, f"greedy{i}")
             more = table.select(F.col("prev").alias("last"), F.col("seq").alias("_seq"), F.col("last").alias("_last"))

@@ -240,6 +240,32 @@ def test_bigram_generation(spark):
     assert got == {0: [2, 3, 4], 1: [], 2: [], 3: []}
 
 
+def test_bigram_counts_leave_a_run_of_tokens_once(spark, monkeypatch):
+    rows = [([1, 2, 1, 2, 1, 2],), ([2, 1, 2, None, 1, -3],), ([],), (None,), ([7],), ([1, 2],)] * 3
+    want = {}
+    for (tokens,) in rows:
+        for prev, then in zip([None, *(tokens or [])], tokens or []):
+            want[prev, then] = want.get((prev, then), 0) + 1
+    docs = spark.createDataFrame(rows, "tokens array<int>").coalesce(1)
+    lists = docs.where("size(tokens) > 0")
+    assert lists.mapInArrow(providers.counted_pairs, "prev int, next int, n bigint").count() == len(want)
+    for most in (2, 5, 1 << 21):
+        monkeypatch.setattr(providers, "COUNTED", most)
+        model = providers.BigramModel.train(docs)
+        assert {(r.prev, r.next): r.n for r in model.pairs.collect()} == {k: n for k, n in want.items() if k[0] is not None}
+        assert model.vocabulary == len({then for _, then in want})
+
+
+def test_followers_of_any_count(spark, monkeypatch):
+    low, high = -(1 << 31), (1 << 31) - 1
+    rows = [(1, high, 4), (1, low, 4), (1, 0, 3), (2, high, 1), (low, 5, 2), (low, 6, (1 << 31) - 1)]
+    pairs = spark.createDataFrame(rows, "prev int, next int, n bigint")
+    packed = {tuple(r) for r in providers.BigramModel(pairs, pairs, 1).followers().collect()}
+    monkeypatch.setattr(providers, "PACKED", 1)
+    plain = {tuple(r) for r in providers.BigramModel(pairs, pairs, 1).followers().collect()}
+    assert packed == plain == {(1, low), (2, high), (low, 6)}
+
+
 def test_trigger(spark):
     df = spark.createDataFrame([("do",)], "i string")
     assert df.select(trigger_query(F.col("i"), "now")).first()[0] == "do now "
