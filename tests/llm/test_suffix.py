@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from inlay.llm import op7_suffix as op
@@ -105,3 +106,109 @@ def test_covered_bytes_of_pieces():
             if doc > g.least[p] or flags[p][k]:
                 gone[b + k : b + k + 50] = True
     assert ((np.cumsum(op.covered(g, answers, len(data))[:-1]) > 0) == gone).all() and gone[:4000].all()
+
+
+def test_a_string_takes_two_refinements(monkeypatch):
+    rng = random.Random(6)
+    parts = [bytes(rng.randrange(256) for _ in range(60)) for _ in range(4)]
+    pieces = [parts[a] + parts[b] for a in range(4) for b in range(4) if a != b]
+    ids = np.array([rng.randrange(100) for _ in pieces])
+    plain, taken = op.merged, []
+    monkeypatch.setattr(op, "SHARD_BYTES", 300)
+    monkeypatch.setattr(op, "merged", lambda shards, ranks: taken.append((len(shards), len(ranks))) or plain(shards, ranks))
+    found = op.smallest_ids(pieces, ids)
+    least = {}
+    for p, d in zip(pieces, ids.tolist()):
+        for i in range(len(p) - 49):
+            least[p[i : i + 50]] = min(least.get(p[i : i + 50], d), d)
+    for p, f in zip(pieces, found):
+        assert f.tolist() == [least[p[i : i + 50]] for i in range(len(p) - 49)]
+    assert len(taken) == 1 and taken[0][0] > 1 and taken[0][1] <= 2
+
+
+def test_all_strings_that_repeat_are_merged_and_no_others(monkeypatch):
+    rng = random.Random(7)
+    noise = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n))
+    common = noise(70)
+    pieces = [noise(200) + common[rng.randrange(10) :] + noise(200) for _ in range(20)] + [noise(300) for _ in range(5)]
+    ids = np.array([rng.randrange(100) for _ in pieces])
+    least = {}
+    for p, d in zip(pieces, ids.tolist()):
+        for i in range(len(p) - 49):
+            least.setdefault(p[i : i + 50], []).append(d)
+    plain, sent = op.smallest_ids, []
+    monkeypatch.setattr(op, "smallest_ids", lambda p, i: sent.extend(p) or plain(p, i))
+    found = op.least_ids(pieces, ids).tolist()
+    assert found == [min(least[p[i : i + 50]]) for p in pieces for i in range(len(p) - 49)]
+    merged = [p[i : i + 50] for p in sent for i in range(len(p) - 49)]
+    assert sorted(merged) == sorted(s for s, d in least.items() for _ in d if len(d) > 1)
+    assert op.least_ids(pieces[-5:], ids[-5:]).tolist() == np.repeat(ids[-5:], 251).tolist()
+
+
+def test_order_of_hashes_that_agree_in_high_bits():
+    rng = np.random.default_rng(8)
+    plain = rng.integers(0, 1 << 63, 500).astype(np.uint64)
+    for values in (np.tile(plain, 2), np.concatenate([plain + np.uint64(1), plain, plain]), plain[:0]):
+        assert (op.places_in_order(values) == np.argsort(values, kind="stable")).all()
+
+
+class Batches:
+    """Runs a step over batches of this process."""
+
+    def __init__(self, *batches):
+        self.batches = batches
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return Batches(*run(iter(self.batches)))
+
+    def repartition(self, *names):
+        return self
+
+    def sortWithinPartitions(self, *names):
+        rows = pa.Table.from_batches(self.batches)
+        return Batches(*rows.sort_by([(n, "ascending") for n in rows.column_names[:2]]).to_batches())
+
+    def with_lists(self, lists):
+        out = []
+        for b in self.batches:
+            got = pa.array([lists.get(k) for k in b.column(0).to_pylist()])
+            out.append(pa.RecordBatch.from_arrays([*b.columns, got], [f"c{i}" for i in range(b.num_columns + 1)]))
+        return Batches(*out)
+
+    def by_block(self, *fields):
+        out = {}
+        for block, *values in zip(*(c.to_pylist() for c in pa.Table.from_batches(self.batches).columns)):
+            out.setdefault(block, []).append(dict(zip(fields, values)))
+        return out
+
+
+def test_minimisers_are_looked_for_twice_in_a_block(monkeypatch):
+    """Also where some are heavy: all that follows reads the groups stored with the block."""
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    phrase, tails = noise(45), [noise(12) for _ in range(6)]
+    rows = [(i, noise(60) + phrase + (rng.choice(tails) if i % 3 else noise(12)) + noise(60)) for i in range(150)]
+    monkeypatch.setattr(op, "GROUP_BYTES", 2000)
+    monkeypatch.setattr(op, "BLOCK_BYTES", 5000)
+    plain, calls = op.minimisers, []
+    monkeypatch.setattr(op, "minimisers", lambda data, starts: calls.append(len(data)) or plain(data, starts))
+    owners = 5
+    texts = pa.record_batch([pa.array([i for i, _ in rows]), pa.array([t.encode() for _, t in rows])], ["id", "body"])
+    store = op.blocked(Batches(texts))
+    shared = op.shared_keys(store, owners).by_block("owner", "bits", "heavy")
+    kept = op.kept_groups(store.with_lists(shared), owners)
+    assert any(n for b in kept.batches for n in b.column(4).to_pylist()), "no heavy minimiser"
+    strings = op.shared_keys(kept, owners, strings=True).by_block("owner", "bits", "heavy")
+    met = kept.with_lists(strings)
+    found = op.earlier_strings(met, owners).by_block("owner", "bits")
+    out = [r for b in op.cut_out(met.with_lists(found), owners, True).batches for r in b.to_pylist()]
+    assert len(store.batches) > 3 and len(calls) == 2 * len(store.batches)
+    masks = repeated_bytes([(*r, "a", "b", 1) for r in rows])
+    assert sorted(r["c1"] for r in out) == list(range(150))
+    for r in out:
+        raw = rows[r["c1"]][1].encode()
+        assert r["c6"] == bytes(b for b, m in zip(raw, masks[r["c1"]]) if not m)
+    assert any(r["c3"] for r in out)
